@@ -108,7 +108,7 @@ class Block:
 
 def combine(h: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the k word hashes from each first word on."""
-    out = np.full(len(first), U64(seed) * U64(_RADIX) + U64(k), dtype=U64)
+    out = np.full(len(first), (seed * _RADIX + k) & 0xFFFFFFFFFFFFFFFF, dtype=U64)
     for j in range(k):
         out = out * _SHINGLE + h[first + j]
     return mix(out)
