@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
 from .near_dedup import op1_near_dedup
+from .substring_dedup import op6_substring_dedup
+from .token_ids import op7_token_ids
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_token_ids": op7_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
