@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .html_text import op10_html_text
 from .near_dedup import op1_near_dedup
 from .substring_dedup import op6_substring_dedup
 from .token_ids import op7_token_ids
+from .warc import op9_warc
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_ids": op7_token_ids,
+    "op9_warc": op9_warc,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
