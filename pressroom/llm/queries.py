@@ -5,12 +5,14 @@ from __future__ import annotations
 from .decontaminate import op3_decontaminate
 from .html_text import op10_html_text
 from .near_dedup import op1_near_dedup
+from .quality import op2_quality
 from .substring_dedup import op6_substring_dedup
 from .token_ids import op7_token_ids
 from .warc import op9_warc
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_ids": op7_token_ids,
