@@ -16,13 +16,11 @@ from .textops import SPACED, U64, Block, blocks, combine, mix
 
 #: The forest: trees, and MinHash values in each tree's label.
 TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
-#: A region of more documents than this is split by deeper labels; up to ALL_PAIRS, every pair is a candidate.
-REGION, ALL_PAIRS, NEIGHBOURS = 2048, 16, 8
-#: Pairs below this estimated similarity are no candidates: five standard errors below 0.75.
-LEAST_ESTIMATE = 0.55
+#: A region of more sets, or of more shingles in all, is split by deeper labels.
+REGION, REGION_SHINGLES = 2048, 1 << 21
 
 _FACTORS = (mix(np.arange(1, TREES * DEPTH + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
-_SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bytes", T.BinaryType())])
+_SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.BinaryType())])
 
 
 def shingle_sets(block: Block, k: int) -> Iterator[np.ndarray]:
@@ -51,15 +49,14 @@ def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, block in blocks(batch.column(1), SPACED, lower=True):
-                n, h1, h2, sig, short = [], [], [], [], []
+                n, h1, h2, sig = [], [], [], []
                 for x in shingle_sets(block, k):
                     n.append(len(x))
                     h1.append(int(mix(x).sum(dtype=U64).view(np.int64)))
                     h2.append(int(mix(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64)))
                     low = _minima(x) if len(x) else None
                     sig.append(None if low is None else low.tobytes())
-                    short.append(None if low is None else ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(short, pa.binary())], names=_SKETCH.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=_SKETCH.names)
 
     return run
 
@@ -69,31 +66,32 @@ def _key(tree, depth: int):
     return F.xxhash64(tree, F.lit(depth), F.substring(F.col("sig"), tree * (4 * DEPTH) + 1, F.lit(4 * depth)))
 
 
-def _regions(sets: DataFrame, region: int) -> tuple[DataFrame, DataFrame]:
-    """Regions of 2 to region sets (members), and pairs (a, b) of the members of any larger region with its smallest.
+def _regions(sets: DataFrame, region: int, shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Regions (members) of two sets or more, and pairs (a, b) of the members of any larger region with its smallest.
 
     A region holds the sets that stand together in a tree's sorted order with a
-    common prefix of LEAST_DEPTH values; where more share it, the prefix grows, for
-    that region alone.  A region that is still too large at full depth is dealt into
-    parts by set, and its smallest set joins each part.
+    common prefix of LEAST_DEPTH values.  Where more than region sets, or sets of more than
+    shingles in all, share it, the prefix grows, for that region alone.  A region that is
+    still too large at full depth is dealt into parts by set, and its smallest set joins each part.
     """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = sets.select("doc_id", trees, "sig")
+    rows = sets.select("doc_id", "n_shingles", trees, "sig")
+    fits = (F.col("size") <= region) & ((F.col("weight") <= shingles) | (F.col("size") == 2))
     found, hubs = [], []
     for depth in range(LEAST_DEPTH, DEPTH + 1):
-        level = rows.select("doc_id", "tree", *(["sig"] if depth > LEAST_DEPTH else []), _key(F.col("tree"), depth).alias("key"))
-        sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1")
+        level = rows.select("doc_id", "n_shingles", "tree", _key(F.col("tree"), depth).alias("key"))
+        sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min("doc_id").alias("hub")).where("size > 1")
         sizes = keep(sizes, "regions")
-        level = level.select("doc_id", "tree", "key").join(sizes, "key")
-        found.append(level.where(F.col("size") <= region).select("key", F.lit(0).cast("long").alias("part"), "doc_id"))
-        if not sizes.where(F.col("size") > region).limit(1).count():
+        level = level.join(sizes, "key")
+        found.append(level.where(fits).select("key", F.lit(0).cast("long").alias("part"), "doc_id"))
+        if not sizes.where(~fits).limit(1).count():
             break
-        large = keep(level.where(F.col("size") > region).select("doc_id", "tree", "key", "size", "hub"), "large")
+        large = keep(level.where(~fits), "large")
         hubs.append(large.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
         if depth < DEPTH:
-            rows = large.select("doc_id", "tree").join(sets.select("doc_id", "sig"), "doc_id")
+            rows = large.select("doc_id", "n_shingles", "tree").join(sets.select("doc_id", "sig"), "doc_id")
         else:
-            parts = F.ceil(F.col("size") / F.lit(region))
+            parts = F.greatest(F.ceil(F.col("size") / F.lit(region)), F.ceil(F.col("weight") / F.lit(shingles)))
             found.append(large.select("key", F.pmod(F.xxhash64("doc_id"), parts).alias("part"), "doc_id"))
             found.append(large.where("doc_id = hub").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id"))
     every = found[0]
@@ -108,56 +106,58 @@ def _regions(sets: DataFrame, region: int) -> tuple[DataFrame, DataFrame]:
     return regions, star
 
 
-def _near(mode: str):
-    """For rows of (region, size, doc_id, bytes[, component]) sorted by region: candidate pairs by estimated similarity."""
-
-    def of(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            like = (sig[i + 1 :] == sig[i]).mean(axis=1)
-            good = np.flatnonzero(like >= LEAST_ESTIMATE + (1 - LEAST_ESTIMATE) / 256)
-            if comp is not None:
-                good = good[comp[i + 1 + good] != comp[i]]
-            elif len(ids) > ALL_PAIRS and len(good) > NEIGHBOURS:
-                good = good[np.argsort(-like[good], kind="stable")[:NEIGHBOURS]]
-            a.append(np.full(len(good), ids[i]))
-            b.append(ids[i + 1 + good])
-        return np.concatenate(a) if a else ids[:0], np.concatenate(b) if b else ids[:0]
-
-    def emit(rows: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(rows).combine_chunks().sort_by("doc_id")
-        ids = t["doc_id"].to_numpy()
-        sig = np.frombuffer(b"".join(t["bytes"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        a, b = of(ids, sig, t["component"].to_numpy() if mode == "rest" else None)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of similar sets that join all sets which any links between these sets join; every link is exact."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate(([0], np.cumsum(size)))
+    mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
+    label, found = np.arange(n), []
+    for i in range(n - 1):
+        other = label[i + 1 :] != label[i]
+        if not other.any():
+            continue
+        own = flat[start[i] : start[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat[start[i + 1] :]], start[i + 1 : n] - start[i + 1])
+        mark[own] = 0
+        for j in i + 1 + np.flatnonzero(other & (100 * common >= percent * (size[i] + size[i + 1 :] - common))):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((i, int(j)))
+    return found
+
+
+def _links(k: int, percent: int):
+    """For rows of (region, doc_id, text) sorted by region: exact links between its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        last = None
+        last, ids, sets = None, [], []
+
+        def close() -> list[tuple[int, int]]:
+            # A repeated id may bring several sets; all of them are the one node.
+            return [(ids[i], ids[j]) for i, j in spanning_links(sets, percent) if ids[i] != ids[j]] if len(sets) > 1 else []
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            region = batch.column("region").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(region)) + 1), len(region)]
-            table = pa.Table.from_batches([batch])
-            for i, j in zip(cuts, cuts[1:]):
-                if region[i] != last and held:
-                    yield emit(held)
-                    held = []
-                last = region[i]
-                held.append(table.slice(i, j - i))
-        if held:
-            yield emit(held)
+            out: list[tuple[int, int]] = []
+            region, doc = batch.column("region").to_pylist(), batch.column("doc_id").to_pylist()
+            for i, j, block in blocks(batch.column("text"), SPACED, lower=True):
+                for r, x in zip(range(i, j), shingle_sets(block, k)):
+                    if region[r] != last:
+                        out += close()
+                        last, ids, sets = region[r], [], []
+                    if len(x):
+                        ids.append(doc[r])
+                        sets.append(x)
+            yield _pairs(out)
+        yield _pairs(close())
 
     return run
 
 
-def _candidates(regions: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    rows = regions.select("region", F.explode("members").alias("doc_id")).join(sets.select("doc_id", "bytes"), "doc_id")
-    if labels is not None:
-        rows = rows.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = rows.repartition("region").sortWithinPartitions("region")
-    return rows.mapInArrow(_near("rest" if labels is not None else "all"), "a long, b long").distinct()
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["a", "b"])
 
 
 def _compare(k: int, percent: int):
@@ -183,7 +183,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, region: int = REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, region: int = REGION, shingles: int = REGION_SHINGLES) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, set_id.
 
     Words are lower-cased in A-Z; documents whose sets of k-word shingles have
@@ -194,9 +194,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link is confirmed on the whole sets.  Two sets of similarity s meet in a region
     with probability 1 - (1 - s**LEAST_DEPTH)**TREES: 0.99998 at 0.75.
 
-    Regions of more than ALL_PAIRS sets first take NEIGHBOURS nearest pairs of each
-    set; a second pass then takes every pair of theirs that is not yet in one
-    component, so no link between components is left out.
+    The texts of a region meet in one task, bounded by REGION and REGION_SHINGLES, which
+    compares all whose components differ so far; it returns the links of a spanning forest only.
+    Regions beyond the bounds are split by deeper labels: there a pair meets at depth d
+    with probability 1 - (1 - s**d)**TREES, and each member is compared with the region's
+    smallest set besides.
 
     Nulls and empties: a null or wordless text has an empty set and is linked with
     nothing; a null id is returned with null component_id and kept true.  Rows that
@@ -205,22 +207,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = keep(docs.mapInArrow(_sketches(k), _SKETCH), "sketches")
     full = sketches.where("doc_id is not null and n_shingles > 0")
-    sets = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig", "bytes")).alias("x"), F.count("*").alias("copies"))
-    sets = keep(sets.select("h1", "h2", "x.*", "copies"), "sets")
-    regions, star = _regions(sets, region)
-    regions = keep(regions, "regions")
-    pairs = _candidates(regions, sets, None).unionByName(star).distinct()
+    sets = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
+    sets = keep(sets.select("h1", "h2", "x.*"), "sets")
+    regions, star = _regions(sets, region, shingles)
+    members = regions.select("region", F.explode("members").alias("doc_id"))
     texts = docs.where("doc_id is not null")
+    met = members.join(texts, "doc_id").repartition("region").sortWithinPartitions("region")
+    links = met.mapInArrow(_links(k, percent), "a long, b long").unionByName(_confirm(star, texts, k, percent))
     ids = full.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    links = keep(_confirm(pairs, texts, k, percent), "links")
     # Rows that repeat an id may stand for several sets.
     same_id = full.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi").join(sets.select("h1", "h2", F.col("doc_id").alias("rep")), ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = links.unionByName(same_id)
-    labels = components(links)
-    large = regions.where(F.col("size") > ALL_PAIRS)
-    more = keep(_confirm(_candidates(large, sets, labels.withColumnRenamed("node", "doc_id")), texts, k, percent), "links")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+    labels = components(links.unionByName(same_id))
     of_set = sets.select("h1", "h2", F.col("doc_id").alias("set_id")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component_id", F.coalesce("component", "set_id")).drop("component")
     rows = sketches.select("doc_id", "n_shingles", "h1", "h2")
     linked = rows.where("doc_id is not null and n_shingles > 0").join(of_set, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "set_id")
