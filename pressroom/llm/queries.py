@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .html_text import op10_html_text
+from .licenses import op8_licenses
+from .mixing import op4_mixing
 from .near_dedup import op1_near_dedup
+from .pii import op5_pii
 from .quality import op2_quality
 from .substring_dedup import op6_substring_dedup
 from .token_ids import op7_token_ids
@@ -14,8 +17,11 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
+    "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_ids": op7_token_ids,
+    "op8_licenses": op8_licenses,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
 }
