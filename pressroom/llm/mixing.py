@@ -106,7 +106,7 @@ def fit_rates(scored: DataFrame, weights: list[float], budget: float | None = No
 
     Least squares over domains, each residual relative to the domain's own mass, by projected
     gradient from rate 1: every step is one aggregate over the scored table that brings one number for each
-    domain to the driver.  Without a budget it is the largest that makes no domain grow.
+    domain to the driver.  Without a budget the domain of the largest weight keeps its tokens.
     Steps end when each total is within tolerance of its target, or after max_steps.
     A domain without tokens can't reach its target; the rest are still fitted.
     """
@@ -120,7 +120,8 @@ def fit_rates(scored: DataFrame, weights: list[float], budget: float | None = No
     if not mass.sum():
         return Rates([], mass.tolist(), mass.tolist())
     if budget is None:
-        budget = min(m / w for m, w in zip(mass, share) if w > 0 and m > 0)
+        main = int(share.argmax())
+        budget = mass[main] / share[main]
     target = share * budget
     gram = np.zeros((n, n))
     for a, b in pairs:
