@@ -49,17 +49,17 @@ class Classifier:
     def score(self, docs: DataFrame, text_col: str) -> DataFrame:
         """docs with n_tokens and p_0, p_1, ...: the posterior of each domain; a text without words has the prior."""
         buckets = self.weights.shape[1]
-        ids = docs.withColumn("_ids", _buckets(F.col(text_col).cast("string"), buckets))
+        ids = docs.withColumn("__pressroom_ids", _buckets(F.col(text_col).cast("string"), buckets))
         logits = [self._logit(p, w) for p, w in zip(self.prior, self.weights)]
-        ids = ids.withColumns({f"_s{k}": x for k, x in enumerate(logits)}).withColumn("n_tokens", F.size("_ids").cast("long"))
-        top = F.greatest(*[F.col(f"_s{k}") for k in range(len(logits))])
-        parts = [F.exp(F.col(f"_s{k}") - top) for k in range(len(logits))]
+        ids = ids.withColumns({f"__pressroom_s{k}": x for k, x in enumerate(logits)}).withColumn("n_tokens", F.size("__pressroom_ids").cast("long"))
+        top = F.greatest(*[F.col(f"__pressroom_s{k}") for k in range(len(logits))])
+        parts = [F.exp(F.col(f"__pressroom_s{k}") - top) for k in range(len(logits))]
         total = reduce(lambda a, b: a + b, parts)
-        return ids.withColumns({f"p_{k}": x / total for k, x in enumerate(parts)}).drop("_ids", *[f"_s{k}" for k in range(len(logits))])
+        return ids.withColumns({f"p_{k}": x / total for k, x in enumerate(parts)}).drop("__pressroom_ids", *[f"__pressroom_s{k}" for k in range(len(logits))])
 
     def _logit(self, prior: float, weights: np.ndarray) -> Column:
         table = _vector(weights)
-        return F.lit(math.log(prior)) + F.aggregate("_ids", F.lit(0.0), lambda a, i: a + F.get(table, i)) / self.temperature
+        return F.lit(math.log(prior)) + F.aggregate("__pressroom_ids", F.lit(0.0), lambda a, i: a + F.get(table, i)) / self.temperature
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, buckets: int = BUCKETS, smoothing: float = 0.5) -> Classifier:

@@ -220,13 +220,13 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
         return F.transform(matches, one)
 
     may = text.rlike("[0-9@]|(?i:pass|secret|api_?key|token)")
-    out = docs.withColumn("_found", F.when(may, found(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))))
-    none = F.coalesce(F.size(F.filter("_found", lambda x: x["kind"].isNotNull())) <= 0, F.lit(True))
+    out = docs.withColumn("__pressroom_found", F.when(may, found(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))))
+    none = F.coalesce(F.size(F.filter("__pressroom_found", lambda x: x["kind"].isNotNull())) <= 0, F.lit(True))
     # Java's split keeps the pieces around each match, empty ones too, and the matches fall between.
-    pieces = F.zip_with(F.split(text, ANY, -1), F.transform("_found", lambda x: x["text"]), lambda s, m: F.concat(s, F.coalesce(m, F.lit(""))))
-    kinds = F.transform(F.filter("_found", lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
+    pieces = F.zip_with(F.split(text, ANY, -1), F.transform("__pressroom_found", lambda x: x["text"]), lambda s, m: F.concat(s, F.coalesce(m, F.lit(""))))
+    kinds = F.transform(F.filter("__pressroom_found", lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
     pii = F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k.alias("kind"), F.size(F.filter(kinds, lambda x: x == k)).alias("count")))
-    return out.withColumns({text_col: F.when(none, text).otherwise(F.array_join(pieces, "")), "n_pii": F.when(none, 0).otherwise(F.size(kinds)).cast("long"), "pii": F.when(none, F.array().cast("array<struct<kind:string,count:int>>")).otherwise(pii)}).drop("_found")
+    return out.withColumns({text_col: F.when(none, text).otherwise(F.array_join(pieces, "")), "n_pii": F.when(none, 0).otherwise(F.size(kinds)).cast("long"), "pii": F.when(none, F.array().cast("array<struct<kind:string,count:int>>")).otherwise(pii)}).drop("__pressroom_found")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,8 +74,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     one of the names above are replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("_text", text)
-    words = F.regexp_extract_all(F.col("_text"), F.lit(WORD), 0)
+    out = docs.withColumn("__pressroom_text", text)
+    words = F.regexp_extract_all(F.col("__pressroom_text"), F.lit(WORD), 0)
     measures = _let(
         words,
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words")),
@@ -95,24 +95,24 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
         n = F.regexp_count(x, F.lit(WORD))
         return F.struct(x.alias("line"), n.alias("n"), ((n > 0) & _line_fails(x)).alias("fails"))
 
-    lines = _let(F.transform(F.split(F.col("_text"), "\n"), line), judged)
-    out = out.withColumn("_m", measures).withColumn("_l", lines)
-    n, repeat = F.col("_m.n_words"), F.col("_m.n_repeat_words")
+    lines = _let(F.transform(F.split(F.col("__pressroom_text"), "\n"), line), judged)
+    out = out.withColumn("__pressroom_words", measures).withColumn("__pressroom_lines", lines)
+    n, repeat = F.col("__pressroom_words.n_words"), F.col("__pressroom_words.n_repeat_words")
     failed = (n < 20) | (repeat * 100 > n * 30)
-    lost = F.col("_l.words_lost") > n * F.lit(max_lost)
+    lost = F.col("__pressroom_lines.words_lost") > n * F.lit(max_lost)
     new = {
         "n_words": n,
-        "word_chars": F.col("_m.word_chars"),
-        "n_symbols": _count(F.col("_text"), r"[#*$%&|<>]"),
-        "n_dup_lines": F.col("_l.n_dup_lines"),
+        "word_chars": F.col("__pressroom_words.word_chars"),
+        "n_symbols": _count(F.col("__pressroom_text"), r"[#*$%&|<>]"),
+        "n_dup_lines": F.col("__pressroom_lines.n_dup_lines"),
         "n_repeat_words": repeat,
         "base_failed": failed,
-        "lines_removed": F.col("_l.lines_removed"),
-        "words_lost": F.col("_l.words_lost"),
-        "clean_text": F.col("_l.clean_text"),
+        "lines_removed": F.col("__pressroom_lines.lines_removed"),
+        "words_lost": F.col("__pressroom_lines.words_lost"),
+        "clean_text": F.col("__pressroom_lines.clean_text"),
         "kept": ~failed & ~lost,
     }
-    return out.withColumns(new).drop("_text", "_m", "_l")
+    return out.withColumns(new).drop("__pressroom_text", "__pressroom_words", "__pressroom_lines")
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
