@@ -7,6 +7,7 @@ from .html_text import op10_html_text
 from .licenses import op8_licenses
 from .mixing import op4_mixing
 from .near_dedup import op1_near_dedup
+from .oracles import ORACLE_SQL
 from .pii import op5_pii
 from .quality import op2_quality
 from .substring_dedup import op6_substring_dedup
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
