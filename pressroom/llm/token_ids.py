@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +18,19 @@ from pyspark.sql import functions as F
 
 from .files import read_all, read_at, replacing
 from .scratch import keep, new_folder
-from .textops import U64, mix
+from .textops import SPACED, U64, Block, blocks, mix
 
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 1 << 15
 #: Words whose ids a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 _GAMMA, _MAGIC = 2.0, b"PRIX0001"
 _ENTRY = "doc_id long, shard int, first long, n_tokens int, crc long"
 
 _encoders: dict[str, "Encoder"] = {}
+#: UTF-8 of Latin letters (ß to ɏ) that are letters in every version of Unicode, and ASCII signs that no pattern joins to a letter.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
+_SIGNS = b".,!?;:)]}\"*#$%&"
 
 
 class Encoder:
@@ -33,7 +38,10 @@ class Encoder:
 
     Words are split at ASCII white space.  The tokenizer replaces white space by one space
     and drops it before merging, and none of its patterns crosses white space, so a text's
-    ids are those of its words, one after another.
+    ids are those of its words, one after another.  If it lower-cases, words are kept in lower case
+    in A-Z; a word of Latin letters and a tail of signs has the ids of both, since a pattern
+    takes either letters or signs.  Words of letters are encoded together and told
+    apart by the tokens that end a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,7 +49,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.top = max(vocab.values())
+        self.lower = "Lowercase" in json.dumps(config.get("normalizer"))
+        self.special = [t["content"].encode().lower() for t in config.get("added_tokens", [])]
+        suffix = config["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.top + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.width(4)
+
+    def width(self, size: int) -> "Encoder":
+        """Bytes of an id in what this returns."""
+        if getattr(self, "dtype", None) != f"<u{size}":
+            self.dtype = f"<u{size}"
+            self.known.clear()
+        return self
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -49,20 +74,74 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+    def _each(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+                self.known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        """Words of letters only: each should end with one token that ends a word; where the count differs, one by one."""
+        for i in range(0, len(words), 1024):
+            part = words[i : i + 1024]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(part) or stop[-1] != len(ids):
+                self._each(part)
+                continue
+            data, at = ids.astype(self.dtype).tobytes(), 0
+            size = np.dtype(self.dtype).itemsize
+            for word, end in zip(part, (stop * size).tolist()):
+                self.known[word] = data[at:end]
+                at = end
+
+    def learn(self, words: list[bytes]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + 2 * len(new) > REMEMBERED:
+            self.known.clear()
+            new = words
+        letters: set[bytes] = set()
+        others: set[bytes] = set()
+        tailed: list[tuple[bytes, int]] = []
+        for word in new:
+            core = word.rstrip(_SIGNS)
+            if core and _LETTERS.fullmatch(core):
+                letters.add(core)
+                if len(core) < len(word):
+                    tailed.append((word, len(core)))
+                    others.add(word[len(core) :])
+            else:
+                others.add(word)
+        self._together([w for w in letters if w not in self.known])
+        self._each([w for w in others if w not in self.known])
+        for word, n in tailed:
+            self.known[word] = self.known[word[:n]] + self.known[word[n:]]
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a column of strings; null is empty."""
+        out: list[bytes] = []
+        for _, _, block in blocks(texts, SPACED, lower=self.lower, target=1 << 22):
+            data = block.data.tobytes()
+            if self.lower and any(x in data for x in self.special):
+                # Special tokens are written as they stand, in no other case.
+                block = Block(block.raw, block.offsets, SPACED, lower=False)
+                data = block.data.tobytes()
+            _, first, word = np.unique(block.hashes(), return_index=True, return_inverse=True)
+            words = [data[i:j] for i, j in zip(block.starts[first].tolist(), block.ends[first].tolist())]
+            self.learn(words)
+            ids = [self.known[w] for w in words]
+            flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // flat.itemsize
+            start = np.cumsum(size) - size
+            each = size[word]
+            ends = np.concatenate(([0], np.cumsum(each)))
+            whole = flat[np.repeat(start[word] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+            at = (ends[block.bounds] * flat.itemsize).tolist()
+            out += [whole[i:j] for i, j in zip(at, at[1:])]
+        return out
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        self.learn(set(words))
-        return b"".join(map(self.known.__getitem__, words))
+        return self.many(pa.array([text], pa.binary()))[0]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -74,34 +153,42 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 # ---- shards -------------------------------------------------------------------------------
 
 
-def _write_shards(folder: str, tokenizer: str, end_id: int):
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id in the shards: two where all ids fit."""
+    return 2 if max(Encoder.of(tokenizer).top, end_id) < 1 << 16 else 4
+
+
+def _write_shards(folder: str, tokenizer: str, end_id: int, width: int):
     """Write the rows of a partition to one shard; return each row's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_batch = next((b for b in batches if b.num_rows), None)
         if first_batch is None:
             return
-        encoder, shard, place = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        end = struct.pack("<I", end_id)
+        encoder, shard, place = Encoder.of(tokenizer).width(width), TaskContext.get().partitionId(), 0
+        end = end_id.to_bytes(width, "little")
         out = []
         with replacing(f"{folder}/shard-{shard:06d}.bin") as write:
-            batch = first_batch
-            while batch is not None:
+            for batch in chain([first_batch], batches):
                 starts, counts, crcs = [], [], []
-                for text in batch.column("text"):
-                    ids = (encoder(text.as_buffer().to_pybytes()) if text.is_valid else b"") + end
+                for ids in encoder.many(batch.column("text")):
+                    ids += end
                     write(ids)
                     starts.append(place)
-                    counts.append(len(ids) // 4)
-                    crcs.append(zlib.crc32(ids))
-                    place += len(ids) // 4
+                    counts.append(len(ids) // width)
+                    crcs.append(zlib.crc32(_wide(ids, width)))
+                    place += counts[-1]
                 out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shard] * batch.num_rows, pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), pa.array(crcs, pa.int64())], names=["doc_id", "shard", "first", "n_tokens", "crc"]))
-                batch = next(batches, None)
         yield from out
 
     return run
 
 
+def _wide(ids: bytes, width: int) -> bytes:
+    """Ids as unsigned 32-bit integers."""
+    return ids if width == 4 else np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+
+
 # ---- minimal perfect hash -----------------------------------------------------------------
 
 
@@ -226,13 +313,14 @@ def _bucket(n_buckets: int):
 
 
 def write_token_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Write docs as raw little-endian unsigned 32-bit ids, and return the places written.
+    """Write docs as raw little-endian unsigned ids, and return the places written.
 
+    Ids take two bytes where the vocabulary allows it, else four; the manifest says which.
     Files: shard-N.bin hold the ids of documents in ascending id order, each closed by end_id, and
     the order runs on over the shards; index-B.mph hold for the keys of hash bucket B a minimal perfect
     hash from key to (fingerprint, shard, first id in the shard, number of ids);
     manifest.json holds the ids before each shard.  Result: doc_id, shard, first, n_tokens, crc (of
-    the ids as they were written) and start, the ids of all documents before it.
+    the ids in 32 bits) and start, the ids of all documents before it.
 
     Null texts have the end id only.  Rows with a null id come first in the shards and
     have no index entry.  Rows that repeat an id stand together, by text; their index entry
@@ -241,9 +329,10 @@ def write_token_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    width = id_bytes(tokenizer, end_id)
     n_shards = max(1, -(-(size[0] or 0) // shard_bytes))
     ordered = docs.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    places = keep(ordered.mapInArrow(_write_shards(folder, tokenizer, end_id), _ENTRY), "places")
+    places = keep(ordered.mapInArrow(_write_shards(folder, tokenizer, end_id, width), _ENTRY), "places")
     totals = {r[0]: (r[1], r[2]) for r in places.groupBy("shard").agg(F.sum("n_tokens"), F.count("*")).collect()}
     starts, total = {}, 0
     for shard in sorted(totals):
@@ -253,7 +342,7 @@ def write_token_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
     n_buckets = max(1, -(-size[1] // bucket_keys))
     bucketed = keys.mapInArrow(_bucket(n_buckets), "bucket int, doc_id long, shard int, first long, n_tokens long").repartition("bucket").sortWithinPartitions("bucket")
     keep(bucketed.mapInArrow(_write_indexes(folder), "bucket int, n long"), "buckets")
-    manifest = {"tokenizer": os.path.basename(tokenizer), "end_id": end_id, "n_buckets": n_buckets, "tokens": total, "documents": size[1], "shards": [{"shard": s, "start": starts[s], "tokens": totals[s][0]} for s in sorted(starts)]}
+    manifest = {"tokenizer": os.path.basename(tokenizer), "end_id": end_id, "id_bytes": width, "n_buckets": n_buckets, "tokens": total, "documents": size[1], "shards": [{"shard": s, "start": starts[s], "tokens": totals[s][0]} for s in sorted(starts)]}
     with replacing(f"{folder}/manifest.json") as write:
         write(json.dumps(manifest).encode())
     base = spark.createDataFrame([(s, starts[s]) for s in sorted(starts)], "shard int, base long")
@@ -271,7 +360,7 @@ def _look_up(folder: str):
     return run
 
 
-def _read_payload(folder: str, starts: dict[int, int]):
+def _read_payload(folder: str, starts: dict[int, int], width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, f = None, None
         for batch in batches:
@@ -281,10 +370,11 @@ def _read_payload(folder: str, starts: dict[int, int]):
                     if f is not None:
                         f.close()
                     shard, f = s, read_at(f"{folder}/shard-{s:06d}.bin")
-                f.seek(4 * first)
-                ids = f.read(4 * n)
-                if len(ids) != 4 * n:
+                f.seek(width * first)
+                ids = f.read(width * n)
+                if len(ids) != width * n:
                     raise OSError(f"shard {s} ends early")
+                ids = _wide(ids, width)
                 starting.append(starts[s] + first)
                 crcs.append(zlib.crc32(ids))
                 ids_out.append(ids)
@@ -296,7 +386,7 @@ def _read_payload(folder: str, starts: dict[int, int]):
 
 
 def read_token_ids(keys: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """For each distinct key of keys that the files hold: doc_id, start, n_tokens, ids_crc32, ids (raw bytes).
+    """For each distinct key of keys that the files hold: doc_id, start, n_tokens, ids_crc32, ids (as unsigned 32-bit integers).
 
     Each key's bucket file gives shard and offset in constant time; the payload is read there.
     Keys that are null or unknown give no row (an unknown key passes its fingerprint once in 2**32).
@@ -307,7 +397,7 @@ def read_token_ids(keys: DataFrame, folder: str, id_col: str = "doc_id") -> Data
     asked = asked.mapInArrow(_bucket(manifest["n_buckets"]), "bucket int, doc_id long").repartition("bucket").sortWithinPartitions("bucket")
     found = asked.mapInArrow(_look_up(folder), "doc_id long, shard int, first long, n_tokens long")
     found = found.repartition("shard").sortWithinPartitions("shard", "first")
-    return found.mapInArrow(_read_payload(folder, starts), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return found.mapInArrow(_read_payload(folder, starts, manifest["id_bytes"]), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

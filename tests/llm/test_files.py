@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pressroom.llm.files import read_all
@@ -29,7 +30,9 @@ def test_encoder_equals_whole_texts():
     rng = random.Random(1)
     alphabet = "abAB éÉß'’.,!? \n\t01٣㍿ﬁΣσς가각힣ȩ́ 　<|>"
     texts = [t for t in TEXTS if t] + ["".join(rng.choice(alphabet) for _ in range(200)) for _ in range(300)]
+    texts += ["Straße, (naïve) café!! İstanbul. IJssel ǅ x× y÷ don't. 'tis a.b... 1,2 e.g.), ﬁn? <|ENDOFTEXT|> é́. é!"]
     encode, whole = Encoder(tokenizer_path()), tokenizer()
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode.many(pa.array(texts))] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     for t in texts:
         assert np.frombuffer(encode(t.encode()), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
@@ -60,7 +63,7 @@ def test_token_ids_round_trip(spark, shard_bytes, bucket_keys):
     assert got == {i: (s, n, zlib.crc32(d), d) for i, (s, n, d) in by_id.items()}
     manifest = json.loads(read_all(f"{folder}/manifest.json"))
     payload = b"".join(read_all(f"{folder}/shard-{s['shard']:06d}.bin") for s in manifest["shards"])
-    assert payload == b"".join(ids for *_, ids in rows) and manifest["tokens"] == len(payload) // 4
+    assert manifest["id_bytes"] == 2 and np.frombuffer(payload, "<u2").astype("<u4").tobytes() == b"".join(ids for *_, ids in rows) and manifest["tokens"] == len(payload) // 2
     assert read_token_ids(spark.createDataFrame([(123456789,), (None,)], "doc_id long"), folder).count() == 0
 
 
