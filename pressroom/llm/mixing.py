@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import math
+import zlib
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,8 +17,11 @@ from .scratch import keep
 TARGETS = {"clean": 0.96, "toxic": 0.02, "junk": 0.02}
 #: Labelled documents that the classifier is fitted on at most: those with the least hash of their id.
 LABELLED = 20_000
-BUCKETS = 1 << 13
-TEMPERATURE = 2.0
+#: Words that the classifier keeps at most, those that tell most; each in so many labelled documents.
+FEATURES, LEAST_DOCUMENTS = 512, 10
+#: Standard errors, and natural logarithms, that a word's rates in a domain and in the others are to differ by.
+SIGNIFICANT, APART = 5.0, 0.7
+_SLOTS = 1 << 15
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -27,9 +30,18 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).where("doc_id is not null and domain is not null")
 
 
-def _buckets(text: Column, buckets: int) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+def _tokens(text: Column) -> Column:
+    """Words in lower case without signs at their ends; the kinds of signs in the text; and how much it repeats itself."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    signs = F.transform(F.array_distinct(F.split(low, r"[\p{L}\p{N}\s]+")), lambda w: F.concat(F.lit("signs "), w))
+
+    def all_of(w: Column) -> Column:
+        distinct = F.array_distinct(w)
+        share = F.floor(F.size(distinct) * 5 / F.greatest(F.size(w), F.lit(1))).cast("string")
+        return F.concat(distinct, signs, F.array(F.concat(F.lit("new words "), share)))
+
+    return F.element_at(F.transform(F.array(words), all_of), 1)
 
 
 def _vector(values: np.ndarray) -> Column:
@@ -37,49 +49,68 @@ def _vector(values: np.ndarray) -> Column:
     return F.from_json(F.lit(json.dumps([float(f"{v:.6g}") for v in values])), "array<double>")
 
 
+def _slot(word: bytes, salt: int) -> int:
+    return zlib.crc32(str(salt).encode() + word) % _SLOTS
+
+
 @dataclass
 class Classifier:
-    """Multinomial word model over hash buckets: a prior and a vector of log probabilities for each domain."""
+    """Bernoulli word model: by domain a logit without any word, and what each word adds to it."""
 
     domains: list[str]
-    prior: list[float]
+    words: list[str]
+    base: np.ndarray
     weights: np.ndarray
-    temperature: float = TEMPERATURE
 
     def score(self, docs: DataFrame, text_col: str) -> DataFrame:
-        """docs with n_tokens and p_0, p_1, ...: the posterior of each domain; a text without words has the prior."""
-        buckets = self.weights.shape[1]
-        ids = docs.withColumn("__pressroom_ids", _buckets(F.col(text_col).cast("string"), buckets))
-        logits = [self._logit(p, w) for p, w in zip(self.prior, self.weights)]
-        ids = ids.withColumns({f"__pressroom_s{k}": x for k, x in enumerate(logits)}).withColumn("n_tokens", F.size("__pressroom_ids").cast("long"))
-        top = F.greatest(*[F.col(f"__pressroom_s{k}") for k in range(len(logits))])
-        parts = [F.exp(F.col(f"__pressroom_s{k}") - top) for k in range(len(logits))]
+        """docs with n_tokens and p_0, p_1, ...: the posterior of each domain; a text without words has no tokens."""
+        text = F.col(text_col).cast("string")
+        vocabulary = F.from_json(F.lit(json.dumps(self.words)), "array<string>")
+        # A salt that gives each word a slot of its own makes its weight one access.
+        salt = next(i for i in range(1_000_000) if len({_slot(w.encode(), i) for w in self.words}) == len(self.words))
+        tables = np.zeros((len(self.domains), _SLOTS))
+        for w, column in zip(self.words, self.weights.T):
+            tables[:, _slot(w.encode(), salt)] = column
+        slots = F.transform(F.array_intersect(_tokens(text), vocabulary), lambda w: F.pmod(F.crc32(F.concat(F.lit(str(salt)), w).cast("binary")), F.lit(_SLOTS)).cast("int"))
+        n = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+        rows = docs.withColumn("__pressroom_slots", slots).withColumn("n_tokens", n)
+        rows = rows.withColumns({f"__pressroom_s{k}": self._logit(k, tables[k]) for k in range(len(self.domains))})
+        top = F.greatest(F.lit(-1e300), *[F.col(f"__pressroom_s{k}") for k in range(len(self.domains))])
+        parts = [F.exp(F.col(f"__pressroom_s{k}") - top) for k in range(len(self.domains))]
         total = reduce(lambda a, b: a + b, parts)
-        return ids.withColumns({f"p_{k}": x / total for k, x in enumerate(parts)}).drop("__pressroom_ids", *[f"__pressroom_s{k}" for k in range(len(logits))])
+        return rows.withColumns({f"p_{k}": x / total for k, x in enumerate(parts)}).drop("__pressroom_slots", *[f"__pressroom_s{k}" for k in range(len(self.domains))])
 
-    def _logit(self, prior: float, weights: np.ndarray) -> Column:
-        table = _vector(weights)
-        return F.lit(math.log(prior)) + F.aggregate("__pressroom_ids", F.lit(0.0), lambda a, i: a + F.get(table, i)) / self.temperature
+    def _logit(self, k: int, table: np.ndarray) -> Column:
+        values = _vector(table)
+        return F.aggregate("__pressroom_slots", F.lit(float(self.base[k])), lambda a, i: a + F.get(values, i))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, buckets: int = BUCKETS, smoothing: float = 0.5) -> Classifier:
-    """Fit on at most `labelled` rows of labels (doc_id, domain): word counts by domain and bucket, summed map-side.
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, features: int = FEATURES) -> Classifier:
+    """Fit on at most `labelled` rows of labels (doc_id, domain): in how many documents of each domain each word stands.
 
     The labelled ids are few by that bound, so they are broadcast and documents aren't
-    shuffled; what reaches the driver is domains x buckets numbers.  A domain
-    without labelled documents keeps a uniform word model and a small prior.
+    shuffled; words are counted map-side first.  Only the `features` words whose rates
+    differ most surely between a domain and the others reach the driver.  A domain without
+    labelled documents has a small prior and no words of its own.
     """
     chosen = labels.where(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    counts = rows.select("domain", F.explode(_buckets(F.col("text"), buckets)).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()
     sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
-    table = np.full((len(domains), buckets), smoothing)
-    for r in counts:
-        table[domains.index(r["domain"]), r["bucket"]] += r["n"]
-    prior = np.array([sizes.get(d, 0) + 1.0 for d in domains])
-    log = np.log(table / table.sum(axis=1, keepdims=True))
-    # Only differences between domains matter: centred values keep sums small.
-    return Classifier(domains, (prior / prior.sum()).tolist(), log - log.mean(axis=0))
+    total = [sizes.get(d, 0) for d in domains]
+    words = rows.select("domain", F.explode(_tokens(F.col("text"))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)]).where(F.col("n") >= LEAST_DOCUMENTS)
+    told = []
+    for k in range(len(domains)):
+        n_own, n_rest = total[k] + 1.0, sum(total) - total[k] + 1.0
+        own, rest = (F.col(f"n{k}") + 0.5) / n_own, (F.col("n") - F.col(f"n{k}") + 0.5) / n_rest
+        all_ = (F.col("n") + 1.0) / (n_own + n_rest)
+        error = F.sqrt(F.greatest(all_ * (1 - all_), F.lit(1e-12)) * (1 / n_own + 1 / n_rest))
+        told.append(F.when(F.abs(F.log(own / rest)) >= APART, F.abs(own - rest) / error).otherwise(0.0))
+    best = counts.withColumn("z", F.greatest(F.lit(0.0), *told)).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "word").limit(features).collect()
+    rate = np.array([[(r[f"n{k}"] + 0.5) / (total[k] + 1.0) for r in best] for k in range(len(domains))]).reshape(len(domains), len(best)).clip(1e-9, 1 - 1e-6)
+    prior = np.array(total) + 1.0
+    base = np.log(prior / prior.sum()) + np.log1p(-rate).sum(axis=1)
+    return Classifier(domains, [r["word"] for r in best], base - base.max(), np.log(rate) - np.log1p(-rate))
 
 
 @dataclass
@@ -101,13 +132,14 @@ class Rates:
         return self.of(F.lit(1.0), [F.col(f"p_{k}") for k in range(n_domains)], self.steps)
 
 
-def fit_rates(scored: DataFrame, weights: list[float], budget: float | None = None, max_steps: int = 80, tolerance: float = 1e-3) -> Rates:
+def fit_rates(scored: DataFrame, weights: list[float], budget: float | None = None, max_steps: int = 40, tolerance: float = 1e-3) -> Rates:
     """Nonnegative rates whose expected tokens by domain, sum of rate * n_tokens * p_k, are weights * budget.
 
     Least squares over domains, each residual relative to the domain's own mass, by projected
     gradient from rate 1: every step is one aggregate over the scored table that brings one number for each
     domain to the driver.  Without a budget the domain of the largest weight keeps its tokens.
-    Steps end when each total is within tolerance of its target, or after max_steps.
+    Steps end when each total is within tolerance of its target, when they no longer
+    change anything, or after max_steps.
     A domain without tokens can't reach its target; the rest are still fitted.
     """
     n = len(weights)
@@ -139,8 +171,10 @@ def fit_rates(scored: DataFrame, weights: list[float], budget: float | None = No
             table, done = keep(table.withColumn("rate", rates.of(F.col("rate"), p, rates.steps[done:])), "rates"), len(rates.steps)
         rate = rates.of(F.col("rate"), p, rates.steps[done:])
         got = table.select("n_tokens", *p, rate.alias("rate")).agg(*[F.sum(F.col("rate") * tokens * x).alias(f"e{k}") for k, x in enumerate(p)]).first()
-        now = np.array([got[f"e{k}"] or 0.0 for k in range(n)])
+        before, now = now, np.array([got[f"e{k}"] or 0.0 for k in range(n)])
         rates.expected = now.tolist()
+        if np.abs(now - before).max() <= 0.05 * tolerance * target.max():
+            break
     return rates
 
 
@@ -152,7 +186,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     shares of tokens.  copies is the rate rounded to one of its neighbours by a draw that
     hashes id and seed, so that its mean is the rate.
 
-    Null and empty texts have no tokens, the prior as posterior, and the rate that follows from it.  Rows that
+    Null and empty texts have no tokens, the posterior of a text without words, and the rate that follows from it.  Rows that
     repeat an id have one draw.  An empty table gives an empty one; without labels all
     posteriors are uniform.  Columns of docs with the names above are replaced.
     """

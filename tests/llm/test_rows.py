@@ -195,10 +195,10 @@ def test_mixing_edges(spark):
     docs, labels, _ = mixing_tables(spark)
     assert mix(docs.limit(0), labels).count() == 0
     none = mix(docs, labels.limit(0), {"clean": 1.0, "junk": 1.0}).toPandas()
-    assert none["p_0"].to_numpy() == pytest.approx(0.5, abs=1e-6)
+    assert none["p_0"].to_numpy() == pytest.approx(0.5, abs=1e-6) and len(none) == docs.count()
     kept = sample_mix(docs, labels, targets={"clean": 0.9, "toxic": 0.05, "junk": 0.05})
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     model = fit_classifier(docs, labels, ["clean", "junk"], labelled=10)
-    assert model.weights.shape[0] == 2
+    assert model.weights.shape == (2, len(model.words))
     plan = model.score(docs, "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
