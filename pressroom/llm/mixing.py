@@ -89,8 +89,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
     """Fit on at most `labelled` rows of labels (doc_id, domain): in how many documents of each domain each word stands.
 
     The labelled ids are few by that bound, so they are broadcast and documents aren't
-    shuffled; words are counted map-side first.  Only the `features` words whose rates
-    differ most surely between a domain and the others reach the driver.  A domain without
+    shuffled; words are counted map-side first.  Only the `features` words that most surely
+    stand oftener in a domain than in the others reach the driver; a domain of more than half
+    the documents is known by lacking the words of the others, since what is missing from a
+    text depends on its length.  A domain without
     labelled documents has a small prior and no words of its own.
     """
     chosen = labels.where(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(labelled)
@@ -105,7 +107,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
         own, rest = (F.col(f"n{k}") + 0.5) / n_own, (F.col("n") - F.col(f"n{k}") + 0.5) / n_rest
         all_ = (F.col("n") + 1.0) / (n_own + n_rest)
         error = F.sqrt(F.greatest(all_ * (1 - all_), F.lit(1e-12)) * (1 / n_own + 1 / n_rest))
-        told.append(F.when(F.abs(F.log(own / rest)) >= APART, F.abs(own - rest) / error).otherwise(0.0))
+        told.append(F.when((F.log(own / rest) >= APART) & F.lit(n_own <= n_rest), (own - rest) / error).otherwise(0.0))
     best = counts.withColumn("z", F.greatest(F.lit(0.0), *told)).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "word").limit(features).collect()
     rate = np.array([[(r[f"n{k}"] + 0.5) / (total[k] + 1.0) for r in best] for k in range(len(domains))]).reshape(len(domains), len(best)).clip(1e-9, 1 - 1e-6)
     prior = np.array(total) + 1.0
