@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,18 +67,19 @@ def _key(tree, depth: int):
     return F.xxhash64(tree, F.lit(depth), F.substring(F.col("sig"), tree * (4 * DEPTH) + 1, F.lit(4 * depth)))
 
 
-def _regions(sets: DataFrame, region: int, shingles: int) -> tuple[DataFrame, DataFrame]:
+def _regions(sets: DataFrame, region: int, shingles: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Regions (members) of two sets or more, and pairs (a, b) of the members of any larger region with its smallest.
 
     A region holds the sets that stand together in a tree's sorted order with a
     common prefix of LEAST_DEPTH values.  Where more than region sets, or sets of more than
     shingles in all, share it, the prefix grows, for that region alone.  A region that is
-    still too large at full depth is dealt into parts by set, and its smallest set joins each part.
+    still too large at full depth is dealt into parts by set, and its smallest set joins each
+    part; the third result has these parts (key, part, doc_id, hub).
     """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = sets.select("doc_id", "n_shingles", trees, "sig")
     fits = (F.col("size") <= region) & ((F.col("weight") <= shingles) | (F.col("size") == 2))
-    found, hubs = [], []
+    found, hubs, dealt = [], [], None
     for depth in range(LEAST_DEPTH, DEPTH + 1):
         level = rows.select("doc_id", "n_shingles", "tree", _key(F.col("tree"), depth).alias("key"))
         sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min("doc_id").alias("hub")).where("size > 1")
@@ -92,18 +94,14 @@ def _regions(sets: DataFrame, region: int, shingles: int) -> tuple[DataFrame, Da
             rows = large.select("doc_id", "n_shingles", "tree").join(sets.select("doc_id", "sig"), "doc_id")
         else:
             parts = F.greatest(F.ceil(F.col("size") / F.lit(region)), F.ceil(F.col("weight") / F.lit(shingles)))
-            found.append(large.select("key", F.pmod(F.xxhash64("doc_id"), parts).alias("part"), "doc_id"))
+            dealt = large.select("key", F.pmod(F.xxhash64("doc_id", "key"), parts).alias("part"), "doc_id", "hub")
+            found.append(dealt.drop("hub"))
             found.append(large.where("doc_id = hub").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id"))
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
+    every = reduce(DataFrame.unionByName, found)
     # The same members often meet in many trees: one region of each kind stays.
     regions = every.groupBy("key", "part").agg(F.sort_array(F.collect_set("doc_id")).alias("members")).where("size(members) > 1")
     regions = regions.groupBy(F.xxhash64("members").alias("region"), F.size("members").alias("size")).agg(F.first("members").alias("members"))
-    star = sets.sparkSession.createDataFrame([], "a long, b long")
-    for x in hubs:
-        star = star.unionByName(x)
-    return regions, star
+    return regions, reduce(DataFrame.unionByName, hubs) if hubs else None, dealt
 
 
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -177,6 +175,30 @@ def _compare(k: int, percent: int):
     return run
 
 
+def _rest(dealt: DataFrame, labels: DataFrame, region: int) -> DataFrame:
+    """(region, doc_id): what the parts of a region that was dealt out leave open.
+
+    Members that aren't in the component of the region's smallest set are its query set; in
+    blocks of at most region they meet every part, whose members are all other rows.
+    """
+    named = labels.select("node", "component")
+    rows = dealt.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    of_hub = dealt.select("key", "hub").distinct().join(named.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("main"))
+    asking = rows.join(of_hub, "key").where("component <> main")
+    sizes = asking.groupBy("key").agg(F.ceil(F.count("*") / F.lit(region)).alias("blocks"))
+    asking = asking.join(sizes, "key").select("key", "doc_id", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).alias("block"))
+    parts = dealt.select("key", "part").distinct()
+    met = asking.join(parts, "key").select("key", "part", "block", "doc_id")
+    held = dealt.select("key", "part", "doc_id").join(sizes, "key").select("key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id")
+    return met.unionByName(held).select(F.xxhash64("key", "part", "block").alias("region"), "doc_id").distinct()
+
+
+def _meet(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within each region of members (region, doc_id)."""
+    met = members.join(texts, "doc_id").repartition("region").sortWithinPartitions("region")
+    return met.mapInArrow(_links(k, percent), "a long, b long")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -198,7 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compares all whose components differ so far; it returns the links of a spanning forest only.
     Regions beyond the bounds are split by deeper labels: there a pair meets at depth d
     with probability 1 - (1 - s**d)**TREES, and each member is compared with the region's
-    smallest set besides.
+    smallest set besides.  A region too large at full depth is compared in parts, and then
+    those of its members that aren't in the smallest set's component with all others, in blocks.
 
     Nulls and empties: a null or wordless text has an empty set and is linked with
     nothing; a null id is returned with null component_id and kept true.  Rows that
@@ -209,15 +232,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sketches.where("doc_id is not null and n_shingles > 0")
     sets = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
     sets = keep(sets.select("h1", "h2", "x.*"), "sets")
-    regions, star = _regions(sets, region, shingles)
+    regions, star, dealt = _regions(sets, region, shingles)
     members = regions.select("region", F.explode("members").alias("doc_id"))
     texts = docs.where("doc_id is not null")
-    met = members.join(texts, "doc_id").repartition("region").sortWithinPartitions("region")
-    links = met.mapInArrow(_links(k, percent), "a long, b long").unionByName(_confirm(star, texts, k, percent))
+    links = _meet(members, texts, k, percent)
+    if star is not None:
+        links = links.unionByName(_confirm(star.distinct(), texts, k, percent))
     ids = full.groupBy("doc_id").agg(F.count("*").alias("rows"))
     # Rows that repeat an id may stand for several sets.
     same_id = full.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi").join(sets.select("h1", "h2", F.col("doc_id").alias("rep")), ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(links.unionByName(same_id))
+    links = links.unionByName(same_id)
+    if dealt is None:
+        labels = components(links)
+    else:
+        links = keep(links, "links")
+        labels = components(links)
+        labels = components(links.unionByName(_meet(_rest(dealt, labels, region), texts, k, percent)))
     of_set = sets.select("h1", "h2", F.col("doc_id").alias("set_id")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component_id", F.coalesce("component", "set_id")).drop("component")
     rows = sketches.select("doc_id", "n_shingles", "h1", "h2")
     linked = rows.where("doc_id is not null and n_shingles > 0").join(of_set, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "set_id")
