@@ -173,11 +173,21 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     return met.mapInArrow(_extend(window), _SPAN)
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in compressed form, for the shuffle to their spans."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        texts = [t.as_buffer() if t.is_valid else None for t in batch.column("text")]
+        packed = [None if t is None else codec.compress(t, asbytes=True) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array([0 if t is None else t.size for t in texts], pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "tag", "size", "packed"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
     for batch in batches:
         counts, removed, kept, spans_out = [], [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
-            words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+        for size, packed, spans in zip(batch.column("size").to_pylist(), batch.column("packed"), batch.column("spans").to_pylist()):
+            words = codec.decompress(packed.as_buffer(), size, asbytes=True).split() if packed.is_valid else []
             n, out = len(words), []
             if spans:
                 place, merged = 0, []
@@ -218,7 +228,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tag = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)).cast("int")
     docs = docs.withColumn("tag", tag)
     spans = repeated_spans(docs, window).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    joined = docs.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    texts = docs.select("doc_id", "tag", "text").mapInArrow(_pack_texts, "doc_id long, tag int, size int, packed binary")
+    joined = texts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "size", "packed", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first:int,last:int>>")
 
 
