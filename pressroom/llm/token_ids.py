@@ -49,12 +49,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        config = json.loads(self.tokenizer.to_str())
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.top = max(vocab.values())
-        self.lower = "Lowercase" in json.dumps(config.get("normalizer"))
-        self.special = [t["content"].encode().lower() for t in config.get("added_tokens", [])]
-        suffix = config["model"].get("end_of_word_suffix")
+        self.lower = "Lowercase" in repr(self.tokenizer.normalizer)
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.top + 1, dtype=bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
