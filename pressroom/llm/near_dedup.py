@@ -74,12 +74,15 @@ def _regions(sets: DataFrame, region: int, shingles: int) -> tuple[DataFrame, Da
     common prefix of LEAST_DEPTH values.  Where more than region sets, or sets of more than
     shingles in all, share it, the prefix grows, for that region alone.  A region that is
     still too large at full depth is dealt into parts by set, and its smallest set joins each
-    part; the third result has these parts (key, part, doc_id, hub).
+    part.  The third result has the regions that were split, as they are at LEAST_DEPTH, in
+    such parts (key, part, doc_id, n_shingles): what meets deeper is within one of them.
     """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = sets.select("doc_id", "n_shingles", trees, "sig")
     fits = (F.col("size") <= region) & ((F.col("weight") <= shingles) | (F.col("size") == 2))
-    found, hubs, dealt = [], [], None
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(region)), F.ceil(F.col("weight") / F.lit(shingles)))
+    part = F.pmod(F.xxhash64("doc_id", "key"), parts).alias("part")
+    found, hubs, split = [], [], None
     for depth in range(LEAST_DEPTH, DEPTH + 1):
         level = rows.select("doc_id", "n_shingles", "tree", _key(F.col("tree"), depth).alias("key"))
         sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min("doc_id").alias("hub")).where("size > 1")
@@ -90,18 +93,18 @@ def _regions(sets: DataFrame, region: int, shingles: int) -> tuple[DataFrame, Da
             break
         large = keep(level.where(~fits), "large")
         hubs.append(large.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+        if depth == LEAST_DEPTH:
+            split = large.select("key", part, "doc_id", "n_shingles")
         if depth < DEPTH:
             rows = large.select("doc_id", "n_shingles", "tree").join(sets.select("doc_id", "sig"), "doc_id")
         else:
-            parts = F.greatest(F.ceil(F.col("size") / F.lit(region)), F.ceil(F.col("weight") / F.lit(shingles)))
-            dealt = large.select("key", F.pmod(F.xxhash64("doc_id", "key"), parts).alias("part"), "doc_id", "hub")
-            found.append(dealt.drop("hub"))
+            found.append(large.select("key", part, "doc_id"))
             found.append(large.where("doc_id = hub").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id"))
     every = reduce(DataFrame.unionByName, found)
     # The same members often meet in many trees: one region of each kind stays.
     regions = every.groupBy("key", "part").agg(F.sort_array(F.collect_set("doc_id")).alias("members")).where("size(members) > 1")
     regions = regions.groupBy(F.xxhash64("members").alias("region"), F.size("members").alias("size")).agg(F.first("members").alias("members"))
-    return regions, reduce(DataFrame.unionByName, hubs) if hubs else None, dealt
+    return regions, reduce(DataFrame.unionByName, hubs) if hubs else None, split
 
 
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -175,22 +178,25 @@ def _compare(k: int, percent: int):
     return run
 
 
-def _rest(dealt: DataFrame, labels: DataFrame, region: int) -> DataFrame:
-    """(region, doc_id): what the parts of a region that was dealt out leave open.
+def _rest(split: DataFrame, labels: DataFrame, region: int, shingles: int) -> DataFrame:
+    """(region, doc_id): what is left open in the regions that were split.
 
-    Members that aren't in the component of the region's smallest set are its query set; in
-    blocks of at most region they meet every part, whose members are all other rows.
+    Members that aren't in the component of most members are a region's query set; in blocks of at most
+    about region sets or shingles they meet every part, whose members are all other rows.
     """
-    named = labels.select("node", "component")
-    rows = dealt.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    of_hub = dealt.select("key", "hub").distinct().join(named.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("main"))
-    asking = rows.join(of_hub, "key").where("component <> main")
-    sizes = asking.groupBy("key").agg(F.ceil(F.count("*") / F.lit(region)).alias("blocks"))
+    rows = split.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    tally = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = tally.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    asking = keep(rows.join(main, "key").where("component <> main").select("key", "doc_id", "n_shingles"), "asking")
+    sizes = asking.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(region)), F.ceil(F.sum("n_shingles") / F.lit(shingles))).alias("blocks"))
     asking = asking.join(sizes, "key").select("key", "doc_id", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).alias("block"))
-    parts = dealt.select("key", "part").distinct()
+    parts = split.select("key", "part").distinct()
     met = asking.join(parts, "key").select("key", "part", "block", "doc_id")
-    held = dealt.select("key", "part", "doc_id").join(sizes, "key").select("key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id")
-    return met.unionByName(held).select(F.xxhash64("key", "part", "block").alias("region"), "doc_id").distinct()
+    held = split.select("key", "part", "doc_id").join(sizes, "key").select("key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id")
+    every = met.unionByName(held).groupBy("key", "part", "block").agg(F.sort_array(F.collect_set("doc_id")).alias("members"))
+    # As in _regions, the same members often meet in many trees.
+    every = every.groupBy(F.xxhash64("members").alias("region"), F.size("members").alias("size")).agg(F.first("members").alias("members"))
+    return every.select("region", F.explode("members").alias("doc_id"))
 
 
 def _meet(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -218,10 +224,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The texts of a region meet in one task, bounded by REGION and REGION_SHINGLES, which
     compares all whose components differ so far; it returns the links of a spanning forest only.
-    Regions beyond the bounds are split by deeper labels: there a pair meets at depth d
-    with probability 1 - (1 - s**d)**TREES, and each member is compared with the region's
-    smallest set besides.  A region too large at full depth is compared in parts, and then
-    those of its members that aren't in the smallest set's component with all others, in blocks.
+    Regions beyond the bounds are split by deeper labels, and those too large at full depth
+    are compared in parts; each member is compared with the region's smallest set besides.
+    These links only join most members early: then those that are outside a split region's main
+    component are compared with all of its members, in blocks, so that no split loses a link.
 
     Nulls and empties: a null or wordless text has an empty set and is linked with
     nothing; a null id is returned with null component_id and kept true.  Rows that
@@ -232,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sketches.where("doc_id is not null and n_shingles > 0")
     sets = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
     sets = keep(sets.select("h1", "h2", "x.*"), "sets")
-    regions, star, dealt = _regions(sets, region, shingles)
+    regions, star, split = _regions(sets, region, shingles)
     members = regions.select("region", F.explode("members").alias("doc_id"))
     texts = docs.where("doc_id is not null")
     links = _meet(members, texts, k, percent)
@@ -242,12 +248,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows that repeat an id may stand for several sets.
     same_id = full.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi").join(sets.select("h1", "h2", F.col("doc_id").alias("rep")), ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = links.unionByName(same_id)
-    if dealt is None:
+    if split is None:
         labels = components(links)
     else:
         links = keep(links, "links")
         labels = components(links)
-        labels = components(links.unionByName(_meet(_rest(dealt, labels, region), texts, k, percent)))
+        labels = components(links.unionByName(_meet(_rest(split, labels, region, shingles), texts, k, percent)))
     of_set = sets.select("h1", "h2", F.col("doc_id").alias("set_id")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component_id", F.coalesce("component", "set_id")).drop("component")
     rows = sketches.select("doc_id", "n_shingles", "h1", "h2")
     linked = rows.where("doc_id is not null and n_shingles > 0").join(of_set, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "set_id")

@@ -91,6 +91,19 @@ def test_near_duplicates(spark, region):
     assert sizes == {(i, len(shingles(t))) for i, t in docs if i is not None}
 
 
+def test_split_regions_lose_no_borderline_link(spark):
+    """Pairs of similarity 0.75 of one template that isn't similar enough to them; at 20 trees of six values one pair never meets."""
+    template = [f"t{i}" for i in range(60)]
+    docs = [(0, " ".join(template))]
+    for i in range(40):
+        own = [f"p6n{i}x{j}" for j in range(10)]
+        docs += [(2 * i + 1 + side, " ".join(template + own + [f"q6n{i}s{side}x{j}" for j in range(11)])) for side in (0, 1)]
+    expected = brute_components(docs)
+    assert len(set(expected.values())) == 41
+    rows = near_duplicates(frame(spark, docs), region=3).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == expected
+
+
 def test_near_duplicates_keep_columns_and_empty_tables(spark):
     docs = frame(spark, [(i, t, 1, "x", 2.0) for i, t in corpus()], "doc_id long, text string, component_id int, key string, kept double")
     kept = drop_near_duplicates(docs)
