@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay at the rates that bring the domains of the labels to their target weights."""
+    """Documents stay, or are repeated, at the rates that bring the domains of the labels to their target weights."""
     return sample_mix(docs, label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), targets=TARGETS)
 
 

@@ -205,10 +205,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def sample_mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that mix gives a copy or more, once each, columns as they are."""
+    """The rows of docs, each as often as mix gives it copies, columns as they are.
+
+    Copies of a row keep its id.
+    """
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(options.pop("id_col", "doc_id")).alias("doc_id"), F.col(options.pop("text_col", "text")).alias("text"))
-    return mix(packed, labels, **options).where("copies > 0").select("row.*")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mix(packed, labels, **options).where("copies > 0").select("row", copies.alias("copy")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,22 @@ def test_mixing_reaches_targets(spark):
     assert np.abs(out["rate"].to_numpy() - r).max() < 0.02
 
 
+def test_sample_mix_has_the_target_shares(spark):
+    """Toxic tokens are below their share, so that their documents need two copies or more."""
+    docs, labels, rows = mixing_tables(spark)
+    targets = {"clean": 0.5, "toxic": 0.4, "junk": 0.1}
+    plan = {r["doc_id"]: r["copies"] for r in mix(docs, labels, targets).collect() if r["doc_id"] is not None}
+    got = sample_mix(docs, labels, targets=targets).collect()
+    assert max(plan.values()) > 1
+    repeats = Counter(i for i, _, _ in rows)
+    assert Counter(r["doc_id"] for r in got if r["doc_id"] is not None) == {i: n * repeats[i] for i, n in plan.items() if n}
+    tokens = Counter()
+    for r in got:
+        tokens[r["rate"]] += len((r["text"] or "").split())
+    for d, share in targets.items():
+        assert tokens[d] / sum(tokens.values()) == pytest.approx(share, abs=0.03)
+
+
 def test_mixing_edges(spark):
     docs, labels, _ = mixing_tables(spark)
     assert mix(docs.limit(0), labels).count() == 0
