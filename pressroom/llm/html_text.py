@@ -28,6 +28,8 @@ _OTHER = re.compile(
 )
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SIGMA = 1.0
+#: What an article or main element adds to a region's share of text in lines of high ratio, which is to pass a half.
+PRIOR = 0.4
 
 
 @dataclass
@@ -127,18 +129,17 @@ def select(lines: list[Line], sigma: float = SIGMA) -> list[Line]:
 
     Each line's ratio of characters to tags is smoothed and compared with the standard
     deviation of all lines' ratios, which divides them in two clusters; a region whose text mostly
-    lies above is content, and then all its lines are.  Regions in an article or main
-    element are content; where the page has any, no other region is.
+    lies above is content, and then all its lines are.  In an article or main element less of
+    a region's text need lie above, by PRIOR.
     """
     if not lines:
         return []
-    if any(x.content for x in lines):
-        return [x for x in lines if x.content]
     size = np.array([len(x.text) for x in lines], dtype=float)
     ratios = smooth(size / np.maximum(1, [x.tags for x in lines]), sigma)
     high = ratios >= min(float(ratios.std()), float(ratios.max()))
     region = np.array([x.region for x in lines])
-    chosen = {r for r in set(region.tolist()) if size[(region == r) & high].sum() * 2 > size[region == r].sum()}
+    prior = {x.region: PRIOR * x.content for x in lines}
+    chosen = {r for r in prior if size[(region == r) & high].sum() > (0.5 - prior[r]) * size[region == r].sum()}
     return [x for x in lines if x.region in chosen]
 
 

@@ -160,6 +160,15 @@ def test_html_text(spark):
     assert smooth(np.array([1.0, 1, 1, 1])) == pytest.approx([1, 1, 1, 1]) and select([]) == []
 
 
+def test_article_elements_are_a_prior_only():
+    body = [" ".join([f"body{i}"] * 40) for i in range(5)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in body)
+    links = "<p><a href='/b'>Read</a> <a href='/c'>more</a></p><p><a href='/d'>Also</a> <i>this</i></p>"
+    teaser = f"<body><article><h2><a href='/a'><b>Teaser</b></a></h2>{links}</article><div>{paragraphs}</div></body>"
+    inside = f"<body><article><div>{paragraphs}</div><div>{links}<p><a>One</a> <a>two</a></p></div></article></body>"
+    assert main_text(teaser) == main_text(inside) == "\n".join(body)
+
+
 def mixing_tables(spark):
     rng = random.Random(2)
     words = {"clean": "river stone cloud meadow lantern harbour".split(), "toxic": "idiot scum moron stone river cloud".split(), "junk": "aaa bbb ccc ddd eee fff".split()}
