@@ -77,8 +77,8 @@ def derive_route(df: DataFrame, senders: DataFrame, lists: list[tuple[str, str]]
     return rows.withColumns({"route_tag": F.coalesce(F.col("_r"), by_sender, by_list), "route_source": source}).drop("_r", "_h", "_e", "_t1", "_t2", "_t3", "_t4")
 
 
-def drop_banned_hosts(df: DataFrame, url: str = "url", origin: str | None = None, banned: list[str] | None = None) -> DataFrame:
-    """Rows with a host that is neither the origin nor banned, nor below one of these.
+def drop_banned_hosts(df: DataFrame, url: str = "url", origin: str | None = None, banned: list[str] | None = None, banned_hosts: DataFrame | None = None) -> DataFrame:
+    """Rows with a host that is neither the origin nor banned, nor below one of these; banned_hosts (host) may be any number.
 
     A host's suffixes at its dots are compared by equality, so no suffix is searched in pairs.
     """
@@ -87,4 +87,8 @@ def drop_banned_hosts(df: DataFrame, url: str = "url", origin: str | None = None
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     stop = F.array(*[F.lit(b) for b in (BYPASS_HOSTS if banned is None else banned)])
     own = F.array_contains(suffixes, F.nullif(F.col(origin), F.lit(""))) if origin else F.lit(False)
-    return df.where((host != "") & ~F.arrays_overlap(suffixes, stop) & ~F.coalesce(own, F.lit(False)))
+    rows = df.where((host != "") & ~F.arrays_overlap(suffixes, stop) & ~F.coalesce(own, F.lit(False)))
+    if banned_hosts is None:
+        return rows
+    below = df.select(host.alias("__host"), F.explode(suffixes).alias("host")).distinct().join(banned_hosts.select("host").distinct(), "host", "left_semi").select("__host").distinct()
+    return rows.withColumn("__host", host).join(below, "__host", "left_anti").drop("__host")

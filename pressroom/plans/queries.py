@@ -240,8 +240,8 @@ def derive_route(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT page_id FROM pages WHERE {host_sql('url')} <> '' AND NOT regexp_matches({host_sql('url')}, '(^|\\.)example\\.net$') AND NOT regexp_matches({host_sql('url')}, '(^|\\.)th[a-z]*\\.example\\.org$')")
 def drop_banned_hosts(spark: SparkSession, d: str) -> DataFrame:
     rows = B.pages(spark, d)
-    banned = [r[0] for r in rows.select(F.regexp_extract(X.url_host(F.col("url")), r"(th[a-z]*\.example\.org)$", 1).alias("h")).where("h <> ''").distinct().limit(10_000).collect()]
-    return routing.drop_banned_hosts(rows.withColumn("origin", F.lit("example.net")), "url", "origin", routing.BYPASS_HOSTS + banned).select("page_id")
+    banned = rows.select(F.regexp_extract(X.url_host(F.col("url")), r"(th[a-z]*\.example\.org)$", 1).alias("host")).where("host <> ''")
+    return routing.drop_banned_hosts(rows.withColumn("origin", F.lit("example.net")), "url", "origin", banned_hosts=banned).select("page_id")
 
 
 @query(f"SELECT page_id, CASE WHEN regexp_matches({host_sql('url')}, '\\.org$') THEN 'substack' END AS kind, CASE WHEN regexp_matches({host_sql('url')}, '\\.org$') THEN 'https://' || {host_sql('url', True)} || '/api/v1/posts/by-id/' || page_id END AS api_url FROM pages")

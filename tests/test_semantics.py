@@ -293,3 +293,14 @@ def test_registered_functions(spark):
     row = spark.sql("SELECT article_slug(' A  b! ') AS a, url_host('https://www.X.org:1/') AS h, word_count('a b  c') AS n, backoff_minutes(3) AS m, size(word_tokens('Ab c_d')) AS t").first()
     assert tuple(row) == ("a-b", "x.org", 3, 4, 2)
     assert re.match("[0-9a-f]{8}$", spark.sql("SELECT short_hash('x') AS v").first()["v"])
+
+
+def test_every_banned_host_is_dropped(spark, tmp_path):
+    """More banned hosts than a list in the plan would take."""
+    from pressroom.plans.queries import QUERIES
+
+    name = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    pages = spark.range(10_050).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.th"), name, F.lit(".example.org/x")).alias("url"), F.lit("").alias("html"))
+    kept = spark.createDataFrame([(-1, "https://a.example.org/x", ""), (-2, "https://th1.example.org/", ""), (-3, "https://b.thx.example.org/", ""), (-4, None, "")], "page_id long, url string, html string")
+    pages.unionByName(kept).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r["page_id"] for r in QUERIES["drop_banned_hosts"](spark, str(tmp_path)).collect()) == [-2, -1]
