@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import zlib
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -21,6 +21,7 @@ LABELLED = 20_000
 FEATURES, LEAST_DOCUMENTS = 512, 10
 #: Standard errors, and natural logarithms, that a word's rates in a domain and in the others are to differ by.
 SIGNIFICANT, APART = 5.0, 0.7
+#: Slots of the table of word weights: the least number from this on that gives each word one of its own.
 _SLOTS = 1 << 15
 
 
@@ -49,8 +50,16 @@ def _vector(values: np.ndarray) -> Column:
     return F.from_json(F.lit(json.dumps([float(f"{v:.6g}") for v in values])), "array<double>")
 
 
-def _slot(word: bytes, salt: int) -> int:
-    return zlib.crc32(str(salt).encode() + word) % _SLOTS
+def slots_of(hashes: list[int]) -> int:
+    """The least number of slots, _SLOTS or more, by which no two of these distinct 64-bit hashes fall together.
+
+    A number of about 2**16 slots keeps 512 hashes apart once in some ten tries, so the search is short; it ends
+    for any hashes, since more slots than their range is wide keep all apart.
+    """
+    n = _SLOTS
+    while len({h % n for h in hashes}) < len(hashes):
+        n += 1
+    return n
 
 
 @dataclass
@@ -59,6 +68,7 @@ class Classifier:
 
     domains: list[str]
     words: list[str]
+    hashes: list[int]  # xxhash64 of each word, by Spark
     base: np.ndarray
     weights: np.ndarray
 
@@ -66,12 +76,12 @@ class Classifier:
         """docs with n_tokens and p_0, p_1, ...: the posterior of each domain; a text without words has no tokens."""
         text = F.col(text_col).cast("string")
         vocabulary = F.from_json(F.lit(json.dumps(self.words)), "array<string>")
-        # A salt that gives each word a slot of its own makes its weight one access.
-        salt = next(i for i in range(1_000_000) if len({_slot(w.encode(), i) for w in self.words}) == len(self.words))
-        tables = np.zeros((len(self.domains), _SLOTS))
-        for w, column in zip(self.words, self.weights.T):
-            tables[:, _slot(w.encode(), salt)] = column
-        slots = F.transform(F.array_intersect(_tokens(text), vocabulary), lambda w: F.pmod(F.crc32(F.concat(F.lit(str(salt)), w).cast("binary")), F.lit(_SLOTS)).cast("int"))
+        # A slot for each word makes its weight one access.
+        n_slots = slots_of(self.hashes)
+        tables = np.zeros((len(self.domains), n_slots))
+        for h, column in zip(self.hashes, self.weights.T):
+            tables[:, h % n_slots] = column
+        slots = F.transform(F.array_intersect(_tokens(text), vocabulary), lambda w: F.pmod(F.xxhash64(w), F.lit(n_slots)).cast("int"))
         n = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
         rows = docs.withColumn("__pressroom_slots", slots).withColumn("n_tokens", n)
         rows = rows.withColumns({f"__pressroom_s{k}": self._logit(k, tables[k]) for k in range(len(self.domains))})
@@ -108,11 +118,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], id_co
         all_ = (F.col("n") + 1.0) / (n_own + n_rest)
         error = F.sqrt(F.greatest(all_ * (1 - all_), F.lit(1e-12)) * (1 / n_own + 1 / n_rest))
         told.append(F.when((F.log(own / rest) >= APART) & F.lit(n_own <= n_rest), (own - rest) / error).otherwise(0.0))
-    best = counts.withColumn("z", F.greatest(F.lit(0.0), *told)).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "word").limit(features).collect()
+    best = counts.withColumn("z", F.greatest(F.lit(0.0), *told)).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "word").limit(features).withColumn("h", F.xxhash64("word")).collect()
+    # Of words with one hash, which don't occur in practice, the surer stays.
+    best = list({r["h"]: r for r in reversed(best)}.values())[::-1]
     rate = np.array([[(r[f"n{k}"] + 0.5) / (total[k] + 1.0) for r in best] for k in range(len(domains))]).reshape(len(domains), len(best)).clip(1e-9, 1 - 1e-6)
     prior = np.array(total) + 1.0
     base = np.log(prior / prior.sum()) + np.log1p(-rate).sum(axis=1)
-    return Classifier(domains, [r["word"] for r in best], base - base.max(), np.log(rate) - np.log1p(-rate))
+    return Classifier(domains, [r["word"] for r in best], [r["h"] for r in best], base - base.max(), np.log(rate) - np.log1p(-rate))
 
 
 @dataclass
@@ -123,6 +135,11 @@ class Rates:
     expected: list[float] = field(default_factory=list)
     target: list[float] = field(default_factory=list)
 
+    @property
+    def residual(self) -> float:
+        """The largest miss of a domain's target, as a share of the largest target."""
+        return max((abs(e - t) for e, t in zip(self.expected, self.target)), default=0.0) / (max(self.target, default=0.0) or 1.0)
+
     def of(self, start: Column, posterior: list[Column], steps: list[list[float]]) -> Column:
         if not steps:
             return start
@@ -141,7 +158,8 @@ def fit_rates(scored: DataFrame, weights: list[float], budget: float | None = No
     gradient from rate 1: every step is one aggregate over the scored table that brings one number for each
     domain to the driver.  Without a budget the domain of the largest weight keeps its tokens.
     Steps end when each total is within tolerance of its target, when they no longer
-    change anything, or after max_steps.
+    change anything, or after max_steps; a warning tells of targets that are missed by over ten times the
+    tolerance, and the result's residual says by how much.
     A domain without tokens can't reach its target; the rest are still fitted.
     """
     n = len(weights)
@@ -177,6 +195,8 @@ def fit_rates(scored: DataFrame, weights: list[float], budget: float | None = No
         rates.expected = now.tolist()
         if np.abs(now - before).max() <= 0.05 * tolerance * target.max():
             break
+    if rates.residual > 10 * tolerance:
+        warnings.warn(f"rates miss a target by {rates.residual:.3g} of the largest: expected {rates.expected}, targets {rates.target}", stacklevel=2)
     return rates
 
 

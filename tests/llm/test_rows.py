@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 
 from pressroom.llm.html_text import extract_text, main_text, select, smooth
 from pressroom.llm.licenses import TEMPLATES, scan_licenses
-from pressroom.llm.mixing import fit_classifier, mix, sample_mix
+from pressroom.llm.mixing import fit_classifier, fit_rates, mix, sample_mix, slots_of
 from pressroom.llm.pii import permute_number, permute_text, pseudonymize
 from pressroom.llm.quality import clean_documents, quality
 
@@ -216,6 +217,33 @@ def test_sample_mix_has_the_target_shares(spark):
         assert tokens[d] / sum(tokens.values()) == pytest.approx(share, abs=0.03)
 
 
+def test_words_whose_checksums_collide_have_slots_of_their_own(spark):
+    """CRC-32 is linear: words of one length that collide with one salt do so with all."""
+    words, seen = [], {}
+    for i in range(200_000):
+        w = f"{i * 7919 % 308_915_776:06x}"
+        other = seen.setdefault(zlib.crc32(w.encode()) % (1 << 15), w)
+        if other != w:
+            words += [w, other]
+        if len(words) >= 40:
+            break
+    docs = spark.createDataFrame([(i, f"{'plain' if i % 3 else ' '.join(words)} text {i}") for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "b" if i % 3 == 0 else "a") for i in range(120)], "doc_id long, domain string")
+    model = fit_classifier(docs, labels, ["a", "b"])
+    assert set(words) <= set(model.words)
+    out = mix(docs, labels, {"a": 0.6, "b": 0.4})
+    assert {r["doc_id"] for r in out.where("domain = 'b'").collect()} == {i for i in range(120) if i % 3 == 0}
+    n = slots_of(model.hashes)
+    assert len({h % n for h in model.hashes}) == len(model.hashes) and slots_of([0, 1 << 15, 3]) == (1 << 15) + 1
+
+
+def test_rates_tell_of_missed_targets(spark):
+    scored = spark.createDataFrame([(100, 1.0, 0.0)] * 3, "n_tokens long, p_0 double, p_1 double")
+    with pytest.warns(UserWarning, match="miss a target"):
+        rates = fit_rates(scored, [0.5, 0.5])
+    assert rates.residual > 0.9
+
+
 def test_mixing_edges(spark):
     docs, labels, _ = mixing_tables(spark)
     assert mix(docs.limit(0), labels).count() == 0
