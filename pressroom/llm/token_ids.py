@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import read_all, read_at, replacing
@@ -22,26 +22,36 @@ from .textops import SPACED, U64, Block, blocks, mix
 
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 1 << 15
-#: Words whose ids a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 1 << 20
+#: Bytes of the words and ids that a task remembers, with what Python adds to each; beyond it, it starts afresh.
+REMEMBERED, _ADDED = 32 << 20, 200
+#: Bytes of text that are encoded at once, or one whole longer text.
+_PIECE = 1 << 20
 _GAMMA, _MAGIC = 2.0, b"PRIX0001"
 _ENTRY = "doc_id long, shard int, first long, n_tokens int, crc long"
 
+#: Shards whose starts are summed in one group.
+_GROUP = 4096
+
 _encoders: dict[str, "Encoder"] = {}
+# How a tokenizer whose ids can be taken word by word describes its rules.
+_WORDWISE = (
+    r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])',
+    r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])""",
+)
 #: UTF-8 of Latin letters (ß to ɏ) that are letters in every version of Unicode, and ASCII signs that no pattern joins to a letter.
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 _SIGNS = b".,!?;:)]}\"*#$%&"
 
 
 class Encoder:
-    """Ids of whole texts, by encoding each distinct word once.
+    """Ids of whole texts, by encoding each distinct word once where the tokenizer's rules allow it.
 
-    Words are split at ASCII white space.  The tokenizer replaces white space by one space
+    A tokenizer with the rules of _WORDWISE replaces white space by one space
     and drops it before merging, and none of its patterns crosses white space, so a text's
-    ids are those of its words, one after another.  If it lower-cases, words are kept in lower case
-    in A-Z; a word of Latin letters and a tail of signs has the ids of both, since a pattern
-    takes either letters or signs.  Words of letters are encoded together and told
-    apart by the tokens that end a word.
+    ids are those of its words, split at ASCII white space, one after another.  It lower-cases, so
+    words are kept in lower case in A-Z; a word of Latin letters and a tail of signs has the ids
+    of both, since a pattern takes either letters or signs.  Words of letters are encoded together
+    and told apart by the tokens that end a word.  Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,20 +61,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.top = max(vocab.values())
-        self.lower = "Lowercase" in repr(self.tokenizer.normalizer)
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.wordwise = bool(suffix) and (repr(self.tokenizer.normalizer), repr(self.tokenizer.pre_tokenizer)) == _WORDWISE
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.top + 1, dtype=bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
         self.width(4)
 
+    def forget(self) -> None:
+        """Give back the memory of known words: a worker outlives its tasks."""
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + _ADDED
+
     def width(self, size: int) -> "Encoder":
         """Bytes of an id in what this returns."""
         if getattr(self, "dtype", None) != f"<u{size}":
             self.dtype = f"<u{size}"
-            self.known.clear()
+            self.forget()
         return self
 
     @classmethod
@@ -77,7 +96,7 @@ class Encoder:
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
+                self._keep(word, np.array(e.ids, dtype=self.dtype).tobytes())
 
     def _together(self, words: list[bytes]) -> None:
         """Words of letters only: each should end with one token that ends a word; where the count differs, one by one."""
@@ -91,13 +110,13 @@ class Encoder:
             data, at = ids.astype(self.dtype).tobytes(), 0
             size = np.dtype(self.dtype).itemsize
             for word, end in zip(part, (stop * size).tolist()):
-                self.known[word] = data[at:end]
+                self._keep(word, data[at:end])
                 at = end
 
     def learn(self, words: list[bytes]) -> None:
         new = [w for w in words if w not in self.known]
-        if len(self.known) + 2 * len(new) > REMEMBERED:
-            self.known.clear()
+        if self.held > REMEMBERED:
+            self.forget()
             new = words
         letters: set[bytes] = set()
         others: set[bytes] = set()
@@ -114,14 +133,18 @@ class Encoder:
         self._together([w for w in letters if w not in self.known])
         self._each([w for w in others if w not in self.known])
         for word, n in tailed:
-            self.known[word] = self.known[word[:n]] + self.known[word[n:]]
+            self._keep(word, self.known[word[:n]] + self.known[word[n:]])
 
     def many(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text of a column of strings; null is empty."""
         out: list[bytes] = []
-        for _, _, block in blocks(texts, SPACED, lower=self.lower, target=1 << 22):
+        for i, j, block in blocks(texts, SPACED, lower=self.wordwise, target=_PIECE):
+            if not self.wordwise:
+                whole = [t or "" for t in texts.slice(i, j - i).cast(pa.string()).to_pylist()]
+                out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+                continue
             data = block.data.tobytes()
-            if self.lower and any(x in data for x in self.special):
+            if any(x in data for x in self.special):
                 # Special tokens are written as they stand, in no other case.
                 block = Block(block.raw, block.offsets, SPACED, lower=False)
                 data = block.data.tobytes()
@@ -178,6 +201,7 @@ def _write_shards(folder: str, tokenizer: str, end_id: int, width: int):
                     crcs.append(zlib.crc32(_wide(ids, width)))
                     place += counts[-1]
                 out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shard] * batch.num_rows, pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), pa.array(crcs, pa.int64())], names=["doc_id", "shard", "first", "n_tokens", "crc"]))
+        encoder.forget()
         yield from out
 
     return run
@@ -311,15 +335,26 @@ def _bucket(n_buckets: int):
     return run
 
 
+def _shard_starts(places: DataFrame) -> DataFrame:
+    """(shard, base): the ids in all shards before each, summed within groups of _GROUP shards and then over the groups."""
+    totals = places.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.floor(F.col("shard") / F.lit(_GROUP)))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = totals.groupBy("group").agg(F.sum("n").alias("n"))
+    # One row for each _GROUP shards stands in this one window.
+    groups = groups.select("group", F.coalesce(F.sum("n").over(before(F.lit(0)).orderBy("group")), F.lit(0)).alias("of_group"))
+    inner = totals.select("shard", "group", F.coalesce(F.sum("n").over(before("group").orderBy("shard")), F.lit(0)).alias("inner"))
+    return inner.join(groups, "group").select("shard", (F.col("of_group") + F.col("inner")).cast("long").alias("base"))
+
+
 def write_token_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Write docs as raw little-endian unsigned ids, and return the places written.
 
     Ids take two bytes where the vocabulary allows it, else four; the manifest says which.
     Files: shard-N.bin hold the ids of documents in ascending id order, each closed by end_id, and
     the order runs on over the shards; index-B.mph hold for the keys of hash bucket B a minimal perfect
-    hash from key to (fingerprint, shard, first id in the shard, number of ids);
-    manifest.json holds the ids before each shard.  Result: doc_id, shard, first, n_tokens, crc (of
-    the ids in 32 bits) and start, the ids of all documents before it.
+    hash from key to (fingerprint, shard, first id in the shard, number of ids); starts is a Parquet
+    table of the ids before each shard; manifest.json holds totals and parameters, whose size doesn't
+    grow.  Result: doc_id, shard, first, n_tokens, crc (of the ids in 32 bits) and start, the ids of all documents before it.
 
     Null texts have the end id only.  Rows with a null id come first in the shards and
     have no index entry.  Rows that repeat an id stand together, by text; their index entry
@@ -332,20 +367,17 @@ def write_token_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
     n_shards = max(1, -(-(size[0] or 0) // shard_bytes))
     ordered = docs.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "text")
     places = keep(ordered.mapInArrow(_write_shards(folder, tokenizer, end_id, width), _ENTRY), "places")
-    totals = {r[0]: (r[1], r[2]) for r in places.groupBy("shard").agg(F.sum("n_tokens"), F.count("*")).collect()}
-    starts, total = {}, 0
-    for shard in sorted(totals):
-        starts[shard] = total
-        total += totals[shard][0]
+    _shard_starts(places).write.mode("overwrite").parquet(f"{folder}/starts")
+    base = spark.read.schema("shard int, base long").parquet(f"{folder}/starts")
     keys = places.where("doc_id is not null").groupBy("doc_id").agg(F.min("shard").alias("shard"), F.min("first").alias("first"), F.sum("n_tokens").alias("n_tokens"))
     n_buckets = max(1, -(-size[1] // bucket_keys))
     bucketed = keys.mapInArrow(_bucket(n_buckets), "bucket int, doc_id long, shard int, first long, n_tokens long").repartition("bucket").sortWithinPartitions("bucket")
     keep(bucketed.mapInArrow(_write_indexes(folder), "bucket int, n long"), "buckets")
-    manifest = {"tokenizer": os.path.basename(tokenizer), "end_id": end_id, "id_bytes": width, "n_buckets": n_buckets, "tokens": total, "documents": size[1], "shards": [{"shard": s, "start": starts[s], "tokens": totals[s][0]} for s in sorted(starts)]}
+    total = places.agg(F.sum("n_tokens")).first()[0] or 0
+    manifest = {"tokenizer": os.path.basename(tokenizer), "end_id": end_id, "id_bytes": width, "n_buckets": n_buckets, "n_shards": n_shards, "tokens": total, "documents": size[1]}
     with replacing(f"{folder}/manifest.json") as write:
         write(json.dumps(manifest).encode())
-    base = spark.createDataFrame([(s, starts[s]) for s in sorted(starts)], "shard int, base long")
-    return places.join(F.broadcast(base), "shard").select("doc_id", "shard", "first", "n_tokens", "crc", (F.col("base") + F.col("first")).alias("start"))
+    return places.join(base, "shard").select("doc_id", "shard", "first", "n_tokens", "crc", (F.col("base") + F.col("first")).alias("start"))
 
 
 def _look_up(folder: str):
@@ -359,11 +391,11 @@ def _look_up(folder: str):
     return run
 
 
-def _read_payload(folder: str, starts: dict[int, int], width: int):
+def _read_payload(folder: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, f = None, None
         for batch in batches:
-            starting, crcs, ids_out = [], [], []
+            crcs, ids_out = [], []
             for s, first, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "n_tokens"))):
                 if s != shard:
                     if f is not None:
@@ -374,16 +406,24 @@ def _read_payload(folder: str, starts: dict[int, int], width: int):
                 if len(ids) != width * n:
                     raise OSError(f"shard {s} ends early")
                 ids = _wide(ids, width)
-                starting.append(starts[s] + first)
                 crcs.append(zlib.crc32(ids))
                 ids_out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starting, pa.int64()), batch.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(ids_out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(ids_out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
         if f is not None:
             f.close()
 
     return run
 
 
+def read_places(places: DataFrame, folder: str) -> DataFrame:
+    """For each row of places (doc_id, shard, first, n_tokens): doc_id, start, n_tokens, ids_crc32, ids (as unsigned 32-bit integers), read from the shards."""
+    manifest = json.loads(read_all(f"{folder}/manifest.json"))
+    base = places.sparkSession.read.schema("shard int, base long").parquet(f"{folder}/starts")
+    found = places.select("doc_id", "shard", "first", F.col("n_tokens").cast("long").alias("n_tokens")).join(base, "shard").withColumn("start", F.col("base") + F.col("first"))
+    found = found.repartition("shard").sortWithinPartitions("shard", "first").select("doc_id", "shard", "first", "n_tokens", "start")
+    return found.mapInArrow(_read_payload(folder, manifest["id_bytes"]), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+
+
 def read_token_ids(keys: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
     """For each distinct key of keys that the files hold: doc_id, start, n_tokens, ids_crc32, ids (as unsigned 32-bit integers).
 
@@ -391,19 +431,25 @@ def read_token_ids(keys: DataFrame, folder: str, id_col: str = "doc_id") -> Data
     Keys that are null or unknown give no row (an unknown key passes its fingerprint once in 2**32).
     """
     manifest = json.loads(read_all(f"{folder}/manifest.json"))
-    starts = {s["shard"]: s["start"] for s in manifest["shards"]}
     asked = keys.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     asked = asked.mapInArrow(_bucket(manifest["n_buckets"]), "bucket int, doc_id long").repartition("bucket").sortWithinPartitions("bucket")
-    found = asked.mapInArrow(_look_up(folder), "doc_id long, shard int, first long, n_tokens long")
-    found = found.repartition("shard").sortWithinPartitions("shard", "first")
-    return found.mapInArrow(_read_payload(folder, starts, manifest["id_bytes"]), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return read_places(asked.mapInArrow(_look_up(folder), "doc_id long, shard int, first long, n_tokens long"), folder)
 
 
 def token_digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Write docs as token ids in a new shared folder, read them back by key: doc_id, start, n_tokens, ids_crc32."""
+    """Write docs as token ids in a new shared folder, read them back: doc_id, start, n_tokens, ids_crc32 for each row of docs.
+
+    Ids are looked up in the index by key; rows that no key tells apart, of a null id or one that
+    several rows have, are read at their places.
+    """
     folder = new_folder(docs.sparkSession, "tokens")
     places = write_token_ids(docs, folder, tokenizer or tokenizer_path(), end_id)
-    return read_token_ids(places, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    tally = places.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    unclear = tally.where("doc_id is null or rows > 1").select("doc_id")
+    found = read_token_ids(tally.where("rows = 1"), folder)
+    if unclear.limit(1).count():
+        found = found.unionByName(read_places(places.alias("p").join(unclear.alias("u"), F.col("p.doc_id").eqNullSafe(F.col("u.doc_id")), "left_semi"), folder))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pressroom.llm.files import read_all
+from pressroom.llm.files import locate, read_all
 from pressroom.llm.scratch import new_folder
 from pressroom.llm.token_ids import Encoder, IndexFile, build_mph, pack_index, read_token_ids, token_digest, tokenizer_path, write_token_ids
 from pressroom.llm.warc import base32_sha1, members, read_records, read_warc, record, write_warc
@@ -37,6 +38,33 @@ def test_encoder_equals_whole_texts():
         assert np.frombuffer(encode(t.encode()), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def digest(frame):
+    return sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in frame.collect())
+
+
+def test_encoder_of_a_tokenizer_that_keeps_white_space():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    whole, encode = Tokenizer.from_file(path), Encoder(path)
+    texts = [t or "" for t in TEXTS] + ["two  spaces\n\n\nand lines", "\ttab"]
+    assert not encode.wordwise and Encoder(tokenizer_path()).wordwise
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode.many(pa.array([None, *texts[1:]]))] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_holds_no_more_words_than_it_may(monkeypatch):
+    from pressroom.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "REMEMBERED", 20_000)
+    monkeypatch.setattr(token_ids, "_PIECE", 500)
+    encode, whole = Encoder(tokenizer_path()), tokenizer()
+    texts = [" ".join(f"word{i * j}x, " for j in range(20)) for i in range(100)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode.many(pa.array(texts))] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert encode.held < 20_000 + 30_000
+    encode.forget()
+    assert not encode.known and not encode.held
+
+
 def expected(docs):
     whole, out, start = tokenizer(), [], 0
     for i, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
@@ -62,11 +90,19 @@ def test_token_ids_round_trip(spark, shard_bytes, bucket_keys):
             by_id[i] = (first, count + n, data + ids)
     assert got == {i: (s, n, zlib.crc32(d), d) for i, (s, n, d) in by_id.items()}
     manifest = json.loads(read_all(f"{folder}/manifest.json"))
-    payload = b"".join(read_all(f"{folder}/shard-{s['shard']:06d}.bin") for s in manifest["shards"])
+    payload = b"".join(read_all(f"{folder}/{f}") for f in sorted(os.listdir(locate(folder)[1])) if f.startswith("shard-"))
     assert manifest["id_bytes"] == 2 and np.frombuffer(payload, "<u2").astype("<u4").tobytes() == b"".join(ids for *_, ids in rows) and manifest["tokens"] == len(payload) // 2
     assert read_token_ids(spark.createDataFrame([(123456789,), (None,)], "doc_id long"), folder).count() == 0
 
 
+def test_token_digest_has_a_row_for_each_row(spark):
+    docs = [(3, "three"), (None, "no id"), (1, "repeated"), (1, "rows"), (2, None), (None, None), (1, "rows")]
+    rows = [(i, s, n, zlib.crc32(d)) for i, s, n, d in expected(docs)]
+    key = lambda r: (r[0] is not None, r)
+    got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(got, key=lambda r: r[1]) == sorted(rows, key=lambda r: r[1]) and len({key(r) for r in got}) == len(docs)
+
+
 def test_token_ids_of_nothing(spark):
     assert token_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -142,10 +178,22 @@ def test_pipeline(spark, sf_dir):
             seen.append(out.count())
             assert seen[-1] <= seen[-2]
             docs = out
-    rows = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in out.collect()}
-    assert rows == {i: (s, n, zlib.crc32(d)) for i, s, n, d in expected([tuple(r) for r in docs.select("doc_id", "text").collect()])}
-    again = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in P.run(spark, sf_dir).collect()}
-    assert again == rows
+    rows = digest(out)
+    assert rows == sorted((i, s, n, zlib.crc32(d)) for i, s, n, d in expected([tuple(r) for r in docs.select("doc_id", "text").collect()]))
+    assert digest(P.run(spark, sf_dir)) == rows
+
+
+def test_pipeline_stages_of_nothing_and_of_clashing_columns(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.selectExpr("*", "'x' AS kept", "1 AS n_tokens", "'y' AS row", "2.5 AS rate", "text AS clean_text", "doc_id AS component_id", "3 AS copies", "null AS spans")
+    for frame in (docs.limit(0), odd):
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, frame, sf_dir)
+            assert out.columns == frame.columns, name
+            assert out.count() == 0 or frame is odd
+        assert P.STAGES[-1][1](spark, frame, sf_dir).count() == frame.count()
 
 
 def test_queries_are_registered():
