@@ -22,8 +22,8 @@ from .textops import SPACED, U64, Block, blocks, mix
 
 SHARD_BYTES = 32 << 20
 BUCKET_KEYS = 1 << 15
-#: Bytes of the words and ids that a task remembers, with what Python adds to each; beyond it, it starts afresh.
-REMEMBERED, _ADDED = 32 << 20, 200
+#: Words whose ids a worker remembers, at some 30 bytes each; beyond it, it starts afresh.
+REMEMBERED = 1 << 20
 #: Bytes of text that are encoded at once, or one whole longer text.
 _PIECE = 1 << 20
 _GAMMA, _MAGIC = 2.0, b"PRIX0001"
@@ -51,7 +51,8 @@ class Encoder:
     ids are those of its words, split at ASCII white space, one after another.  It lower-cases, so
     words are kept in lower case in A-Z; a word of Latin letters and a tail of signs has the ids
     of both, since a pattern takes either letters or signs.  Words of letters are encoded together
-    and told apart by the tokens that end a word.  Any other tokenizer gets whole texts.
+    and told apart by the tokens that end a word.  Known words are told apart by 64-bit hashes, in sorted
+    arrays beside their ids, which take a tenth of the memory of Python objects.  Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,13 +72,8 @@ class Encoder:
         self.width(4)
 
     def forget(self) -> None:
-        """Give back the memory of known words: a worker outlives its tasks."""
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def _keep(self, word: bytes, ids: bytes) -> None:
-        self.known[word] = ids
-        self.held += len(word) + len(ids) + _ADDED
+        self.keys, self.start, self.size = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.flat = np.zeros(0, dtype=getattr(self, "dtype", "<u4"))
 
     def width(self, size: int) -> "Encoder":
         """Bytes of an id in what this returns."""
@@ -92,48 +88,60 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _each(self, words: list[bytes]) -> None:
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
         for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self._keep(word, np.array(e.ids, dtype=self.dtype).tobytes())
+            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)]
+        return out
 
-    def _together(self, words: list[bytes]) -> None:
+    def _together(self, words: list[bytes]) -> list[bytes]:
         """Words of letters only: each should end with one token that ends a word; where the count differs, one by one."""
+        out: list[bytes] = []
         for i in range(0, len(words), 1024):
             part = words[i : i + 1024]
             ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids)
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) != len(part) or stop[-1] != len(ids):
-                self._each(part)
+                out += self._each(part)
                 continue
-            data, at = ids.astype(self.dtype).tobytes(), 0
-            size = np.dtype(self.dtype).itemsize
-            for word, end in zip(part, (stop * size).tolist()):
-                self._keep(word, data[at:end])
-                at = end
-
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if self.held > REMEMBERED:
-            self.forget()
-            new = words
-        letters: set[bytes] = set()
-        others: set[bytes] = set()
-        tailed: list[tuple[bytes, int]] = []
-        for word in new:
-            core = word.rstrip(_SIGNS)
-            if core and _LETTERS.fullmatch(core):
-                letters.add(core)
-                if len(core) < len(word):
-                    tailed.append((word, len(core)))
-                    others.add(word[len(core) :])
-            else:
-                others.add(word)
-        self._together([w for w in letters if w not in self.known])
-        self._each([w for w in others if w not in self.known])
-        for word, n in tailed:
-            self._keep(word, self.known[word[:n]] + self.known[word[n:]])
+            data, at = ids.astype(self.dtype).tobytes(), (stop * np.dtype(self.dtype).itemsize).tolist()
+            out += [data[i:j] for i, j in zip([0, *at], at)]
+        return out
+
+    def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands among the known words, and whether it does."""
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        return at, known
+
+    def _add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        hashes, first = np.unique(hashes, return_index=True)
+        flat = np.frombuffer(b"".join([ids[i] for i in first.tolist()]), dtype=self.dtype)
+        size = np.array([len(ids[i]) for i in first.tolist()], dtype=np.int32) // flat.itemsize
+        start = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.start, self.size = np.insert(self.keys, at, hashes), np.insert(self.start, at, start), np.insert(self.size, at, size)
+        self.flat = np.concatenate((self.flat, flat))
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Remember new words: a core of letters and a tail of signs have ids of their own, which may be known."""
+        cut = [len(w.rstrip(_SIGNS)) for w in words]
+        parts = [(w[:n], w[n:]) if 0 < n < len(w) and _LETTERS.fullmatch(w, 0, n) else (w, b"") for w, n in zip(words, cut)]
+        atoms = list(dict.fromkeys(x for pair in parts for x in pair if x))
+        data = np.frombuffer(b" ".join(atoms), dtype=np.uint8)
+        own = Block(data, np.array([0, len(data)]), SPACED, lower=False).hashes()
+        at, known = self._place(own)
+        ids: dict[bytes, bytes] = {}
+        for i in np.flatnonzero(known).tolist():
+            j = at[i]
+            ids[atoms[i]] = self.flat[self.start[j] : self.start[j] + self.size[j]].tobytes()
+        new = [a for a, k in zip(atoms, known.tolist()) if not k]
+        letters = [a for a in new if _LETTERS.fullmatch(a)]
+        others = [a for a in new if not _LETTERS.fullmatch(a)]
+        ids |= dict(zip(letters, self._together(letters))) | dict(zip(others, self._each(others)))
+        self._add(np.concatenate((own[~known], hashes)), [ids[a] for a in new] + [ids[a] + ids[b] if b else ids[a] for a, b in parts])
 
     def many(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text of a column of strings; null is empty."""
@@ -148,18 +156,20 @@ class Encoder:
                 # Special tokens are written as they stand, in no other case.
                 block = Block(block.raw, block.offsets, SPACED, lower=False)
                 data = block.data.tobytes()
-            _, first, word = np.unique(block.hashes(), return_index=True, return_inverse=True)
-            words = [data[i:j] for i, j in zip(block.starts[first].tolist(), block.ends[first].tolist())]
-            self.learn(words)
-            ids = [self.known[w] for w in words]
-            flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // flat.itemsize
-            start = np.cumsum(size) - size
-            each = size[word]
+            unique, first, word = np.unique(block.hashes(), return_index=True, return_inverse=True)
+            known = self._place(unique)[1]
+            if len(self.keys) + 2 * int((~known).sum()) > REMEMBERED:
+                self.forget()
+                known[:] = False
+            new = first[~known]
+            if len(new):
+                self._learn([data[i:j] for i, j in zip(block.starts[new].tolist(), block.ends[new].tolist())], unique[~known])
+            at = self._place(unique)[0][word]
+            each = self.size[at].astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(each)))
-            whole = flat[np.repeat(start[word] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
-            at = (ends[block.bounds] * flat.itemsize).tolist()
-            out += [whole[i:j] for i, j in zip(at, at[1:])]
+            whole = self.flat[np.repeat(self.start[at] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+            cuts = (ends[block.bounds] * self.flat.itemsize).tolist()
+            out += [whole[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
     def __call__(self, text: bytes) -> bytes:
@@ -201,7 +211,6 @@ def _write_shards(folder: str, tokenizer: str, end_id: int, width: int):
                     crcs.append(zlib.crc32(_wide(ids, width)))
                     place += counts[-1]
                 out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shard] * batch.num_rows, pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), pa.array(crcs, pa.int64())], names=["doc_id", "shard", "first", "n_tokens", "crc"]))
-        encoder.forget()
         yield from out
 
     return run
