@@ -18,7 +18,9 @@ from .textops import SPACED, U64, Block, blocks, combine, mix
 #: The forest: trees, and MinHash values in each tree's label.
 TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
 #: A region of more sets, or of more shingles in all, is split by deeper labels.
-REGION, REGION_SHINGLES = 2048, 1 << 21
+REGION, REGION_SHINGLES = 512, 1 << 19
+#: Rows of one prefix are joined with its figures in so many groups.
+SALT = 16
 
 _FACTORS = (mix(np.arange(1, TREES * DEPTH + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sig", T.BinaryType())])
@@ -62,49 +64,114 @@ def _sketches(k: int):
     return run
 
 
-def _key(tree, depth: int):
-    """The label's first values in a tree, as one number."""
-    return F.xxhash64(tree, F.lit(depth), F.substring(F.col("sig"), tree * (4 * DEPTH) + 1, F.lit(4 * depth)))
+_ORDER = "members array<long>, tree int, label binary, doc_id long, n_shingles long"
 
 
-def _regions(sets: DataFrame, region: int, shingles: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Regions (members) of two sets or more, and pairs (a, b) of the members of any larger region with its smallest.
+def _neighbours(region: int, shingles: int):
+    """From rows (tree, label, doc_id, n_shingles) in the order of tree and label: runs of neighbours by longest common prefix.
 
-    A region holds the sets that stand together in a tree's sorted order with a
-    common prefix of LEAST_DEPTH values.  Where more than region sets, or sets of more than
-    shingles in all, share it, the prefix grows, for that region alone.  A region that is
-    still too large at full depth is dealt into parts by set, and its smallest set joins each
-    part.  The third result has the regions that were split, as they are at LEAST_DEPTH, in
-    such parts (key, part, doc_id, n_shingles): what meets deeper is within one of them.
+    Sets whose longest common prefix with the next in order is LEAST_DEPTH values or more are one run.  A run within the
+    bounds gives one row of members; the rows of a larger one, and of those at the partition's ends, which may go
+    on in the next one, are given back as they are.  Sets alone in a run are left out.  What is held is one batch and one run within the bounds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, doc, n = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        label = np.zeros((0, DEPTH), dtype="<u4")
+        # Whether the open run touches the partition's start, and whether all its rows so far were given back.
+        edge, given = True, False
+
+        def loose(mask: np.ndarray) -> pa.RecordBatch:
+            data = pa.py_buffer(np.ascontiguousarray(label[mask]))
+            labels = pa.Array.from_buffers(pa.binary(), int(mask.sum()), [None, pa.py_buffer(np.arange(0, 4 * DEPTH * (mask.sum() + 1), 4 * DEPTH, dtype=np.int32)), data])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(labels), pa.list_(pa.int64())), pa.array(tree[mask]), labels, pa.array(doc[mask]), pa.array(n[mask])], names=["members", "tree", "label", "doc_id", "n_shingles"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.frombuffer(b"".join(batch.column("label").to_pylist()), dtype="<u4").reshape(-1, DEPTH)
+            tree, label = np.concatenate((tree, batch.column("tree").to_numpy())), np.concatenate((label, new))
+            doc, n = np.concatenate((doc, batch.column("doc_id").to_numpy())), np.concatenate((n, batch.column("n_shingles").to_numpy()))
+            common = np.where(tree[1:] == tree[:-1], np.cumprod(label[1:] == label[:-1], axis=1, dtype=np.int8).sum(axis=1), 0)
+            start = np.concatenate(([0], np.flatnonzero(common < LEAST_DEPTH) + 1))
+            size, weight = np.diff(np.append(start, len(doc))), np.add.reduceat(n, start)
+            fits = (size <= region) & ((weight <= shingles) | (size == 2))
+            last = len(start) - 1
+            back = ~fits
+            back[0] |= given or (edge and last > 0)
+            whole = ~back & (size > 1)
+            whole[last] = False
+            row = np.repeat(np.arange(len(start)), size)
+            out = back[row]
+            out[0] &= not given
+            if whole.any():
+                offsets = np.concatenate(([0], np.cumsum(size[whole]))).astype(np.int32)
+                members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(doc[whole[row]]))
+                k = len(members)
+                yield pa.RecordBatch.from_arrays([members, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["members", "tree", "label", "doc_id", "n_shingles"])
+            if out.any():
+                yield loose(out)
+            # The last run stays open; of one that was given back, its last row alone, to be compared with the next.
+            edge, given = edge and last == 0, bool(back[last])
+            keep_from = len(doc) - 1 if given else int(start[last])
+            tree, label, doc, n = tree[keep_from:], label[keep_from:], doc[keep_from:], n[keep_from:]
+        if len(doc) and not given:
+            yield loose(np.ones(len(doc), dtype=bool))
+
+    return run
+
+
+def _deepen(rows: DataFrame, region: int, shingles: int) -> tuple[DataFrame, DataFrame | None]:
+    """Regions (key, part, doc_id) of rows (tree, label, doc_id, n_shingles) that share a prefix, and those that were split.
+
+    Where more than region sets, or sets of more than shingles in all, share a prefix, it grows, for that region alone.
+    A region that is split is dealt into parts by set as well, and its smallest set joins each part, at LEAST_DEPTH and
+    where it is still too large at full depth.  The second result has the regions that were
+    split, as they are at LEAST_DEPTH, in such parts (key, part, doc_id, n_shingles): what meets deeper is within one of them.
     """
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = sets.select("doc_id", "n_shingles", trees, "sig")
     fits = (F.col("size") <= region) & ((F.col("weight") <= shingles) | (F.col("size") == 2))
     parts = F.greatest(F.ceil(F.col("size") / F.lit(region)), F.ceil(F.col("weight") / F.lit(shingles)))
-    part = F.pmod(F.xxhash64("doc_id", "key"), parts).alias("part")
-    found, hubs, split = [], [], None
+    part = F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).alias("part")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt")
+    found, split = [], None
     for depth in range(LEAST_DEPTH, DEPTH + 1):
-        level = rows.select("doc_id", "n_shingles", "tree", _key(F.col("tree"), depth).alias("key"))
+        level = rows.select("*", F.xxhash64("tree", F.lit(depth), F.substring("label", 1, 4 * depth)).alias("key"), salt)
         sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min("doc_id").alias("hub")).where("size > 1")
-        sizes = keep(sizes, "regions")
-        level = level.join(sizes, "key")
+        sizes = keep(sizes.withColumn("parts", parts), "regions")
+        # A prefix that many sets share is no hot key of this join.
+        level = level.join(sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")), ["key", "salt"])
         found.append(level.where(fits).select("key", F.lit(0).cast("long").alias("part"), "doc_id"))
         if not sizes.where(~fits).limit(1).count():
             break
         large = keep(level.where(~fits), "large")
-        hubs.append(large.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+        if depth in (LEAST_DEPTH, DEPTH):
+            found.append(large.select("key", part, "doc_id"))
+            found.append(sizes.where(~fits).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("doc_id")))
         if depth == LEAST_DEPTH:
             split = large.select("key", part, "doc_id", "n_shingles")
-        if depth < DEPTH:
-            rows = large.select("doc_id", "n_shingles", "tree").join(sets.select("doc_id", "sig"), "doc_id")
-        else:
-            found.append(large.select("key", part, "doc_id"))
-            found.append(large.where("doc_id = hub").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id"))
-    every = reduce(DataFrame.unionByName, found)
-    # The same members often meet in many trees: one region of each kind stays.
-    regions = every.groupBy("key", "part").agg(F.sort_array(F.collect_set("doc_id")).alias("members")).where("size(members) > 1")
-    regions = regions.groupBy(F.xxhash64("members").alias("region"), F.size("members").alias("size")).agg(F.first("members").alias("members"))
-    return regions, reduce(DataFrame.unionByName, hubs) if hubs else None, split
+        rows = large.select("tree", "label", "doc_id", "n_shingles")
+    return reduce(DataFrame.unionByName, found), split
+
+
+def _distinct_regions(members: DataFrame) -> DataFrame:
+    """(region, doc_id) of lists of members: the same ones often meet in many trees, and one region of each kind stays."""
+    one = members.groupBy(F.xxhash64("members").alias("region"), F.size("members").alias("size")).agg(F.first("members").alias("members"))
+    return one.select("region", F.explode("members").alias("doc_id"))
+
+
+def _regions(sets: DataFrame, region: int, shingles: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members (region, doc_id) of the regions of two sets or more, and those regions that were split (see _deepen).
+
+    Each tree has the sets in the sorted order of their labels, dealt over partitions by range, so that no prefix is too
+    common for one.  Neighbours with a common prefix of LEAST_DEPTH values or more are candidates.
+    """
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    rows = sets.select("doc_id", "n_shingles", "sig", trees).select("tree", F.substring(F.col("sig"), F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label"), "doc_id", "n_shingles")
+    ordered = rows.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
+    orders = keep(ordered.mapInArrow(_neighbours(region, shingles), _ORDER), "orders")
+    crowded, split = _deepen(orders.where("doc_id is not null").drop("members"), region, shingles)
+    met = crowded.groupBy("key", "part").agg(F.sort_array(F.collect_set("doc_id")).alias("members")).where("size(members) > 1").select("members")
+    return _distinct_regions(orders.where("members is not null").select(F.sort_array("members").alias("members")).unionByName(met)), split
 
 
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -161,23 +228,6 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["a", "b"])
 
 
-def _compare(k: int, percent: int):
-    """Keep pairs whose whole shingle sets have 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                sides.append([x for _, _, block in blocks(batch.column(name), SPACED, lower=True) for x in shingle_sets(block, k)])
-            same = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(*sides)):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                same[i] = 100 * common >= percent * (len(x) + len(y) - common) > 0
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
-
-    return run
-
-
 def _rest(split: DataFrame, labels: DataFrame, region: int, shingles: int) -> DataFrame:
     """(region, doc_id): what is left open in the regions that were split.
 
@@ -194,9 +244,7 @@ def _rest(split: DataFrame, labels: DataFrame, region: int, shingles: int) -> Da
     met = asking.join(parts, "key").select("key", "part", "block", "doc_id")
     held = split.select("key", "part", "doc_id").join(sizes, "key").select("key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id")
     every = met.unionByName(held).groupBy("key", "part", "block").agg(F.sort_array(F.collect_set("doc_id")).alias("members"))
-    # As in _regions, the same members often meet in many trees.
-    every = every.groupBy(F.xxhash64("members").alias("region"), F.size("members").alias("size")).agg(F.first("members").alias("members"))
-    return every.select("region", F.explode("members").alias("doc_id"))
+    return _distinct_regions(every)
 
 
 def _meet(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -205,12 +253,6 @@ def _meet(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return met.mapInArrow(_links(k, percent), "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    first = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, region: int = REGION, shingles: int = REGION_SHINGLES) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, set_id.
 
@@ -218,15 +260,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Jaccard similarity of at least percent / 100 are linked, and a component is
     named after its smallest doc_id.  Documents of equal sets are one node of the
     graph (set_id), so copies in any number cost one row each.  Each other set takes its
-    neighbours from TREES sorted orders of MinHash labels (see _regions), and every
+    neighbours from TREES sorted orders of MinHash labels, by their longest common prefix (see _regions), and every
     link is confirmed on the whole sets.  Two sets of similarity s meet in a region
     with probability 1 - (1 - s**LEAST_DEPTH)**TREES: 0.99998 at 0.75.
 
     The texts of a region meet in one task, bounded by REGION and REGION_SHINGLES, which
     compares all whose components differ so far; it returns the links of a spanning forest only.
-    Regions beyond the bounds are split by deeper labels, and those too large at full depth
-    are compared in parts; each member is compared with the region's smallest set besides.
-    These links only join most members early: then those that are outside a split region's main
+    Regions beyond the bounds are split by deeper labels, and compared in parts, each with the
+    region's smallest set.  These links only join most members early: then those that are outside a split region's main
     component are compared with all of its members, in blocks, so that no split loses a link.
 
     Nulls and empties: a null or wordless text has an empty set and is linked with
@@ -238,12 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sketches.where("doc_id is not null and n_shingles > 0")
     sets = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
     sets = keep(sets.select("h1", "h2", "x.*"), "sets")
-    regions, star, split = _regions(sets, region, shingles)
-    members = regions.select("region", F.explode("members").alias("doc_id"))
+    members, split = _regions(sets, region, shingles)
     texts = docs.where("doc_id is not null")
     links = _meet(members, texts, k, percent)
-    if star is not None:
-        links = links.unionByName(_confirm(star.distinct(), texts, k, percent))
     ids = full.groupBy("doc_id").agg(F.count("*").alias("rows"))
     # Rows that repeat an id may stand for several sets.
     same_id = full.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi").join(sets.select("h1", "h2", F.col("doc_id").alias("rep")), ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

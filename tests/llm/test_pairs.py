@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +107,41 @@ def test_split_regions_lose_no_borderline_link(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows} == expected
 
 
+def test_runs_of_neighbours_equal_shared_prefixes():
+    """Whatever the batches and bounds: runs of sets that share LEAST_DEPTH values, once each, whole or given back."""
+    rng = random.Random(11)
+    rows = sorted((rng.randrange(3), bytes(np.array([rng.randrange(2) for _ in range(near_dedup.DEPTH)], "<u4")), i, rng.randrange(1, 9)) for i in range(300))
+    runs = defaultdict(list)
+    for t, label, i, n in rows:
+        runs[t, label[: 4 * near_dedup.LEAST_DEPTH]].append((i, n))
+    edges = {(rows[0][0], rows[0][1][:12]), (rows[-1][0], rows[-1][1][:12])}
+    for region, shingles, step in itertools.product([2, 5, 20, 500], [40, 10_000], [1, 7, 300]):
+        batches = [pa.RecordBatch.from_pylist([{"tree": t, "label": b, "doc_id": i, "n_shingles": n} for t, b, i, n in rows[j : j + step]], pa.schema([("tree", pa.int32()), ("label", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64())])) for j in range(0, len(rows), step)]
+        out = [r for b in near_dedup._neighbours(region, shingles)(iter(batches)) for r in b.to_pylist()]
+        whole = sorted(tuple(r["members"]) for r in out if r["members"] is not None)
+        back = sorted(r["doc_id"] for r in out if r["members"] is None)
+        fits = {k: len(v) <= region and (sum(n for _, n in v) <= shingles or len(v) == 2) and k not in edges for k, v in runs.items()}
+        assert whole == sorted(tuple(i for i, _ in v) for k, v in runs.items() if fits[k] and len(v) > 1)
+        assert back == sorted(i for k, v in runs.items() if not fits[k] for i, _ in v)
+
+
+def test_recall_of_a_crowded_template(spark):
+    """A template of which all texts share much: families at 0.75 to 0.8 in it, all pairs compared by brute force."""
+    rng = random.Random(5)
+    docs = []
+    for f in range(30):
+        base = [f"t{i}" for i in range(70)] + [f"f{f}x{i}" for i in range(40)]
+        for m in range(6):
+            w = list(base)
+            for j in rng.sample(range(len(w)), 3):
+                w[j] = f"n{f}x{m}x{j}"
+            docs.append((len(docs), " ".join(w)))
+    expected = brute_components(docs)
+    for region in (near_dedup.REGION, 8):
+        rows = near_duplicates(frame(spark, docs), region=region).collect()
+        assert {r["doc_id"]: r["component_id"] for r in rows} == expected
+
+
 def test_near_duplicates_keep_columns_and_empty_tables(spark):
     docs = frame(spark, [(i, t, 1, "x", 2.0) for i, t in corpus()], "doc_id long, text string, component_id int, key string, kept double")
     kept = drop_near_duplicates(docs)
