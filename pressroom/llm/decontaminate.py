@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,101 +12,140 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import ALNUM, Block, blocks, combine
+from .textops import ALNUM, U64, Block, blocks
 
-#: Bytes of item text that one broadcast index covers; more items are joined in further blocks.
-INDEX_BYTES = 64 << 20
+#: Bytes of item text that one broadcast index covers; packed, it takes some 3.5 times as many. More items are joined in further blocks.
+INDEX_BYTES = 16 << 20
+#: Words are counted by the first bits of their hashes.
+COUNT_BITS = 20
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - COUNT_BITS)).astype(np.int64)
 
 
 @dataclass
 class Index:
-    """Windows of some items, by the rarest of their words (the prefix that an exact match must hold)."""
+    """Items as packed words, and their windows by the rarest word of each (the prefix that an exact match must hold).
+
+    Successive windows of an item with the same rarest word are one entry: that word, the first and the last
+    window's words before it, and the windows' length.
+    """
 
+    text: bytes  # all words, one space after each
+    place: np.ndarray  # where each word begins in text, and the end
+    words: np.ndarray  # hash of each word
+    ids: np.ndarray  # of items
+    bounds: np.ndarray  # words of item i are bounds[i] to bounds[i + 1]
     tokens: np.ndarray  # sorted hashes of prefix words
-    bounds: np.ndarray  # windows of token i are bounds[i] to bounds[i + 1]
-    offset: np.ndarray  # words before the prefix word
+    of_token: np.ndarray  # entries of token i are of_token[i] to of_token[i + 1]
+    at: np.ndarray  # the prefix word of each entry
+    most: np.ndarray
+    least: np.ndarray
     length: np.ndarray
-    hash: np.ndarray
-    words: list[bytes]
-    items: list[list[int]]
-
-
-def _item_block(texts: list[str | None]) -> Block:
-    found = list(blocks(pa.array(texts, pa.string()), ALNUM, lower=True, target=1 << 62))
-    return found[0][2]
-
-
-def vocabulary(texts: list[str | None]) -> np.ndarray:
-    """Sorted hashes of the words of these texts."""
-    return np.unique(_item_block(texts).hashes())
-
-
-def build_index(ids: list[int], texts: list[str | None], vocab: np.ndarray, counts: np.ndarray, window: int) -> Index:
-    """counts: how often each word of vocab stands in the corpus; the rarest word of a window is its prefix."""
-    block = _item_block(texts)
-    h = block.hashes()
-    rank = np.empty(len(vocab), dtype=np.int64)
-    rank[np.lexsort((vocab, counts))] = np.arange(len(vocab))
-    rarity = rank[np.searchsorted(vocab, h)]
-    seen: dict[bytes, list[int]] = defaultdict(list)
-    place: dict[bytes, tuple[int, int]] = {}
-    for d, item in enumerate(ids):
-        start, end = int(block.bounds[d]), int(block.bounds[d + 1])
-        size = min(window, end - start)
-        for s in range(start, end - size + 1) if size else ():
-            words = b" ".join(block.word_bytes(i) for i in range(s, s + size))
-            place.setdefault(words, (s, size))
-            if item not in seen[words]:
-                seen[words].append(item)
-    rows = []
-    for words, (s, size) in place.items():
-        at = int(np.argmin(rarity[s : s + size]))
-        rows.append((int(h[s + at]), at, size, int(combine(h, np.array([s]), size)[0]), words))
-    rows.sort()
-    keys = np.array([r[0] for r in rows], dtype=np.uint64)
-    tokens, first = np.unique(keys, return_index=True)
-    return Index(tokens, np.append(first, len(rows)), np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64), np.array([r[3] for r in rows], dtype=np.uint64), [r[4] for r in rows], [seen[r[4]] for r in rows])
-
-
-def _find(block: Block, h: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All occurrences: document, first word, window."""
-    none = np.zeros(0, dtype=np.int64)
+
+
+def build_index(ids: np.ndarray, texts: pa.Array, counts: np.ndarray, window: int) -> Index:
+    """counts: how often the words of each bucket stand in the corpus; the rarest word of a window is its prefix."""
+    found, sizes, text = [], [], []
+    for _, _, block in blocks(texts, ALNUM, lower=True):
+        found.append(block.hashes())
+        sizes.append(block.counts)
+        text += [block.word_bytes(i) for i in range(len(block.starts))]
+    h = np.concatenate(found) if found else np.zeros(0, dtype=U64)
+    n = np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64)
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    place = np.concatenate(([0], np.cumsum([len(w) + 1 for w in text]))).astype(np.int64)
+    # Windows of all items: the first word of each, and its length.
+    many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(n)), many)
+    first = bounds[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+    length = np.minimum(window, n)[item]
+    unique, back = np.unique(h, return_inverse=True)
+    rank = np.empty(len(unique), dtype=np.int64)
+    rank[np.lexsort((unique, counts[_bucket(unique)]))] = np.arange(len(unique))
+    rarity = rank[back]
+    at = first.copy()
+    for j in range(1, window):
+        inside = np.flatnonzero(j < length)
+        rarer = inside[rarity[first[inside] + j] < rarity[at[inside]]]
+        at[rarer] = first[rarer] + j
+    start = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (item[1:] != item[:-1])))) if len(at) else np.zeros(0, dtype=np.int64)
+    end = np.append(start[1:], len(at)) - 1
+    order = np.argsort(h[at[start]], kind="stable")
+    start, end = start[order], end[order]
+    tokens, of_token = np.unique(h[at[start]], return_index=True)
+    return Index(b"".join(w + b" " for w in text), place, h, ids, bounds, tokens, np.append(of_token, len(start)), at[start].astype(np.int32), (at[start] - first[start]).astype(np.int16), (at[end] - first[end]).astype(np.int16), length[start].astype(np.int16))
+
+
+def _find(block: Block, h: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
+    """All occurrences of windows, successive ones as one: (document, first word, word after the last, item)."""
     if not len(index.tokens) or not len(h):
-        return none, none, none
-    at = np.minimum(np.searchsorted(index.tokens, h), len(index.tokens) - 1)
-    word = np.flatnonzero(index.tokens[at] == h)
-    low, high = index.bounds[at[word]], index.bounds[at[word] + 1]
+        return []
+    near = np.minimum(np.searchsorted(index.tokens, h), len(index.tokens) - 1)
+    word = np.flatnonzero(index.tokens[near] == h)
+    low, high = index.of_token[near[word]], index.of_token[near[word] + 1]
     n = high - low
     row = np.repeat(np.arange(len(word)), n)
-    win = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    entry = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     word = word[row]
     doc = np.searchsorted(block.bounds, word, side="right") - 1
-    start = word - index.offset[win]
-    fits = (start >= block.bounds[doc]) & (start + index.length[win] <= block.bounds[doc + 1])
-    doc, start, win = doc[fits], start[fits], win[fits]
-    same = np.zeros(len(doc), dtype=bool)
-    for size in np.unique(index.length[win]):
-        of = index.length[win] == size
-        same[of] = combine(h, start[of], int(size)) == index.hash[win[of]]
-    for i in np.flatnonzero(same):
-        words = b" ".join(block.word_bytes(j) for j in range(start[i], start[i] + index.length[win[i]]))
-        same[i] = words == index.words[win[i]]
-    return doc[same], start[same], win[same]
+    at, most, least, length = (x[entry].astype(np.int64) for x in (index.at, index.most, index.least, index.length))
+    # How many words before and after the prefix word are the same, within the entry's windows and the document.
+    before, after = np.zeros(len(word), dtype=np.int64), np.zeros(len(word), dtype=np.int64)
+    for count, reach, room, sign in ((before, most, word - block.bounds[doc], -1), (after, length - 1 - least, block.bounds[doc + 1] - 1 - word, 1)):
+        left, j = np.flatnonzero(np.minimum(reach, room) > 0), 1
+        while len(left):
+            left = left[h[word[left] + sign * j] == index.words[at[left] + sign * j]]
+            count[left] = j
+            j += 1
+            left = left[np.minimum(reach, room)[left] >= j]
+    # Windows that begin from `most` to `least` words before the prefix word.
+    begin, last = np.minimum(most, before), np.maximum(least, length - 1 - after)
+    out = []
+    for i in np.flatnonzero(begin >= last).tolist():
+        b, e, size, p, q = int(begin[i]), int(last[i]), int(length[i]), int(at[i]), int(word[i])
+        item = int(index.ids[np.searchsorted(index.bounds, p, side="right") - 1])
+        same = lambda b, e: b"".join(block.word_bytes(x) + b" " for x in range(q - b, q - e + size)) == index.text[index.place[p - b] : index.place[p - e + size]]  # noqa: B023, E731
+        spans = [(b, e)] if same(b, e) else [(x, x) for x in range(e, b + 1) if same(x, x)]
+        out += [(int(doc[i]), q - x, q - y + size, item) for x, y in spans]
+    return out
+
+
+def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of the words of a partition."""
+    for batch in batches:
+        for _, _, block in blocks(batch.column(0), ALNUM, lower=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bucket(block.hashes())))], names=["bucket"])
 
 
 def _count(shared):
-    """(word of the vocabulary, occurrences) of a partition."""
+    """(bucket, words in it) of a partition, for the buckets that items use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        total = np.zeros(len(vocab), dtype=np.int64)
+        used = shared.value
+        total = np.zeros(len(used), dtype=np.int64)
         for batch in batches:
             for _, _, block in blocks(batch.column(0), ALNUM, lower=True):
-                h = block.hashes()
-                at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-                total += np.bincount(at[vocab[at] == h], minlength=len(vocab))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["word", "n"])
+                b = _bucket(block.hashes())
+                found, n = np.unique(b[used[b]], return_counts=True)
+                total[found] += n
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["bucket", "n"])
+
+    return run
+
+
+def _pack(shared, window: int):
+    """The index of all items of a partition, as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            texts = table["text"].cast(pa.large_string()).combine_chunks()
+            index = build_index(table["item"].to_numpy(), texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, shared.value, window)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(index)], pa.large_binary()).cast(pa.binary())], names=["packed"])
 
     return run
 
@@ -124,21 +163,19 @@ def _match(shared):
             items: list = batch.column("items").to_pylist()
             for i, _, block in blocks(column, ALNUM, lower=True):
                 counts += block.counts.tolist()
-                doc, start, win = _find(block, block.hashes(), index)
-                order = np.lexsort((start, doc))
-                doc, start, win = doc[order], start[order], win[order]
-                cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1), len(doc)] if len(doc) else [0]
-                for a, b in zip(cuts, cuts[1:]):
-                    r, base = i + int(doc[a]), int(block.bounds[doc[a]])
-                    new = [(int(s) - base, int(s) - base + int(index.length[w])) for s, w in zip(start[a:b], win[a:b])]
+                hits: dict[int, list[tuple[int, int, int]]] = {}
+                for doc, first, last, item in _find(block, block.hashes(), index):
+                    base = int(block.bounds[doc])
+                    hits.setdefault(i + doc, []).append((first - base, last - base, item))
+                for r, new in hits.items():
                     merged: list[list[int]] = []
-                    for x, y in sorted(new + [(s["first"], s["last"]) for s in spans[r]]):
+                    for x, y in sorted([(x, y) for x, y, _ in new] + [(s["first"], s["last"]) for s in spans[r]]):
                         if merged and x <= merged[-1][1]:
                             merged[-1][1] = max(y, merged[-1][1])
                         else:
                             merged.append([x, y])
                     spans[r] = [{"first": x, "last": y} for x, y in merged]
-                    items[r] = sorted({*items[r], *(item for w in set(win[a:b].tolist()) for item in index.items[w])})
+                    items[r] = sorted({*items[r], *(item for _, _, item in new)})
             out = {name: batch.column(name) for name in batch.schema.names} | {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pair)), "items": pa.array(items, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
@@ -150,12 +187,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased.  An item's
     windows are its runs of `window` words, or all its words if they are fewer.  Words
-    are ordered by their count in the whole corpus; for whole containment one prefix
-    word, the rarest of a window, is enough.  Documents are joined on it, the window's
-    place and length must fit the document, and the words are then compared in full.
+    are ordered by their count in the whole corpus (that of the 2 ** COUNT_BITS buckets their hashes fall in, counted
+    in one pass); for whole containment one prefix word, the rarest of a window, is enough.  Documents are joined
+    on it, the window's place and length must fit the document, and the words are then compared in full.
     spans lists the hit ranges [first, last) of words, items the items of hitting windows.
 
-    The index of windows is broadcast in blocks of at most index_bytes of item text (a
+    The index is packed in a task and broadcast in blocks of about index_bytes of item text (a
     single item may be longer); documents pass each block in turn without a shuffle.
     Null texts have no words; items without id or words are not looked for; items that repeat
     an id are one item.  Without documents the result is empty, without items nothing is hit.
@@ -166,20 +203,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_blocks = max(1, -(-total // index_bytes))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"), F.array().cast("array<long>").alias("items"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in base.schema])
-    found = base
+    share = spark.sparkContext.broadcast
+    used = np.zeros(1 << COUNT_BITS, dtype=bool)
+    used[items.select("text").mapInArrow(_used, "bucket long").distinct().toArrow()["bucket"].to_numpy()] = True
+    counts = np.zeros(len(used), dtype=np.int64)
+    if used.any():
+        tally = base.select("text").mapInArrow(_count(share(used)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        counts[tally["bucket"].to_numpy()] = tally["n"].to_numpy()
+    shared, found = share(counts), base
     for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).orderBy("item", "text").collect()
-        ids, texts = [r["item"] for r in rows], [r["text"] for r in rows]
-        vocab = vocabulary(texts) if rows else np.zeros(0, dtype=np.uint64)
-        counts = np.zeros(len(vocab), dtype=np.int64)
-        if len(vocab):
-            words = spark.sparkContext.broadcast(vocab)
-            for r in base.select("text").mapInArrow(_count(words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-                counts[r["word"]] = r["n"]
-            index = build_index(ids, texts, vocab, counts, window)
-        else:
-            index = Index(vocab, np.zeros(1, dtype=np.int64), counts, counts, vocab, [], [])
-        found = found.mapInArrow(_match(spark.sparkContext.broadcast(index)), schema)
+        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).repartition(1).sortWithinPartitions("item", "text")
+        packed = rows.mapInArrow(_pack(shared, window), "packed binary").first()
+        index = pickle.loads(packed[0]) if packed else build_index(np.zeros(0, dtype=np.int64), pa.array([], pa.string()), counts, window)
+        found = found.mapInArrow(_match(share(index)), schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return found.select("row", "doc_id", "n_words", "spans", "items", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), (F.size("spans") > 0).alias("contaminated"))
 

@@ -13,9 +13,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pressroom.llm import decontaminate as decontaminate_module
 from pressroom.llm import near_dedup
 from pressroom.llm.components import components
-from pressroom.llm.decontaminate import contamination, decontaminate
+from pressroom.llm.decontaminate import build_index, contamination, decontaminate
 from pressroom.llm.near_dedup import drop_near_duplicates, near_duplicates
 from pressroom.llm.substring_dedup import substring_dedup
 
@@ -234,6 +235,24 @@ def test_contamination(spark, index_bytes):
     assert {r["contaminated"] == (r["n_hit"] > 0) for r in rows.collect()} == {True}
 
 
+def test_windows_of_few_words_in_any_order():
+    """Items and documents over few words, so that windows repeat, overlap and share their rarest words."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        word = lambda: rng.choice("abcdefg"[: rng.randrange(2, 7)])  # noqa: B023, E731
+        items = [(i, " ".join(word() for _ in range(rng.randrange(0, 25)))) for i in range(6)]
+        docs = [(i, " ".join(word() for _ in range(rng.randrange(0, 40)))) for i in range(8)]
+        counts = np.zeros(1 << decontaminate_module.COUNT_BITS, dtype=np.int64)
+        counts[:] = np.random.default_rng(seed).integers(0, 3, len(counts))
+        index = build_index(np.array([i for i, _ in items]), pa.array([t for _, t in items]), counts, 10)
+        block = next(b for _, _, b in decontaminate_module.blocks(pa.array([t for _, t in docs]), decontaminate_module.ALNUM, lower=True))
+        got = {i: (set(), set()) for i, _ in docs}
+        for doc, first, last, item in decontaminate_module._find(block, block.hashes(), index):
+            got[doc][0].update(range(first - int(block.bounds[doc]), last - int(block.bounds[doc])))
+            got[doc][1].add(item)
+        assert [(i, len(h), sorted(f)) for i, (h, f) in got.items()] == [(i, h, f) for i, _, h, f in sorted(brute_hits(docs, items), key=lambda r: r[0])]
+
+
 def test_decontaminate_keeps_columns(spark):
     docs = frame(spark, [(1, "the cat sat", "a"), (2, "a dog", "b"), (None, None, None)], "doc_id long, text string, spans string")
     items = frame(spark, [(1, "cat sat")], "item_id long, text string")
