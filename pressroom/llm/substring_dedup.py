@@ -13,6 +13,8 @@ from .textops import SPACED, U64, Block, blocks, combine, mix
 
 #: Words in an anchor.  A window of 13 words holds 9 such grams and selects the least.
 ANCHOR = 5
+#: An anchor of more rows than HOT is met by each of its windows apart; it is noticed where a block of _BLOCK bytes has it _NOTICED times.
+HOT, _NOTICED, _BLOCK = 1 << 22, 4, 1 << 23
 _SEED = "anchor long, windows binary, doc_id long, at long"
 _SPAN = "doc_id long, tag int, first int, last int"
 #: Bytes of a window's own hash that travel with its anchor's 64 bits.
@@ -68,17 +70,44 @@ def _binary(rows: np.ndarray, size: np.ndarray, of: np.ndarray, start: np.ndarra
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _seeds(window: int):
+def _frequent(window: int):
+    """(anchor, rows) of anchors that a block has _NOTICED times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, block in blocks(batch.column(0), SPACED, target=_BLOCK):
+                anchor, n = np.unique(_anchors(block, window)[2], return_counts=True)
+                often = n >= _NOTICED
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[often].view(np.int64)), pa.array(n[often])], names=["anchor", "n"])
+
+    return run
+
+
+def _apart(hot: np.ndarray, word: np.ndarray, doc: np.ndarray, gram: np.ndarray, before: np.ndarray, size: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs (document, word, anchor, words before, windows) with those of hot anchors as runs of one window, whose anchor holds the window's hash too."""
+    of = np.isin(gram, hot)
+    if not of.any():
+        return doc, word, gram, before, size
+    row, place = _runs(np.where(of, size, 1))
+    of, size = of[row], np.where(of[row], 1, size[row])
+    gram, before = gram[row], before[row] - np.where(of, place, 0)
+    first = (np.cumsum(size) - size)[of]
+    gram[of] = mix(gram[of] ^ mix(windows[first] + before[of].astype(U64)))
+    return doc[row], word[row], gram, before, size
+
+
+def _seeds(window: int, shared):
     """Rows of seeds.  Of equal runs in a block the smallest document asks for all; later ones are known repeats, with a null anchor and no hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, block in blocks(batch.column("text"), SPACED, target=1 << 23):
+            for i, j, block in blocks(batch.column("text"), SPACED, target=_BLOCK):
                 ids = batch.column("doc_id").slice(i, j - i).to_numpy()
                 tags = batch.column("tag").slice(i, j - i).to_numpy()
                 doc, word, gram, before, size, windows = _anchors(block, window)
                 if not len(doc):
                     continue
+                doc, word, gram, before, size = _apart(shared.value, word, doc, gram, before, size, windows)
                 start = np.cumsum(size) - size
                 whole = np.add.reduceat(mix(windows + (np.arange(len(windows)) - np.repeat(start, size)).astype(U64)), start) + before.astype(U64)
                 order = np.lexsort((ids[doc], whole, gram))
@@ -157,7 +186,7 @@ def _extend(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 13, hot: int = HOT) -> DataFrame:
     """Maximal repeats: (doc_id, tag, first, last) for words [first, last) of docs (doc_id, tag, text).
 
     Each window of words selects the least hash of its grams, so equal windows select
@@ -165,8 +194,14 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     extended to both sides by comparing the hashes of the windows that selected it
     (64 bits of the anchor and 40 of each window).  A window is a repeat where a
     smaller doc_id has it; adjacent ones are merged into maximal spans.
+
+    Anchors of more than hot rows, at most one for each hot rows of all, are counted in a pass before and broadcast;
+    their windows meet one by one, so that a phrase in many contexts is spread over tasks.
     """
-    seeds = docs.where("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(_seeds(window), _SEED)
+    docs = docs.where("doc_id is not null").select("doc_id", "tag", "text")
+    often = docs.select("text").mapInArrow(_frequent(window), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+    shared = docs.sparkSession.sparkContext.broadcast(often.select("anchor").toArrow()["anchor"].to_numpy().view(U64))
+    seeds = docs.mapInArrow(_seeds(window, shared), _SEED)
     # Rows that are settled already have no anchor to meet at: they stay spread.
     spread = F.coalesce("anchor", F.xxhash64("doc_id", "at"))
     met = seeds.repartition(spread).sortWithinPartitions("anchor", "doc_id")
@@ -210,7 +245,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text, spans.
 
     Words `[^\\x20\\x09-\\x0D]+` stay as they are written.  A word is removed if a window of
@@ -227,7 +262,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tag = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)).cast("int")
     docs = docs.withColumn("tag", tag)
-    spans = repeated_spans(docs, window).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = repeated_spans(docs, window, hot).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     texts = docs.select("doc_id", "tag", "text").mapInArrow(_pack_texts, "doc_id long, tag int, size int, packed binary")
     joined = texts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "size", "packed", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first:int,last:int>>")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pressroom.llm import decontaminate as decontaminate_module
 from pressroom.llm import near_dedup
+from pressroom.llm import substring_dedup as substring_module
 from pressroom.llm.components import components
 from pressroom.llm.decontaminate import build_index, contamination, decontaminate
 from pressroom.llm.near_dedup import drop_near_duplicates, near_duplicates
@@ -196,14 +197,30 @@ def brute_substrings(docs, k=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("window", [13, 6])
-def test_substring_dedup(spark, window):
+@pytest.mark.parametrize(("window", "hot"), [(13, substring_module.HOT), (6, substring_module.HOT), (13, 3), (6, 3)])
+def test_substring_dedup(spark, window, hot):
     docs = corpus() + [(94, "another text under a used id " * 3), (96, "another text under a used id " * 3), (97, "x " * 13), (98, "x " * 40)]
-    got = [tuple(r) for r in substring_dedup(frame(spark, docs), window=window).select("doc_id", "n_words", "n_removed", "kept_text").collect()]
+    got = [tuple(r) for r in substring_dedup(frame(spark, docs), window=window, hot=hot).select("doc_id", "n_words", "n_removed", "kept_text").collect()]
     assert sorted(got, key=str) == brute_substrings(docs, window)
     assert substring_dedup(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_windows_of_a_common_phrase_are_spread(spark):
+    """One phrase in 200 contexts, some of them equal: its anchor is one key, or as many as it has windows."""
+    rng = random.Random(2)
+    docs = [(i, " ".join([*(f"c{rng.randrange(12)}" for _ in range(9)), "the very same five words here", *(f"d{rng.randrange(12)}" for _ in range(9))])) for i in range(150)] + [(150 + i, "w1 w2 w3 w4 w5 the very same five words here w6 w7 w8 w9 w10") for i in range(50)]
+    expected = brute_substrings(docs)
+    for hot in (substring_module.HOT, 3):
+        got = [tuple(r) for r in substring_dedup(frame(spark, docs), hot=hot).select("doc_id", "n_words", "n_removed", "kept_text").collect()]
+        assert sorted(got, key=str) == expected
+    block = next(b for _, _, b in substring_module.blocks(pa.array([t for _, t in docs]), substring_module.SPACED))
+    doc, word, gram, before, size, windows = substring_module._anchors(block, 13)
+    anchors, n = np.unique(gram, return_counts=True)
+    apart = substring_module._apart(anchors[n > 3], word, doc, gram, before, size, windows)
+    assert len(apart[0]) > len(doc) and apart[4].sum() == size.sum() == len(windows)
+    assert len(set(apart[2].tolist())) > 2 * len(anchors)
+
+
 def brute_hits(docs, items, k=10):
     windows = defaultdict(set)
     for i, t in items:
