@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, strip
 
-_PAIR = r"(?is)<script>\s*(.*?)\s*</script>"
-_MANGLED = r"(?i)</?scr[a-z]*[^>]*>?\s*$"
+# Fixed value: the tag that delimits a script.
+_TAG = r"(?i)</?script>"
 _TURN = r"(?dm)^([\p{Lu}][\p{L}\p{N}_.'’ -]{0,39}):[ \t]"
 
 
@@ -18,10 +18,34 @@ def _longest(texts: Column) -> Column:
     return F.array_max(ranked)["t"]
 
 
-def _tail(c: Column) -> Column:
-    """What follows the last opening tag, null where a closing tag comes after it or there is none."""
-    found = F.regexp_extract(c, r"(?is)^.*<script>((?:(?!</script>).)*)$", 1)
-    return F.when(c.rlike(r"(?is)<script>(?:(?!</script>|<script>).)*$"), strip(found))
+def _scan(c: Column) -> Column:
+    """One walk over the tags of a text: blocks (from an opening tag to the next closing one) and tail (after the last opening tag, where no closing one follows)."""
+    kinds = F.transform(F.regexp_extract_all(c, F.lit(_TAG), 0), lambda t: F.struct((F.substring(t, 2, 1) == "/").alias("closes"), F.length(t).alias("n")))
+    tags = F.zip_with(F.split(c, _TAG, -1), kinds, lambda piece, tag: F.struct(F.length(piece).alias("before"), tag["closes"].alias("closes"), F.coalesce(tag["n"], F.lit(0)).alias("n")))
+    none = F.lit(None).cast("int")
+    # at: characters walked; block: where the open block began; last: where the text after the last tag began, if that tag opens.
+    start = F.struct(F.lit(0).alias("at"), none.alias("block"), none.alias("last"), F.array().cast("array<string>").alias("blocks"))
+
+    def step(w: Column, t: Column) -> Column:
+        tag_at, after = w["at"] + t["before"], w["at"] + t["before"] + t["n"]
+        ends = t["closes"] & w["block"].isNotNull()
+        text = F.substring(c, w["block"] + 1, tag_at - w["block"])
+        return F.struct(
+            after.alias("at"),
+            F.when(t["closes"], none).when(t["closes"].isNotNull(), F.coalesce(w["block"], after)).otherwise(w["block"]).alias("block"),
+            F.when(t["closes"], none).when(t["closes"].isNotNull(), after).otherwise(w["last"]).alias("last"),
+            F.when(ends, F.concat(w["blocks"], F.array(strip(text)))).otherwise(w["blocks"]).alias("blocks"),
+        )
+
+    return F.aggregate(tags, start, step, lambda w: F.struct(w["blocks"].alias("blocks"), F.when(w["last"].isNotNull(), strip(F.substring(c, w["last"] + 1, F.length(c)))).alias("tail")))
+
+
+def _unmangled(tail: Column) -> Column:
+    """The tail less a spoilt script tag at its end; null where it ends with none."""
+    mark = F.substring_index(tail, "<", -1)
+    name = F.ltrim(F.lower(F.regexp_replace(strip(mark), ">$", "")), F.lit("/"))
+    spoilt = F.contains(tail, F.lit("<")) & F.startswith(name, F.lit("scr")) & ~F.contains(name, F.lit(">"))
+    return F.when(spoilt, strip(F.substring(tail, F.lit(1), F.length(tail) - F.length(mark) - 1)))
 
 
 def extract_script(c: Column) -> Column:
@@ -30,22 +54,19 @@ def extract_script(c: Column) -> Column:
     An unclosed tail counts only where a mangled closing tag was cut off it, or nothing
     else is tagged; without tags it is the reply less summary and tags.
     """
+    bare = F.regexp_replace(F.regexp_replace(c, "(?is)<summary>.*?</summary>", ""), _TAG, "")
 
-    def of(tail: Column) -> Column:
-        pairs = F.regexp_extract_all(c, F.lit(_PAIR), 1)
-        cut = strip(F.regexp_replace(tail, _MANGLED, ""))
-        more = F.when(tail.isNotNull() & ((cut != tail) | (F.size(pairs) == 0)), F.array(cut)).otherwise(F.array().cast("array<string>"))
-        every = F.concat(pairs, more)
-        bare = F.regexp_replace(F.regexp_replace(c, "(?is)<summary>.*?</summary>", ""), "(?i)</?script>", "")
-        return F.when(F.size(every) > 0, strip(_longest(every))).otherwise(strip(bare))
+    def of(found: Column) -> Column:
+        tail = F.coalesce(_unmangled(found["tail"]), F.when(F.size(found["blocks"]) == 0, found["tail"]))
+        every = F.when(tail.isNotNull(), F.concat(found["blocks"], F.array(tail))).otherwise(found["blocks"])
+        return F.when(F.size(every) > 0, _longest(every)).otherwise(strip(bare))
 
-    return let(_tail(c), of)
+    return let(_scan(c), of)
 
 
 def trusted_markup(c: Column) -> Column:
     """True where a script is delimited: by a pair, or by a tail with a mangled closing tag."""
-    tail = _tail(c)
-    return c.rlike("(?is)<script>.*?</script>") | (tail.isNotNull() & (strip(F.regexp_replace(tail, _MANGLED, "")) != tail))
+    return let(_scan(c), lambda found: (F.size(found["blocks"]) > 0) | _unmangled(found["tail"]).isNotNull())
 
 
 def extract_summary(c: Column) -> Column:

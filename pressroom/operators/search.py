@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, tokenize
 
+#: Words of the queries that go into one pass over the articles, as a constant of the plan; more queries take further passes.
+BLOCK_WORDS = 20_000
+
+
+def _blocks(queries: DataFrame, mode: str) -> Iterator[list[dict]]:
+    """The queries in blocks: id, number of words, and levels, of which the j-th has the words that stand j times or more."""
+    block, size = [], 0
+    for r in queries.select("query_id", tokenize(F.col("query"), mode).alias("q")).where("size(q) > 0").orderBy("query_id").toLocalIterator():
+        times = Counter(r["q"])
+        levels = [[w for w, n in times.items() if n >= j] for j in range(1, max(times.values()) + 1)]
+        if block and size + len(r["q"]) > BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+        block.append({"id": r["query_id"], "nq": len(r["q"]), "levels": levels})
+        size += len(r["q"])
+    yield block
+
 
 def _scores(articles: DataFrame, queries: DataFrame, mode: str, key: str) -> DataFrame:
-    """(query_id, key, score) of every pair that shares a word, by an inverted index.
+    """(query_id, key, score) of every pair that shares a word, worked out within the article's row: pairs aren't shuffled.
 
     Query words keep their repeats as weights; an article's words are distinct.
     """
-    words = queries.select("query_id", tokenize(F.col("query"), mode).alias("q")).where("size(q) > 0")
-    asked = words.select("query_id", F.size("q").alias("nq"), F.explode("q").alias("w")).groupBy("query_id", "nq", "w").agg(F.count("*").alias("times"))
-    title = articles.select(key, F.explode(F.array_distinct(tokenize(F.col("title"), mode))).alias("w"), F.lit(3.0).alias("weight"))
-    body = articles.select(key, F.explode(F.array_distinct(tokenize(F.col("body"), mode))).alias("w"), F.lit(1.0).alias("weight"))
-    vocabulary = asked.select("w").distinct()
-    # Only words that some query has go on to the join; the list of them is small beside the articles.
-    held = title.unionByName(body).join(vocabulary, "w", "left_semi").groupBy(key, "w").agg(F.sum("weight").alias("weight"))
-    return held.join(asked, "w").groupBy("query_id", key).agg((F.sum(F.col("weight") * F.col("times")) / F.sqrt(F.first("nq"))).alias("score"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    found = []
+    for block in _blocks(queries, mode):
+        asked = F.from_json(F.lit(json.dumps(block)), f"array<struct<id:{kind},nq:int,levels:array<array<string>>>>")
+        vocabulary = F.from_json(F.lit(json.dumps(sorted({w for q in block for w in q["levels"][0]}))), "array<string>")
+        # Of a text only the words that some query has are compared with each query.
+        rows = articles.select(key, *[F.array_intersect(vocabulary, tokenize(F.coalesce(F.col(c), F.lit("")), mode)).alias(f"_{c}") for c in ("title", "body")])
+
+        def score(q: Column) -> Column:
+            hits = lambda words: F.aggregate(q["levels"], F.lit(0), lambda n, level: n + F.size(F.array_intersect(level, words)))  # noqa: B023, E731
+            return F.struct(q["id"].alias("query_id"), ((hits(F.col("_title")) * 3 + hits(F.col("_body"))) / F.sqrt(q["nq"])).alias("score"))
+
+        pairs = F.filter(F.transform(asked, score), lambda x: x["score"] > 0)
+        found.append(rows.where("size(_title) + size(_body) > 0").select(key, F.inline(pairs)).select("query_id", key, "score"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def keyword_search(articles: DataFrame, queries: DataFrame, k: int = 5, mode: str = "word", key: str = "article_id") -> DataFrame:

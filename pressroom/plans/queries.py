@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FEED = "1-urgent"
+WS_ANY = r"[\s\p{Z}]*"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -92,11 +93,11 @@ def theme_spread(spark: SparkSession, d: str) -> DataFrame:
     return coverage.theme_spread(rows).withColumn("names", F.md5(F.array_join("names", ",")))
 
 
-@query(with_sql("ea eo", "SELECT a.n AS place, a.episode_id, a.title AS headline, a.theme, CASE WHEN trim(a.theme) = '' THEN '[FRESH]' ELSE '[RECURRING: \"' || a.theme || '\" - ' || coalesce(CAST(c.days_covered AS VARCHAR), '?') || '/3 days' || CASE WHEN coalesce(c.was_lead, false) THEN ', LEAD' ELSE '' END || ']' END || ' ' || a.title AS annotated FROM ea a LEFT JOIN cov c ON c.theme = a.theme WHERE a.episode_id % 10 = 0", cov="SELECT * FROM (" + _COV.format(days=30) + f") WHERE feed_slug = '{FEED}'"))
+@query(with_sql("ea eo", "SELECT a.n AS place, a.episode_id, a.title AS headline, a.theme, CASE WHEN trim(a.theme) = '' THEN '[FRESH]' ELSE '[RECURRING: \"' || a.theme || '\" - ' || coalesce(CAST(c.days_covered AS VARCHAR), '?') || '/3 days' || CASE WHEN coalesce(c.was_lead, false) THEN ', LEAD' ELSE '' END || ']' END || ' ' || a.title AS annotated FROM ea a LEFT JOIN cov c ON c.theme = a.theme", cov="SELECT * FROM (" + _COV.format(days=30) + f") WHERE feed_slug = '{FEED}'"))
 def annotate_freshness(spark: SparkSession, d: str) -> DataFrame:
     eps = B.episodes(spark, d)
     cov = coverage.coverage_summary(eps, FEED, B.episodes_as_of(spark, d), 30)
-    heads = eps.where("episode_id % 10 = 0").select("episode_id", F.posexplode("articles").alias("place", "a")).select((F.col("place") + 1).cast("long").alias("place"), "episode_id", F.col("a.title").alias("headline"), F.col("a.theme").alias("theme"))
+    heads = eps.select("episode_id", F.posexplode("articles").alias("place", "a")).select((F.col("place") + 1).cast("long").alias("place"), "episode_id", F.col("a.title").alias("headline"), F.col("a.theme").alias("theme"))
     return coverage.annotate_freshness(heads, cov)
 
 
@@ -648,10 +649,10 @@ def squash_whitespace(spark: SparkSession, d: str) -> DataFrame:
     return B.articles(spark, d).select("article_id", F.md5(X.squash_ws(F.col("body"))).alias("text"))
 
 
-@query(with_sql("ar", f"SELECT a.article_id, round(CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 6) AS score FROM (SELECT article_id, list_distinct({tokens_sql('title')}) AS x, list_distinct({tokens_sql('substr(body, 1, 500)')}) AS y FROM ar) a"))
+@query(with_sql("ar", f"SELECT a.article_id, round(CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 6) AS score FROM (SELECT article_id, list_distinct({tokens_sql('title')}) AS x, list_distinct({tokens_sql('body')}) AS y FROM ar) a"))
 def jaccard(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.array_distinct(X.tokenize(c))
-    return B.articles(spark, d).select("article_id", F.round(X.jaccard(words(F.col("title")), words(F.substring("body", 1, 500))), 6).alias("score"))
+    return B.articles(spark, d).select("article_id", F.round(X.jaccard(words(F.col("title")), words(F.col("body"))), 6).alias("score"))
 
 
 @query(with_sql("ar", f"SELECT article_id, CAST(round((3 * len([w for w in q if list_contains(t, w)]) + len([w for w in q if list_contains(b, w)])) / sqrt(len(q)), 6) AS DOUBLE) AS score FROM (SELECT article_id, {tokens_sql(chr(39) + 'the of and the' + chr(39))} AS q, {tokens_sql('title')} AS t, {tokens_sql('body')} AS b FROM ar)"))
@@ -680,10 +681,14 @@ def episode_titles(spark: SparkSession, d: str) -> DataFrame:
     return B.articles(spark, d).where("title <> ''").select("article_id", X.episode_title(F.col("published").cast("string"), subject, X.article_slug(F.col("title")), brand).alias("name"))
 
 
-@query(with_sql("ar", "SELECT article_id, md5('Title' || chr(10) || regexp_replace(regexp_replace(regexp_replace(body, '\\*{3}([^\\n]+?)\\*{3}', '\\1', 'g'), '\\*{2}([^\\n]+?)\\*{2}', '\\1', 'g'), '\\*([^\\n]+?)\\*', '\\1', 'g')) AS text FROM ar WHERE NOT regexp_matches(body, '(?m)^(#|-{3,}\\s*$)')"))
+_MARKED = "string_split('## Title' || chr(10) || '---' || chr(10) || '[END OF SCRIPT]' || chr(10) || body, chr(10))"
+_UNMARKED = f"array_to_string([regexp_replace(l, '^#{{1,6}}[^\\S\\n]+', '') for l in {_MARKED} if NOT regexp_matches(l, '^{WS_ANY}(-{{3,}}|\\*?\\[END OF SCRIPT\\]\\*?){WS_ANY}$')], chr(10))"
+
+
+@query(with_sql("ar", f"SELECT article_id, md5(regexp_replace(regexp_replace(regexp_replace({_UNMARKED}, '\\*{{3}}([^\\n]+?)\\*{{3}}', '\\1', 'g'), '\\*{{2}}([^\\n]+?)\\*{{2}}', '\\1', 'g'), '\\*([^\\n]+?)\\*', '\\1', 'g')) AS text FROM ar"))
 def strip_markdown(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("## Title\n---\n[END OF SCRIPT]\n"), "body")
-    return B.articles(spark, d).where("not body rlike r'(?dm)^(#|-{3,}\\s*$)'").select("article_id", F.md5(X.strip_markdown(text)).alias("text"))
+    return B.articles(spark, d).select("article_id", F.md5(X.strip_markdown(text)).alias("text"))
 
 
 @query(with_sql("ar", f"SELECT article_id, md5({strip_sql(chr(39) + chr(39) + ' || ' + 'x')}) AS text FROM (SELECT article_id, regexp_replace(regexp_replace(regexp_replace(body || ' end', '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' +\\n', chr(10), 'g') AS x FROM ar)"))
@@ -770,9 +775,9 @@ def stream_jobs(spark: SparkSession, d: str) -> DataFrame:
     return last.select("job_id", "status", "failure_count", "last_error", B.stamp("process_after").alias("process_after"))
 
 
-@query("SELECT user_id AS run_id, min(event_id) >= 0 AS sent FROM events WHERE event_type = 'error' GROUP BY user_id")
+@query(f"SELECT user_id AS run_id, {ts_sql('min(ts)')} AS ts FROM events WHERE event_type = 'error' GROUP BY user_id")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.streams import event_stream, stream_alerts as job
 
     errors = event_stream(spark, d).where("event_type = 'error'").select(F.col("user_id").alias("run_id"), "ts")
-    return job(errors).select("run_id", F.lit(True).alias("sent"))
+    return job(errors).select("run_id", B.stamp("ts").alias("ts"))

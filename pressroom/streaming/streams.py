@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.time import next_retry
@@ -34,47 +35,63 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what there is, into Parquet, and read that."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _run(stream: DataFrame, folder: str | None, mode: str, shape) -> DataFrame:
+    """Run a stream over what there is; each batch goes, by shape(batch, rows of earlier batches), to its own part of folder/out, and all of that is returned.
+
+    A batch that is run again overwrites its part.  With a folder given, the next run goes on where this one ended.
+    """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
+
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(f"{folder}/out")
+    def held() -> DataFrame:
+        out = f"{folder}/out"
+        return spark.read.schema(schema).parquet(out) if _exists(spark, out) else spark.createDataFrame([], schema)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        shape(batch, held().where(F.col("batch") < batch_id).drop("batch")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return held().drop("batch")
+
 
+def run_to_table(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """Run a stream over what there is, into Parquet, and read that; a folder lets a later run go on from its checkpoint."""
+    return _run(stream, folder, mode, lambda batch, _: batch)
 
-def stream_ingest(stream: DataFrame, event_key: str, ledger: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Take in an at-least-once stream of messages (key, ts) once each, and return what was taken in.
 
-    Repeats within delay are dropped by the stream's state; keys of the ledger by an anti-join in each
-    batch.  A batch that is run again overwrites its own folder, so nothing is doubled.
+def stream_ingest(stream: DataFrame, event_key: str, ledger: DataFrame, delay: str = "7 days", folder: str | None = None) -> DataFrame:
+    """Take in an at-least-once stream of messages (key, ts) once each, and return all that was taken in so far.
+
+    Repeats within delay are dropped by the stream's state, later ones by an anti-join with what earlier batches took
+    in, and keys of the ledger by another.  A batch that is run again overwrites its own part, and with a
+    folder given a later run goes on where this one ended, so nothing is doubled.
     """
-    spark = stream.sparkSession
-    folder = shared_folder(spark)
     once = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([event_key])
+    return _run(once, folder, "append", lambda batch, taken: batch.join(ledger, "key", "left_anti").join(taken.select(event_key), event_key, "left_anti"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.join(ledger, "key", "left_anti").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-
-    once.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(once.schema).parquet(f"{folder}/out")
 
+def stream_articles(stream: DataFrame, store: str, key: list[str], order: list, date: str = "published", undated: str | None = None, folder: str | None = None) -> None:
+    """Write an article stream to a store where the first writing of a key stays; undated articles go to their own table, or nowhere.
 
-def stream_articles(stream: DataFrame, store: str, key: list[str], order: list, date: str = "published", undated: str | None = None) -> None:
-    """Write an article stream to a store where the first writing of a key stays; undated articles go to their own table, or nowhere."""
+    With a folder given, a later run goes on from its checkpoint; a batch that is run again changes nothing in either table.
+    """
     from ..sources.tables import append_articles
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         append_articles(batch.where(F.col(date).isNotNull()), store, key, order)
         if undated:
-            batch.where(F.col(date).isNull()).write.mode("append").parquet(undated)
+            batch.where(F.col(date).isNull()).write.mode("overwrite").parquet(f"{undated}/batch={batch_id}")
         batch.unpersist()
 
-    folder = shared_folder(stream.sparkSession)
+    folder = folder or shared_folder(stream.sparkSession)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
@@ -96,16 +113,35 @@ def stream_job_events(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("kind is not null")
 
 
+def _later(events: pd.DataFrame, ts, seq: int) -> pd.DataFrame:
+    return events[(events["ts"] > ts) | ((events["ts"] == ts) & (events["seq"] > seq))]
+
+
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A job's state after the events of a batch, in the order of their time."""
+    """A job's state after the events of a batch; those no later than the state are ignored.
+
+    Of a batch only the latest event that is no failure, and the failures after it, are held.
+    """
     failures, error, kind, last_ts, last_seq = state.get if state.exists else (0, None, "reset", None, -1)
-    events = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    for e in events.itertuples():
-        failures = failures + 1 if e.kind == "fail" else 0
-        error = e.error[:500] if e.kind == "fail" else None
-        kind, last_ts, last_seq = e.kind, e.ts, int(e.seq)
-    state.update((failures, error, kind, last_ts.to_pydatetime(), last_seq))
-    yield pd.DataFrame({"job_id": [key[0]], "kind": [kind], "failures": [failures], "last_error": [error], "last_ts": [last_ts], "last_seq": [last_seq]})
+    failed, other = None, None
+    for events in frames:
+        if last_ts is not None:
+            events = _later(events, pd.Timestamp(last_ts), last_seq)
+        others = events[events["kind"] != "fail"]
+        if len(others):
+            top = others.sort_values(["ts", "seq"]).iloc[-1]
+            if other is None or (top["ts"], top["seq"]) > (other["ts"], other["seq"]):
+                other = top
+        failed = pd.concat([failed, events[events["kind"] == "fail"]]) if failed is not None else events[events["kind"] == "fail"]
+        if other is not None:
+            failed = _later(failed, other["ts"], other["seq"])
+    if failed is None or (other is None and failed.empty):
+        return
+    last = other if failed.empty else failed.sort_values(["ts", "seq"]).iloc[-1]
+    failures = len(failed) + (failures if other is None else 0)
+    kind, error = last["kind"], last["error"][:500] if last["kind"] == "fail" else None
+    state.update((failures, error, kind, last["ts"].to_pydatetime(), int(last["seq"])))
+    yield pd.DataFrame({"job_id": [key[0]], "kind": [kind], "failures": [failures], "last_error": [error], "last_ts": [last["ts"]], "last_seq": [int(last["seq"])]})
 
 
 def stream_jobs(events: DataFrame, limit: int = 51) -> DataFrame:
@@ -124,6 +160,9 @@ def stream_jobs(events: DataFrame, limit: int = 51) -> DataFrame:
     )
 
 
-def stream_alerts(stream: DataFrame) -> DataFrame:
-    """(run_id, ts): the first alert of each run, as rows of a table; sending them is left to its reader."""
-    return run_to_table(stream.dropDuplicates(["run_id"]), "append")
+def stream_alerts(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """(run_id, ts): the first alert of each run, as rows of a table; sending them is left to its reader.
+
+    Runs that earlier batches alerted are told by the table itself, so the stream keeps no state.
+    """
+    return _run(stream.select("run_id", "ts"), folder, "append", lambda batch, sent: batch.groupBy("run_id").agg(F.min("ts").alias("ts")).join(sent.select("run_id"), "run_id", "left_anti"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from email.message import EmailMessage
 
@@ -304,3 +305,58 @@ def test_every_banned_host_is_dropped(spark, tmp_path):
     kept = spark.createDataFrame([(-1, "https://a.example.org/x", ""), (-2, "https://th1.example.org/", ""), (-3, "https://b.thx.example.org/", ""), (-4, None, "")], "page_id long, url string, html string")
     pages.unionByName(kept).write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(r["page_id"] for r in QUERIES["drop_banned_hosts"](spark, str(tmp_path)).collect()) == [-2, -1]
+
+
+def _feed(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    """Run, stop, run again: nothing is doubled, and a repeat after the watermark's delay isn't taken in either."""
+    schema = "event_id long, ts timestamp, key string"
+    at = lambda day, hour=0: dt.datetime(2024, 1, day, hour)
+    ledger = spark.createDataFrame([("old",)], "key string")
+    inbox, work = tmp_path / "in", f"file://{tmp_path}/work"
+    stream = _feed(spark, inbox, "a", [(1, at(1), "x"), (1, at(1), "x"), (2, at(2), "old"), (3, at(2), "y")], schema)
+    take = lambda: sorted(r["event_id"] for r in streams.stream_ingest(stream, "event_id", ledger, "1 day", folder=work).collect())
+    assert take() == [1, 3]
+    assert take() == [1, 3]
+    _feed(spark, inbox, "b", [(4, at(20), "z"), (3, at(20), "y"), (1, at(20), "x")], schema)
+    assert take() == [1, 3, 4]
+
+
+def test_alerts_are_sent_once(spark, tmp_path):
+    schema = "run_id long, ts timestamp"
+    at = lambda hour: dt.datetime(2024, 1, 1, hour)
+    inbox, work = tmp_path / "in", f"file://{tmp_path}/work"
+    stream = _feed(spark, inbox, "a", [(1, at(5)), (1, at(3)), (2, at(4))], schema)
+    sent = lambda: sorted((r["run_id"], r["ts"].hour) for r in streams.stream_alerts(stream, folder=work).collect())
+    assert sent() == [(1, 3), (2, 4)]
+    _feed(spark, inbox, "b", [(1, at(9)), (3, at(1))], schema)
+    assert sent() == [(1, 3), (2, 4), (3, 1)]
+    assert sent() == [(1, 3), (2, 4), (3, 1)]
+
+
+def test_late_job_events_leave_newer_states(spark, tmp_path):
+    schema = "job_id long, ts timestamp, seq long, kind string, error string"
+    at = lambda hour: dt.datetime(2024, 1, 1, hour)
+    inbox, work = tmp_path / "in", f"file://{tmp_path}/work"
+    stream = _feed(spark, inbox, "a", [(1, at(1), 1, "fail", "a"), (1, at(2), 2, "reset", None), (1, at(3), 3, "fail", "b"), (1, at(4), 4, "fail", "c"), (2, at(5), 5, "fail", "d")], schema)
+    last = lambda: {r["job_id"]: (r["failure_count"], r["last_error"], r["last_seq"]) for r in sorted(streams.run_to_table(streams.stream_jobs(stream), "update", folder=work).collect(), key=lambda r: r["last_seq"])}
+    assert last() == {1: (2, "c", 4), 2: (1, "d", 5)}
+    _feed(spark, inbox, "b", [(1, at(2), 9, "complete", None), (2, at(6), 6, "fail", "e"), (3, at(1), 7, "complete", None)], schema)
+    assert last() == {1: (2, "c", 4), 2: (2, "e", 6), 3: (0, None, 7)}
+
+
+def test_markdown_by_lines(spark):
+    texts = ["# One\n\n---\nText ***a*** **b** *c*\n  ----  \nEnd\n*[END OF SCRIPT]*", "---", "a\n---", "#\nb", "##nospace\n#  two", "**x\ny**", "*a **b* c**", "", "--\n* *\n***"]
+
+    def plain(t):
+        kept = [re.sub(r"^#{1,6}\s+", "", x) for x in t.split("\n") if not re.fullmatch(r"-{3,}|\*?\[END OF SCRIPT\]\*?", x.strip())]
+        for n in (3, 2, 1):
+            kept = [re.sub(r"\*{%d}(.+?)\*{%d}" % (n, n), r"\1", x) for x in kept]
+        return "\n".join(kept)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.strip_markdown(F.col("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
