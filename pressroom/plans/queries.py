@@ -697,6 +697,85 @@ def clean_newsletter(spark: SparkSession, d: str) -> DataFrame:
     return B.articles(spark, d).select("article_id", F.md5(X.clean_newsletter(text)).alias("text"))
 
 
+@query(with_sql("ar", f"SELECT article_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(translate(title, '{X.ACCENTED}', '{X.PLAIN}'), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_\\s-]', '', 'g'), '\\s+', ' ', 'g')), '[\\s-]+', '-', 'g') AS slug FROM ar"))
+def subject_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return B.articles(spark, d).select("article_id", X.subject_slug(F.col("title")).alias("slug"))
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events")
+def strict_ints(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "events").select("event_id", X.strict_int(F.col("props"), "k").alias("k"))
+
+
+@query(with_sql("ar", f"SELECT article_id, md5({strip_sql(chr(39) + 'On ' + chr(39) + ' || title')}) AS summary FROM ar"))
+def episode_summaries(spark: SparkSession, d: str) -> DataFrame:
+    notes = F.concat(F.lit("# Notes\n\n## Episode Summary\n\nOn "), "title", F.lit("\n\n---\n## Links\nnone"))
+    return B.articles(spark, d).select("article_id", F.md5(X.episode_summary(notes)).alias("summary"))
+
+
+_REPLIES = "SELECT article_id, " + strip_sql("body") + " AS own, " + strip_sql("title") + " AS head, article_id % 4 AS shape FROM ar"
+
+
+@query(with_sql("ar", "SELECT article_id, md5(CASE WHEN shape = 3 AND length(own) <= 1 THEN 'x' ELSE own END) AS script, md5(head) AS summary, [x for x in [head, 'and more'] if x <> ''] AS covered, shape <> 2 AS trusted FROM (" + _REPLIES + ")").replace("[x for x in [head, 'and more'] if x <> '']", "array_to_string([x for x in [regexp_replace(regexp_replace(head, '^[-*•]+', ''), '^[\\s\\p{Z}]+', ''), 'and more'] if x <> ''], '|')"))
+def marked_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Replies in four shapes: a pair of tags, a spoilt closing tag, no tags, and a placeholder before the script."""
+    shape = F.col("article_id") % 4
+    head = F.concat(F.lit("<summary> "), "title", F.lit(" </summary>\n<covered>\n- "), "title", F.lit("\n* and more\n</covered>\n"))
+    bare = F.concat(F.lit("<summary> "), "title", F.lit(" </summary>\n"), "body")
+    own = F.when(shape == 0, F.concat(F.lit("<script>"), "body", F.lit("</script> done"))).when(shape == 1, F.concat(F.lit("<SCRIPT>\n"), "body", F.lit("\n</scrip "))).otherwise(F.concat(F.lit("<script>x</script> or <script>"), "body", F.lit("</script>")))
+    rows = B.articles(spark, d).select("article_id", F.when(shape == 2, bare).otherwise(F.concat(head, own)).alias("reply"), F.concat(head, F.lit("")).alias("head"))
+    reply = F.col("reply")
+    return rows.select("article_id", F.md5(scripts.extract_script(reply)).alias("script"), F.md5(scripts.extract_summary(reply)).alias("summary"), F.array_join(scripts.parse_covered(F.col("head")), "|").alias("covered"), scripts.trusted_markup(reply).alias("trusted"))
+
+
+@query(with_sql("ar", f"SELECT article_id, md5({squash_sql('title')}) AS title, url, source, category, md5(body) AS body FROM (SELECT article_id, title, coalesce(url, 'none') AS url, source, category, replace(body, chr(13), '') AS body FROM ar)"))
+def cached_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles as the texts of their files, and what is read from those."""
+    from ..sources.tables import parse_article
+
+    text = F.concat(F.lit("# "), "title", F.lit("\n\nURL: "), F.coalesce("url", F.lit("none")), F.lit("\nSource: "), "source", F.lit("\nCategory: "), "category", F.lit("\n\n"), "body")
+    rows = B.articles(spark, d).select("article_id", parse_article(text).alias("a"))
+    return rows.select("article_id", F.md5("a.title").alias("title"), "a.url", "a.source", "a.category", F.md5("a.body").alias("body"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    from ..streaming.streams import shared_folder
+
+    return f"{shared_folder(spark)}/{name}"
+
+
+@query(with_sql("ep", f"SELECT episode_id AS guid, 'Episode ' || episode_id AS title, {ts_sql('pub_ts')} AS published, coalesce(summary, 'none') AS content FROM ep WHERE feed_slug = '{FEED}'"))
+def feed_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes written as feed documents, and one feed's entries read back."""
+    from ..sources.tables import read_feed, write_feeds
+
+    folder = _folder(spark, "feeds")
+    rows = B.episodes(spark, d).select("feed_slug", "episode_id", "pub_ts", F.concat(F.lit("Episode "), F.col("episode_id").cast("string")).alias("title"), F.coalesce("summary", F.lit("none")).alias("summary"), F.concat(F.lit("https://pod.example.com/e?id="), F.col("episode_id").cast("string"), F.lit("&x=<1>")).alias("link"))
+    write_feeds(rows, folder)
+    return read_feed(spark, f"{folder}/feed_slug={FEED}").select(F.col("guid").cast("long").alias("guid"), "title", B.stamp("published").alias("published"), "content")
+
+
+@query(with_sql("ar", "SELECT CAST(published AS VARCHAR) AS date, count(*) AS n, count(url) AS urls FROM ar GROUP BY published"))
+def link_store(spark: SparkSession, d: str) -> DataFrame:
+    """Links by date, of which some dates are written a second time."""
+    from ..sources.tables import write_links
+
+    folder = _folder(spark, "links")
+    rows = B.articles(spark, d).select(F.col("published").cast("string").alias("date"), "article_id", "url")
+    write_links(rows, folder)
+    write_links(rows.where("date < '2024-01-10'"), folder)
+    return spark.read.schema("article_id long, url string, date string").parquet(folder).groupBy("date").agg(F.count("*").alias("n"), F.count("url").alias("urls"))
+
+
+@query("SELECT page_id, url_host AS host, canonical AS canonical, clean AS slug, links FROM (SELECT page_id, " + host_sql("url") + " AS url_host, regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', '') AS canonical, trim(regexp_replace(regexp_replace(lower(url), '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '-') AS clean, len(regexp_extract_all(html, 'https?://[^\\s<>\"'']+')) AS links FROM pages)")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered SQL functions in a statement."""
+    from ..functions import register_functions
+
+    register_functions(spark)
+    return B.pages(spark, d).selectExpr("page_id", "url_host(url) AS host", "canonical_url(url) AS canonical", "url_slug(url) AS slug", "cast(size(found_urls(html)) as bigint) AS links")
+
+
 # ---- extraction ---------------------------------------------------------------------------
 
 

@@ -116,13 +116,34 @@ def papers_to_text(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(_texts("html", "text", lambda x: _parsed(x, PAPER_DROPS, "article", r"(?:^|[\s_-])(?:bib|bibliography|references|footnote|footnotes|notes|equation)(?:$|[\s_-])").text()), "page_id long, text string")
 
 
-def posts_to_text(posts: DataFrame, drop_sections: str = r"(?i)sponsor|timestamps") -> DataFrame:
-    """(post_id, text) of (post_id, html): without sections whose heading names sponsors or timestamps, and without time stamps at line starts."""
+# Headings whose sections aren't read, and those that are not text themselves.
+SKIPPED_SECTIONS, UNSPOKEN_HEADINGS = ("sponsor", "sponsors", "timestamps"), ("transcript",)
+_STAMP = r"\(?\d{1,2}:\d{2}(?::\d{2})?\)?"
+
+
+def posts_to_text(posts: DataFrame, skipped: tuple[str, ...] = SKIPPED_SECTIONS) -> DataFrame:
+    """(post_id, text) of (post_id, html): without time stamps and without the sections of exactly these headings.
+
+    A skipped section ends with the next heading of its level or a higher one.  Blocks are parted by an empty line.
+    """
 
     def of(html: str | None) -> str:
-        html = re.sub(rf"(?is)<h([1-6])[^>]*>(?:(?!</h\1>).)*?(?:{drop_sections.removeprefix('(?i)')})(?:(?!</h\1>).)*</h\1>.*?(?=<h[1-6][^>]*>|\Z)", "", html or "")
-        lines = _parsed(html, PAGE_DROPS).text().split("\n")
-        return "\n".join(x for x in (re.sub(r"^\(?\[?\d{1,2}:\d{2}(?::\d{2})?\]?\)?\s*", "", y) for y in lines) if x)
+        out, level = [], None
+        html = re.sub(rf"(?is)<em[^>]*>\s*{_STAMP}\s*</em>", "", html or "")
+        # Pieces alternate between what stands outside headings, and (level, heading).
+        pieces = re.split(r"(?is)<h([1-6])(?:\s[^>]*)?>(.*?)</h\1>", html)
+        for i in range(0, len(pieces), 3):
+            if level is None:
+                out += [x for x in _parsed(pieces[i], PAGE_DROPS).text().split("\n") if x]
+            if i + 2 < len(pieces):
+                own, heading = int(pieces[i + 1]), re.sub(rf"^{_STAMP}\s*[–-]\s*", "", _parsed(pieces[i + 2], PAGE_DROPS).text().replace("\n", " ")).strip()
+                if heading.lower() in skipped:
+                    level = own
+                elif level is None or own <= level:
+                    level = None
+                    if heading and heading.lower() not in UNSPOKEN_HEADINGS:
+                        out.append(heading)
+        return "\n\n".join(out)
 
     return posts.select("post_id", "html").mapInArrow(_texts("html", "text", of), "post_id long, text string")
 

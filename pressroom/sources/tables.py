@@ -102,9 +102,9 @@ def _xml(c: Column) -> Column:
 
 
 def feed_items(episodes: DataFrame) -> DataFrame:
-    """(feed_slug, pub_ts, episode_id, item): each episode as an RSS item, its fields in a fixed order."""
+    """(feed_slug, pub_ts, episode_id, item): each episode as an RSS item, its fields in a fixed order; link only where episodes have that column."""
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), _xml(c), F.lit(f"</{name}>"))
-    item = F.concat_ws("", F.lit("<item>"), tag("title", F.coalesce("title", F.col("episode_id").cast("string"))), tag("guid", F.col("episode_id").cast("string")), tag("pubDate", format_rfc822(F.col("pub_ts"))), tag("description", F.coalesce("summary", F.lit(""))), F.lit("</item>"))
+    item = F.concat_ws("", F.lit("<item>"), tag("title", F.coalesce("title", F.col("episode_id").cast("string"))), *([tag("link", F.col("link"))] if "link" in episodes.columns else []), tag("guid", F.col("episode_id").cast("string")), tag("pubDate", format_rfc822(F.col("pub_ts"))), tag("description", F.coalesce("summary", F.lit(""))), F.lit("</item>"))
     return episodes.select("feed_slug", "pub_ts", "episode_id", item.alias("item"))
 
 

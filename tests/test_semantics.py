@@ -270,10 +270,13 @@ def test_extraction(spark):
     frame = spark.createDataFrame([(1, page), (2, None), (3, "<p>bare</p>")], "page_id long, html string")
     assert {r["page_id"]: r["text"] for r in extract.extract_article_text(frame).collect()} == {1: "T\na b\nc link", 2: "", 3: "bare"}
     assert [(r["region"], r["href"], r["label"]) for r in extract.extract_region_links(frame).collect()] == [("nav", "/n", "N"), ("article", "/l", "link")]
-    post = "<h4>Contents</h4><ul></ul><h4>One</h4><p>1:20 first</p><h4>Our Sponsor</h4><p>buy</p><h4>Two</h4><p>second</p>"
+    post = "<h4>Contents</h4><ul></ul><h4>One</h4><p>first</p><h4>Our Sponsor</h4><p>buy</p><h4>Two</h4><p>second</p>"
     sections = extract.split_sections(spark.createDataFrame([(1, post)], "id long, html string"), "id", "html", "<h4>", "Contents").collect()
     assert [r["html"].split("<")[0] for r in sections] == ["One", "Our Sponsor", "Two"]
-    assert extract.posts_to_text(spark.createDataFrame([(1, post)], "post_id long, html string")).first()["text"] == "Contents\nOne\nfirst\nTwo\nsecond"
+    # Only headings of exactly these words are skipped, down to the next heading of their level.
+    talk = "<p>Intro</p><h2>Sponsors</h2><p>buy</p><h3>Deeper</h3><p>more</p><h2>(1:02) – Sponsorship law</h2><p><strong>Ann</strong> <em>00:01:20</em> hello</p><h3>Timestamps</h3><ul><li>0:00 a</li></ul><h2>Transcript</h2><p>Ben  bye</p>"
+    texts = extract.posts_to_text(spark.createDataFrame([(1, post), (2, talk), (3, None)], "post_id long, html string")).collect()
+    assert {r["post_id"]: r["text"] for r in texts} == {1: "Contents\n\nOne\n\nfirst\n\nOur Sponsor\n\nbuy\n\nTwo\n\nsecond", 2: "Intro\n\nSponsorship law\n\nAnn hello\n\nBen bye", 3: ""}
     letter = "<h3>Other</h3><ul><li><a href='/x'>x</a></li></ul><h3>Things</h3><ul><li>Before. A <a href='/1'>deal</a> was made! After.</li></ul>"
     links = extract.extract_section_links(spark.createDataFrame([(1, letter)], "doc_id long, html string"), "Things").collect()
     assert [(r["href"], r["label"], r["context"]) for r in links] == [("/1", "deal", "A deal was made!")]
