@@ -25,6 +25,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -55,13 +58,11 @@ class Templates:
         self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, dtype=np.uint64)
 
 
-def _dice(a: np.ndarray, b: np.ndarray) -> float:
-    return 2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b))
-
-
 def scan(grams: np.ndarray, known: np.ndarray, t: Templates) -> list[tuple[str, float, int, int]]:
     """Best passages of a document's bigrams: (licence, Dice, first word, word after the last).
 
+    Each start takes one pass over as many bigrams as a passage may have, so the work is in proportion to the text.
+
     A passage of n distinct bigrams can reach the threshold d with a template of m only if
     d / (2 - d) * m <= n <= (2 - d) / d * m and d * (m + n) / 2 are common.  So passages
     begin and end at a bigram of the template, have as many bigrams as it at most, or as that bound
@@ -72,32 +73,35 @@ def scan(grams: np.ndarray, known: np.ndarray, t: Templates) -> list[tuple[str,
     if not len(place):
         return found
     held = grams[place]
+    # Where each bigram stood last: one is new to a passage if that is before its start.
+    order = np.argsort(grams, kind="stable")
+    before = np.full(len(grams), -1, dtype=np.int64)
+    same = grams[order[1:]] == grams[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
     for name, own in zip(t.names, t.sets):
         m, d = len(own), t.threshold
         at = place[np.isin(held, own)]
-        least = d / (2 - d) * m
+        least, most = d / (2 - d) * m, int((2 - d) / d * m) + 1
         if len(at) < least:
             continue
-        most = int((2 - d) / d * m) + 1
-        best: tuple[float, int, int] | None = None
+        inside = np.zeros(len(grams), dtype=bool)
+        inside[at] = True
+        enough = np.searchsorted(at, at + most) - np.arange(len(at)) >= least
         i = 0
-        while i < len(at):
-            group = at[(at >= at[i]) & (at < at[i] + most)]
-            for end in range(len(group), 0, -1):
-                if end < least:
-                    break
-                score = _dice(np.unique(grams[group[0] : group[end - 1] + 1]), own)
-                if score >= d and (best is None or score > best[0]):
-                    best = (score, int(group[0]), int(group[end - 1]) + 2)
-                if score == 1:
-                    break
-            # A run that matched is used up; else the next bigram begins a passage.
-            if best is not None and best[1] == at[i]:
-                found.append((name, *best))
-                i = int(np.searchsorted(at, best[2] - 1))
-                best = None
-            else:
-                i += 1
+        for i_start in np.flatnonzero(enough).tolist():
+            if i_start < i:
+                continue
+            s = int(at[i_start])
+            new = before[s : s + most] < s
+            own_here = inside[s : s + most]
+            score = 2 * np.cumsum(new & own_here) / (np.cumsum(new) + m)
+            score[~own_here] = 0
+            # The highest score; of several passages with it the longest.
+            end = len(score) - 1 - int(score[::-1].argmax())
+            if score[end] >= d:
+                # A run that matched is used up; else the next bigram begins a passage.
+                found.append((name, float(score[end]), s, s + end + 2))
+                i = int(np.searchsorted(at, s + end + 1))
     # Where passages overlap, the likelier and then the longer one stays.
     kept: list[tuple[str, float, int, int]] = []
     for x in sorted(found, key=lambda x: (-x[1], x[2] - x[3], x[0])):
