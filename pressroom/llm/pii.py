@@ -23,6 +23,10 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z-])",
 }
 ANY = "|".join(PATTERNS.values())
+# Calling codes of countries, of one, two or three digits.
+CALLING_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Social security numbers: 898 areas (001 to 899 but 666), 99 groups and 9999 serials, none of them zero.
+_AREAS, _SERIALS, _OF_AREA = 898, 9999, 99 * 9999
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -154,6 +158,32 @@ def _ip(m: Column, key: Column) -> Column:
     return _let(F.split(m, r"\."), of)
 
 
+def _ssn(m: Column, key: Column) -> Column:
+    """Numbers whose area, group and serial can be given out, as one number of all of those."""
+    area, group, serial = (F.substring(m, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
+    value = (area - F.when(area > 666, 2).otherwise(1)).cast("long") * _OF_AREA + (group - 1) * _SERIALS + serial - 1
+
+    def write(new: Column) -> Column:
+        place, rest = F.floor(new / _OF_AREA), F.pmod(new, F.lit(_OF_AREA))
+        text = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
+        return F.concat_ws("-", text(place + F.when(place >= 665, 2).otherwise(1), 3), text(F.floor(rest / _SERIALS) + 1, 2), text(F.pmod(rest, F.lit(_SERIALS)) + 1, 4))
+
+    return F.when(valid, _let(permute_number(value, _AREAS, _OF_AREA, key, "ssn"), write))
+
+
+def _phone(m: Column, key: Column) -> Column:
+    """Numbers of 8 to 15 digits with a calling code, or of ten with an area and an exchange from 2 on; signs between digits don't matter, so a number has one pseudonym however it is written."""
+
+    def of(digits: Column) -> Column:
+        code = F.when(F.startswith(m, F.lit("+")), F.regexp_extract(digits, CALLING_CODE, 0)).otherwise("")
+        valid = F.when(F.startswith(m, F.lit("+")), F.length(digits).between(8, 15) & (code != "")).otherwise(digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
+        new = _let(code, lambda c: F.concat(c, permute_text(F.substring(digits, F.length(c) + 1, F.length(digits)), key, "phone")))
+        return F.when(valid, _let(new, lambda x: _refill(m, x)))
+
+    return _let(F.regexp_replace(m, "[^0-9]", ""), of)
+
+
 def _rest(m: Column, head: str, key: Column, label: str) -> Column:
     """What follows head is permuted as text, head stays."""
     start = F.regexp_extract(m, head, 0)
@@ -189,8 +219,8 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
         .when(kind == "date", _date(m, key))
         .when(kind == "ip", _ip(m, key))
         .when(kind == "iban", _iban(m, key))
-        .when(kind == "ssn", permute_text(m, key, "ssn"))
-        .when(kind == "phone", _rest(m, r"^(?:\+[0-9]{1,3}[ .-]?)?", key, "phone"))
+        .when(kind == "ssn", _ssn(m, key))
+        .when(kind == "phone", _phone(m, key))
         .when(kind == "card", _card(m, key))
     )
 
@@ -200,7 +230,7 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     Found are e-mail addresses, secrets, dates, IPv4 addresses, IBANs, social security numbers,
     phone numbers and payment cards.  Numbers and dates are validated: by the calendar, octets up
-    to 255, the Luhn or the IBAN check; what fails is left as it is.  A value is replaced
+    to 255, areas, groups and serials in use, calling codes and numbers of digits, the Luhn or the IBAN check; what fails is left as it is.  A value is replaced
     by a permutation, keyed by key, of the values of its format (Feistel networks of ROUNDS
     rounds over SHA-256): letters stay letters, digits digits, check digits right, signs
     in place.  Equal values have equal pseudonyms in every document, different ones of a

@@ -9,8 +9,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pressroom.llm import licenses
 from pressroom.llm.html_text import extract_text, main_text, select, smooth
 from pressroom.llm.licenses import TEMPLATES, scan_licenses
 from pressroom.llm.mixing import fit_classifier, fit_rates, mix, sample_mix, slots_of
@@ -110,6 +112,63 @@ def test_pseudonyms(spark):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+def test_numbers_are_validated_and_linked(spark):
+    """Each text has one number; the same phone number in other signs has the same digits, and what can't be given out stays."""
+    phones = ["+49 30 1234-5678", "+493012345678", "+49.30.1234.5678", "+1 (212) 555-0199", "(212) 555-0199"]
+    bad = ["000-12-3456", "666-12-3456", "912-12-3456", "123-00-4567", "123-45-0000", "(112) 555-0199", "+49 30 12"]
+    ssns = ["123-45-6789", "899-99-9999", "001-01-0001", "667-01-0001", "665-99-9999"]
+    texts = phones + bad + ssns
+    out = [r["text"] for r in pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    assert len({digits(t) for t in out[:3]}) == 1 and out[0].startswith("+49 ") and digits(out[0]) != digits(phones[0])
+    assert [re.sub("[0-9]", "0", t) for t in out[:5]] == [re.sub("[0-9]", "0", t) for t in phones]
+    assert digits(out[3]) == "1" + digits(out[4]) != digits(phones[3])
+    assert out[5:12] == bad
+    for a, b in zip(ssns, out[12:]):
+        area, group, serial = map(int, b.split("-"))
+        assert a != b and re.fullmatch(r"\d{3}-\d{2}-\d{4}", b) and 0 < area < 900 and area != 666 and group and serial
+    assert len(set(out[12:])) == len(ssns)
+
+
+def test_licence_passages_by_their_definition():
+    """For each start the likeliest and then longest passage, by sets of bigrams."""
+    rng = random.Random(4)
+    templates = [("A", "one two three four five six seven eight"), ("B", "one two three nine ten eleven"), ("C", "a b a b a c")]
+    t = licenses.Templates(templates, 0.7)
+
+    def naive(words):
+        pairs, found = list(zip(words, words[1:])), []
+        for name, text in templates:
+            w = text.split()
+            own = set(zip(w, w[1:]))
+            most, s = int(1.3 / 0.7 * len(own)) + 1, 0
+            while s < len(pairs):
+                best = None
+                for e in range(s, min(s + most, len(pairs))):
+                    if pairs[s] in own and pairs[e] in own:
+                        got = set(pairs[s : e + 1])
+                        dice = 2 * len(got & own) / (len(got) + len(own))
+                        if dice >= 0.7 and (best is None or dice >= best[0]):
+                            best = (dice, e)
+                if best:
+                    found.append((name, best[0], s, best[1] + 2))
+                s = best[1] + 1 if best else s + 1
+        kept = []
+        for x in sorted(found, key=lambda x: (-x[1], x[2] - x[3], x[0])):
+            if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
+                kept.append(x)
+        return sorted(kept, key=lambda x: x[2])
+
+    vocabulary = "one two three four five six seven eight nine ten eleven a b c".split()
+    for _ in range(150):
+        words = []
+        while len(words) < 30:
+            words += rng.choice(templates)[1].split()[rng.randrange(3) :] if rng.random() < 0.5 else [rng.choice(vocabulary)]
+        block = next(b for _, _, b in licenses.blocks(pa.array([" ".join(words)]), licenses.ALNUM, lower=True))
+        grams = licenses.combine(block.hashes(), block.windows(2)[0], 2)
+        assert licenses.scan(grams, np.isin(grams, t.all), t) == naive(words)
+
+
 def test_feistel_networks_are_permutations(spark):
     from pyspark.sql import functions as F
 
