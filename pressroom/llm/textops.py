@@ -16,6 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 _RADIX = 0x9E3779B97F4A7C15
 _SHINGLE = U64(0xD6E8FEB86659FD93)
+_PIECE = 1 << 18
 
 
 def byte_class(separators: bytes) -> np.ndarray:
@@ -88,12 +89,19 @@ class Block:
         return np.diff(self.bounds)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        up, down = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=U64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U64) * U64(_RADIX))
+        """A 64-bit hash of each word; bytes are taken in pieces of about _PIECE, which bounds the tables beside them."""
+        out, i = np.empty(len(self.starts), dtype=U64), 0
+        while i < len(out):
+            base = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, base + _PIECE, side="right")))
+            data = self.data[base : self.ends[j - 1]]
+            first, last = self.starts[i:j] - base, self.ends[i:j] - base
+            up, down = _powers(len(data) + 1)
+            total = np.zeros(len(data) + 1, dtype=U64)
+            np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+            out[i:j] = mix((total[last] - total[first]) * down[first] + (last - first).astype(U64) * U64(_RADIX))
+            i = j
+        return out
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all k-word windows within a document, and bounds by document."""
