@@ -313,16 +313,32 @@ def shadow_candidates(spark: SparkSession, d: str) -> DataFrame:
     return resolve.shadow_candidates(misses, index, "pos")
 
 
-_STORES = f"SELECT 'home' AS store, 1 AS rank, {slug_sql('title')} AS slug, path FROM ar WHERE article_id % 2 = 0 UNION ALL SELECT 'semafor', 2, {slug_sql('title')}, 'semafor/' || article_id FROM ar"
+_STORES = f"""SELECT 'flat' AS store, 0 AS rank, pos || '-' || {slug_sql('title')} AS slug, path, 'numbered' AS match FROM ar WHERE status = 404
+UNION ALL SELECT 'home', 1, {slug_sql('title')}, path, 'slug' FROM ar WHERE article_id % 2 = 0
+UNION ALL SELECT 'posts', 2, published || '-' || {slug_sql('title', 120)}, 'posts/' || article_id, 'part' FROM ar
+UNION ALL SELECT 'semafor', 3, {slug_sql('title')}, 'semafor/' || article_id, 'slug' FROM ar"""
 
 
 def _stores(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.articles(spark, d).select("article_id", X.article_slug(F.col("title")).alias("slug"), "path")
-    home = rows.where("article_id % 2 = 0").select(F.lit("home").alias("store"), F.lit(1).alias("rank"), "slug", "path")
-    return home.unionByName(rows.select(F.lit("semafor").alias("store"), F.lit(2).alias("rank"), "slug", F.concat(F.lit("semafor/"), F.col("article_id").cast("string")).alias("path")))
+    """The articles as four stores: numbered files of what is gone from its address, a home page's files, dated files of whole titles, and files by slug."""
+    rows = B.articles(spark, d).withColumns({"slug": X.article_slug(F.col("title")), "id": F.col("article_id").cast("string")})
+    dated = F.concat_ws("-", F.col("published").cast("string"), X.article_slug(F.col("title"), 120))
+    store = lambda name, rank, slug, path, match: (F.lit(name).alias("store"), F.lit(rank).alias("rank"), slug.alias("slug"), path.alias("path"), F.lit(match).alias("match"))
+    flat = rows.where("status = 404").select(*store("flat", 0, F.concat_ws("-", F.col("pos").cast("string"), "slug"), F.col("path"), "numbered"))
+    home = rows.where("article_id % 2 = 0").select(*store("home", 1, F.col("slug"), F.col("path"), "slug"))
+    posts = rows.select(*store("posts", 2, dated, F.concat(F.lit("posts/"), "id"), "part"))
+    return flat.unionByName(home).unionByName(posts).unionByName(rows.select(*store("semafor", 3, F.col("slug"), F.concat(F.lit("semafor/"), "id"), "slug")))
 
 
-@query(with_sql("dr ar", f"SELECT d.run_id, d.pos, CASE WHEN f.n = 1 THEN f.path END AS path, CASE WHEN f.n = 1 THEN f.store END AS store, coalesce(f.n > 1, false) AS ambiguous FROM dr d LEFT JOIN (SELECT slug, arg_min(n, rank) AS n, arg_min(path, rank) AS path, arg_min(store, rank) AS store FROM (SELECT slug, rank, store, count(DISTINCT path) AS n, min(path) AS path FROM st WHERE slug <> '' GROUP BY ALL) GROUP BY slug) f ON f.slug = {slug_sql('d.headline')}", st=_STORES))
+_CASCADE = f"""SELECT d.run_id, d.pos, CASE WHEN f.n = 1 THEN f.path END AS path, CASE WHEN f.n = 1 THEN f.store END AS store, coalesce(f.n > 1, false) AS ambiguous
+FROM dr d LEFT JOIN (SELECT slug, arg_min(n, rank) AS n, arg_min(path, rank) AS path, arg_min(store, rank) AS store FROM (
+  SELECT slug, rank, store, count(DISTINCT path) AS n, min(path) AS path FROM st WHERE match = 'slug' GROUP BY ALL
+  UNION ALL SELECT regexp_extract(slug, '^\\d+-(.+)$', 1) AS slug, rank, store, 1, min(path) FROM st WHERE match = 'numbered' GROUP BY ALL
+  UNION ALL SELECT q.slug, rank, store, 1, min(path) FROM (SELECT DISTINCT {slug_sql('headline')} AS slug FROM dr) q JOIN st ON match = 'part' AND contains(st.slug, q.slug) GROUP BY ALL HAVING count(DISTINCT path) = 1
+) WHERE slug <> '' GROUP BY slug) f ON f.slug = {slug_sql('d.headline')}"""
+
+
+@query(with_sql("dr ar", _CASCADE, st=_STORES))
 def lookup_cascade(spark: SparkSession, d: str) -> DataFrame:
     return resolve.lookup_cascade(B.directives(spark, d), _stores(spark, d), "pos").select("run_id", "pos", "path", "store", "ambiguous")
 

@@ -125,6 +125,24 @@ def test_resolution_refuses_to_guess(spark):
     assert [(r["shadow_path"], r["shadow_score"]) for r in shadows] == [("a.md", 0.25)]
 
 
+def test_cascade_takes_numbered_names_and_parts_that_one_name_has(spark):
+    stores = [
+        ("flat", 0, "00-ai", "a/00-ai", "numbered"), ("flat", 0, "01-openai", "a/01-openai", "numbered"), ("flat", 0, "7-2024-recap", "a/7", "numbered"), ("flat", 0, "2-ai", "a/2-ai", "numbered"),
+        ("home", 1, "two-files", "h/1", "slug"), ("home", 1, "two-files", "h/2", "slug"), ("home", 1, "on-trade-talks", "h/3", "slug"),
+        ("posts", 2, "2024-01-05-weekly-on-trade-talks-again", "p/1", "part"), ("posts", 2, "2024-01-06-weekly-two-files-found", "p/2", "part"), ("posts", 2, "2024-01-06-weekly-other", "p/3", "part"),
+        ("late", 3, "weekly", "l/1", "slug"), ("late", 3, "", "l/2", "slug"),
+    ]
+    asked = ["AI", "Recap", "2024 recap", "Two files", "On trade talks", "Trade talks again", "files f", "Weekly", "weekly other things", "?", None]
+    rows = resolve.lookup_cascade(spark.createDataFrame(list(enumerate(asked)), "pos int, headline string"), spark.createDataFrame(stores, "store string, rank int, slug string, path string, match string"), "pos")
+    found = {r["headline"]: (r["path"], r["store"], r["ambiguous"]) for r in rows.collect()}
+    missed = (None, None, False)
+    assert len(found) == len(asked)
+    assert found == {
+        "AI": ("a/00-ai", "flat", False), "Recap": missed, "2024 recap": ("a/7", "flat", False), "Two files": (None, None, True), "On trade talks": ("h/3", "home", False),
+        "Trade talks again": ("p/1", "posts", False), "files f": ("p/2", "posts", False), "Weekly": ("l/1", "late", False), "weekly other things": missed, "?": missed, None: missed,
+    }
+
+
 def test_no_cartesian_products(spark, sf_dir):
     from pressroom.plans.queries import QUERIES
 
