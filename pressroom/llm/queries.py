@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op13_bpe
 from .decontaminate import op3_decontaminate
 from .html_text import op10_html_text
 from .licenses import op8_licenses
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
+    "op13_bpe": op13_bpe,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
