@@ -11,6 +11,7 @@ from .near_dedup import op1_near_dedup
 from .oracles import ORACLE_SQL
 from .pii import op5_pii
 from .quality import op2_quality
+from .runs import op12_periodic_runs
 from .substring_dedup import op6_substring_dedup
 from .token_ids import op7_token_ids
 from .warc import op9_warc
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_bpe": op13_bpe,
 }
 
