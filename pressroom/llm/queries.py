@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op11_align
 from .bpe import op13_bpe
 from .decontaminate import op3_decontaminate
 from .html_text import op10_html_text
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
+    "op11_align": op11_align,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_bpe": op13_bpe,
 }
