@@ -870,6 +870,26 @@ def stream_jobs(spark: SparkSession, d: str) -> DataFrame:
     return last.select("job_id", "status", "failure_count", "last_error", B.stamp("process_after").alias("process_after"))
 
 
+_WAKES = with_sql("je", f"SELECT job_id, failures AS failure_count, {ts_sql('due')} AS process_after FROM (SELECT *, ts + to_minutes(CAST(least(15, pow(2, greatest(0, failures - 1))) AS BIGINT)) AS due, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS later FROM ({_RUNS}) WHERE kind <> 'other') WHERE kind = 'fail' AND failures < 51 AND (due < later OR (later IS NULL AND due <= (SELECT max(ts) FROM je WHERE kind <> 'other') - INTERVAL 1 HOUR))")
+
+
+@query(_WAKES)
+def due_wakes(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming.jobs import due_wakes as job
+
+    return job(B.job_events(spark, d)).withColumn("process_after", B.stamp("process_after"))
+
+
+@query(_WAKES)
+def stream_job_wakes(spark: SparkSession, d: str) -> DataFrame:
+    """The waits of jobs that ended, by timers of the stream or by the jobs' next events."""
+    from ..streaming.jobs import stream_job_machine
+    from ..streaming.streams import run_to_table, stream_job_events
+
+    out = run_to_table(stream_job_machine(stream_job_events(spark, d)), "update")
+    return out.where("event = 'wake'").select("job_id", "failure_count", B.stamp("process_after").alias("process_after"))
+
+
 @query(f"SELECT user_id AS run_id, {ts_sql('min(ts)')} AS ts FROM events WHERE event_type = 'error' GROUP BY user_id")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.streams import event_stream, stream_alerts as job

@@ -5,17 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.time import next_retry
+from .jobs import stream_jobs as stream_jobs
 
 EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
-_JOBS = "job_id LONG, status STRING, failure_count LONG, last_error STRING, last_ts TIMESTAMP, last_seq LONG, process_after TIMESTAMP"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started here keep their state in RocksDB, which timers and several state variables need."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,7 +67,9 @@ def _run(stream: DataFrame, folder: str | None, mode: str, shape) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         shape(batch, held().where(F.col("batch") < batch_id).drop("batch")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with rocksdb_state(spark):
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
     return held().drop("batch")
 
 
@@ -113,53 +125,6 @@ def stream_job_events(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("kind is not null")
 
 
-def _later(events: pd.DataFrame, ts, seq: int) -> pd.DataFrame:
-    return events[(events["ts"] > ts) | ((events["ts"] == ts) & (events["seq"] > seq))]
-
-
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A job's state after the events of a batch; those no later than the state are ignored.
-
-    Of a batch only the latest event that is no failure, and the failures after it, are held.
-    """
-    failures, error, kind, last_ts, last_seq = state.get if state.exists else (0, None, "reset", None, -1)
-    failed, other = None, None
-    for events in frames:
-        if last_ts is not None:
-            events = _later(events, pd.Timestamp(last_ts), last_seq)
-        others = events[events["kind"] != "fail"]
-        if len(others):
-            top = others.sort_values(["ts", "seq"]).iloc[-1]
-            if other is None or (top["ts"], top["seq"]) > (other["ts"], other["seq"]):
-                other = top
-        failed = pd.concat([failed, events[events["kind"] == "fail"]]) if failed is not None else events[events["kind"] == "fail"]
-        if other is not None:
-            failed = _later(failed, other["ts"], other["seq"])
-    if failed is None or (other is None and failed.empty):
-        return
-    last = other if failed.empty else failed.sort_values(["ts", "seq"]).iloc[-1]
-    failures = len(failed) + (failures if other is None else 0)
-    kind, error = last["kind"], last["error"][:500] if last["kind"] == "fail" else None
-    state.update((failures, error, kind, last["ts"].to_pydatetime(), int(last["seq"])))
-    yield pd.DataFrame({"job_id": [key[0]], "kind": [kind], "failures": [failures], "last_error": [error], "last_ts": [last["ts"]], "last_seq": [int(last["seq"])]})
-
-
-def stream_jobs(events: DataFrame, limit: int = 51) -> DataFrame:
-    """Each job's state after every batch: pending with back-off, errored at limit failures in a row, or completed."""
-    folded = events.groupBy("job_id").applyInPandasWithState(_fold, "job_id LONG, kind STRING, failures LONG, last_error STRING, last_ts TIMESTAMP, last_seq LONG", "failures INT, error STRING, kind STRING, last_ts TIMESTAMP, last_seq LONG", "update", GroupStateTimeout.NoTimeout)
-    retry = next_retry(F.col("failures"), F.col("last_ts"), limit)
-    failed = F.col("kind") == "fail"
-    return folded.select(
-        "job_id",
-        F.when(failed, retry["status"]).when(F.col("kind") == "complete", "completed").otherwise("pending").alias("status"),
-        F.col("failures").alias("failure_count"),
-        "last_error",
-        "last_ts",
-        "last_seq",
-        F.when(failed, retry["process_after"]).when(F.col("kind") == "reset", F.col("last_ts")).alias("process_after"),
-    )
-
-
 def stream_alerts(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """(run_id, ts): the first alert of each run, as rows of a table; sending them is left to its reader.
 
