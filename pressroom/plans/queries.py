@@ -810,6 +810,26 @@ def split_sections(spark: SparkSession, d: str) -> DataFrame:
     return job(B.pages(spark, d), "page_id", "html", "<p>").withColumn("html", F.md5("html"))
 
 
+@query(ORACLE_SQL["split_sections"])
+def sections_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by the table function, in a LATERAL join."""
+    from ..functions.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    return spark.sql("SELECT p.page_id, s.section, md5(s.html) AS html FROM {pages} p, LATERAL split_sections(p.html, '<p>') s", pages=B.pages(spark, d))
+
+
+@query(ORACLE_SQL["extract_urls"])
+def urls_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses by the table function, over mails of three parts each."""
+    from ..functions.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    own = F.concat(F.lit(". and https://x.example/"), F.col("page_id").cast("string"), F.lit(")"))
+    parts = B.pages(spark, d).select("page_id", F.posexplode(F.array("url", "url", own)).alias("part", "body"))
+    return spark.sql("SELECT page_id, place, url FROM first_urls(TABLE({parts}), 'page_id', 'part', 'body')", parts=parts)
+
+
 @query()
 def article_text(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.extract import extract_article_text
