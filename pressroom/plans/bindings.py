@@ -146,6 +146,40 @@ def mail(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+MAIL_FEEDS = ["levine", "yglesias", "silver", "chinatalk", "other"]
+
+
+def letters(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as newsletters of five feeds, with a source address in one of several places."""
+    key, post = F.col("page_id"), F.concat(F.lit("https://www.slowboring.com/p/n"), F.col("page_id").cast("string"))
+    feed = F.element_at(F.array(*[F.lit(x) for x in MAIL_FEEDS]), (key % 5).cast("int") + 1)
+    subject = F.concat(F.when(key % 2 == 0, "Money stuff: ").when(key % 3 == 0, "Slow boring: ").otherwise(""), F.lit("On "), F.col("url"))
+    body = (
+        F.when(key % 5 == 1, F.when(key % 3 == 0, F.concat(F.lit("see "), F.col("url"), F.lit(" and "), post, F.lit("?utm=1#top).")))
+        .when(key % 3 == 1, F.concat(F.lit("<a href='https://substack.com/redirect/"), key.cast("string"), F.lit("'>read</a>"))).otherwise("none"))
+        .when((key % 5 == 0) & (key % 4 == 0), F.concat(F.lit("x https://bloom.bg/"), key.cast("string"), F.lit(" y")))
+        .otherwise(F.col("html"))
+    )
+    return pages(spark, d).select(
+        key.alias("mail_id"), feed.alias("feed_slug"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (key % 30).cast("int")), "yyyy-MM-dd").alias("date"),
+        subject.alias("subject"), F.when((key % 5 == 1) & (key % 7 == 0), F.concat(F.lit("<"), post, F.lit("-h?x=1>"))).alias("list_post"), body.alias("body"),
+    )
+
+
+def redirects(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of three steps to a post, short links to a letter, and some chains that run in a circle."""
+    key = F.col("page_id").cast("string")
+    hop = lambda n: F.concat(F.lit(f"https://hop.example/{n}/"), key)
+    circle = F.col("page_id") % 11 == 0
+    start = F.concat(F.lit("https://substack.com/redirect/"), key)
+    chain = F.array(
+        F.struct(start.alias("url"), hop(1).alias("target")), F.struct(hop(1).alias("url"), hop(2).alias("target")),
+        F.struct(hop(2).alias("url"), F.when(circle, start).otherwise(F.concat(F.lit("HTTPS://slowboring.com/p/r"), key, F.lit("?s=2"))).alias("target")),
+        F.struct(F.concat(F.lit("https://bloom.bg/"), key).alias("url"), F.concat(F.lit("https://www.bloomberg.com/opinion/newsletters/2024-01-02/l"), key, F.lit("?q")).alias("target")),
+    )
+    return pages(spark, d).select(F.inline(chain))
+
+
 def conversations(spark: SparkSession, d: str) -> DataFrame:
     turn = F.concat(F.initcap("role"), F.lit(": "), "text")
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
@@ -218,6 +252,7 @@ CTES = {
     "rn": f"SELECT run_id, CASE WHEN run_id % 4 = 0 THEN 'fp-digest' WHEN run_id % 4 = 1 THEN 'the-rundown' ELSE 'the-rundown' END AS feed, CASE WHEN run_id % 10 = 9 THEN NULL ELSE run_id % 900 END AS collect_seconds, CASE WHEN run_id % 7 <> 3 THEN len([w for w in string_split_regex(arg_min(body, pos), '\\s+') if w <> '']) END AS script_words, CASE WHEN run_id % 6 <> 0 THEN least(3, count(*)) ELSE 0 END AS covered_headlines FROM ar GROUP BY run_id",
     "qy": "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 20 = 0",
     "ml": f"SELECT page_id, 'News@' || h AS sender, 'News <news+' || lang || '@' || h || '>' AS header_from, CASE WHEN page_id % 3 = 0 THEN 'inbox+' || lang || '@example.com' ELSE 'inbox@example.com' END AS recipient, CASE WHEN page_id % 5 = 0 THEN '<list.' || h || '>' END AS list_id, h, lang FROM (SELECT page_id, {host_sql('url', True)} AS h, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{{2}})/', 1) AS lang FROM pages)",
+    "lt": "SELECT page_id AS mail_id, " + str(MAIL_FEEDS) + "[page_id % 5 + 1] AS feed_slug, strftime(DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER), '%Y-%m-%d') AS date, CASE WHEN page_id % 2 = 0 THEN 'Money stuff: ' WHEN page_id % 3 = 0 THEN 'Slow boring: ' ELSE '' END || 'On ' || url AS subject FROM pages",
     "cv": "SELECT conv_id, string_agg(upper(role[1]) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id",
     "je": "SELECT user_id AS job_id, date_trunc('second', ts) AS ts, event_id AS seq, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'reset' ELSE 'other' END AS kind, 'failure ' || event_id AS error FROM events",
     "jb": "SELECT event_id AS job_id, 'feed-' || (user_id % 5) AS feed_slug, CAST(ts AS DATE) AS job_date, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'errored' ELSE 'completed' END AS status, date_trunc('second', ts) AS process_after FROM events WHERE event_type IN ('signup', 'error', 'purchase')",

@@ -846,11 +846,100 @@ def region_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def paper_text(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.extract import papers_to_text
+    from ..sources.readers import papers_to_text
 
     return papers_to_text(B.pages(spark, d))
 
 
+# ---- mail ---------------------------------------------------------------------------------
+
+_LETTER_SLUG = "trim(regexp_replace(regexp_replace(lower('On ' || url), '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '-')"
+_SOURCES = (
+    "SELECT mail_id, CASE feed_slug WHEN 'levine' THEN CASE WHEN mail_id % 4 = 0 THEN 'https://www.bloomberg.com/opinion/newsletters/2024-01-02/l' || mail_id WHEN mail_id % 2 = 0 THEN 'https://www.bloomberg.com/opinion/newsletters/' || date || '/' || " + _LETTER_SLUG + " END WHEN 'yglesias' THEN CASE WHEN mail_id % 7 = 0 THEN 'https://www.slowboring.com/p/n' || mail_id || '-h' WHEN mail_id % 3 = 0 THEN 'https://www.slowboring.com/p/n' || mail_id WHEN mail_id % 3 = 1 AND mail_id % 11 <> 0 THEN 'https://slowboring.com/p/r' || mail_id END END AS source_url, "
+    "CASE feed_slug WHEN 'levine' THEN CASE WHEN mail_id % 4 = 0 THEN 'redirect' WHEN mail_id % 2 = 0 THEN 'subject' END WHEN 'yglesias' THEN CASE WHEN mail_id % 7 = 0 THEN 'header' WHEN mail_id % 3 = 0 THEN 'link' WHEN mail_id % 3 = 1 AND mail_id % 11 <> 0 THEN 'redirect' END END AS source_from FROM lt JOIN pages ON page_id = mail_id"
+)
+
+
+@query(with_sql("lt", _SOURCES))
+def mail_sources(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import adapters
+
+    return adapters.infer_source_urls(B.letters(spark, d), adapters.url_rules(spark), B.redirects(spark, d))
+
+
+@query("SELECT 'https://substack.com/redirect/' || page_id AS url, CASE WHEN page_id % 11 <> 0 THEN 'HTTPS://slowboring.com/p/r' || page_id || '?s=2' END AS target, CASE WHEN page_id % 11 <> 0 THEN 3 END AS hops FROM pages UNION ALL SELECT 'https://hop.example/1/' || page_id, CASE WHEN page_id % 11 <> 0 THEN 'HTTPS://slowboring.com/p/r' || page_id || '?s=2' END, CASE WHEN page_id % 11 <> 0 THEN 2 END FROM pages UNION ALL SELECT 'https://hop.example/2/' || page_id, CASE WHEN page_id % 11 <> 0 THEN 'HTTPS://slowboring.com/p/r' || page_id || '?s=2' END, CASE WHEN page_id % 11 <> 0 THEN 1 END FROM pages UNION ALL SELECT 'https://bloom.bg/' || page_id, 'https://www.bloomberg.com/opinion/newsletters/2024-01-02/l' || page_id || '?q', 1 FROM pages")
+def redirect_ends(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.adapters import follow_redirects
+
+    return follow_redirects(B.redirects(spark, d), _folder(spark, "redirects"))
+
+
+@query(with_sql("lt", "SELECT mail_id, CASE WHEN feed_slug = 'other' THEN subject WHEN feed_slug = 'levine' THEN date || CASE WHEN mail_id % 2 = 0 THEN ' - Money Stuff - On ' || url ELSE ' - ' || subject END ELSE date || ' - ' || CASE feed_slug WHEN 'yglesias' THEN 'Slow Boring' WHEN 'silver' THEN 'Silver Bulletin' ELSE 'ChinaTalk' END || ' - ' || CASE WHEN feed_slug = 'yglesias' AND mail_id % 2 <> 0 AND mail_id % 3 = 0 THEN 'On ' || url ELSE subject END END AS title, CASE WHEN feed_slug IN ('levine', 'other') THEN 'READ IN APP ' || url ELSE url END AS clean_body FROM lt JOIN pages ON page_id = mail_id"))
+def adapted_mails(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import adapters
+
+    body = F.concat(F.lit("READ IN APP "), F.substring_index("subject", "On ", -1))
+    rows = B.letters(spark, d).select("mail_id", "feed_slug", "date", "subject", F.lit("").alias("subject_slug"), body.alias("body"), F.lit("").alias("plain"))
+    return adapters.adapt_mails(rows, adapters.mail_rules(spark)).select("mail_id", "title", "clean_body")
+
+
+# Each line of a text is a paragraph that ends with a full stop.
+_SAID = f"'Before ' || doc_id || '.' || chr(10) || chr(10) || 'Block quote begins.' || chr(10) || chr(10) || array_to_string([regexp_replace(x || '.', '{B.WS}', ' ', 'g') for x in string_split(coalesce(text, ''), chr(10))], chr(10) || chr(10)) || '[1] Note.' || chr(10) || chr(10) || 'Block quote ends.'"
+
+
+@query(f"SELECT doc_id AS mail_id, md5({_SAID}) AS text FROM documents")
+def mail_speech(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as newsletters: their lines as the paragraphs of a quotation that ends with a footnote; hidden text before it and a farewell after."""
+    from ..sources.readers import mail_to_speech
+    from ..sources.tables import xml_text
+
+    key = F.col("doc_id").cast("string")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), xml_text(x), F.lit(".</p>")))
+    html = F.concat(F.lit("<div style='display: none'>hidden<p>too</p></div><p>Before="), F.lit("\n "), key, F.lit(".</p><blockquote>"), F.array_join(lines, ""), F.lit("<div id='footnote-1'>[1] Note.</div><p>Farewell</p></blockquote><p>Unsubscribe</p>"))
+    rows = B.table(spark, d, "documents").select(F.col("doc_id").alias("mail_id"), html.alias("html"))
+    return mail_to_speech(rows).withColumn("text", F.md5("text"))
+
+
+_NOTED = f"[{squash_sql('x')} for x in string_split(coalesce(text, ''), chr(10)) if {squash_sql('x')} <> '' AND NOT contains(x, '[')]"
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_concat([x || ' Footnote begins. ' || x || ' Footnote ends.' for x in {_NOTED}[1:9]], ['Left [0]']), chr(10))) AS spoken, 1 AS missing FROM documents")
+def inlined_footnotes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose first nine lines have themselves as footnotes, and a pointer without note."""
+    lines = F.slice(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), X.squash_ws), lambda x: (x != "") & ~F.contains(x, F.lit("["))), 1, 9)
+    numbered = lambda f: F.transform("l", lambda x, i: f(x, (i + 1).cast("string")))
+    pointed = numbered(lambda x, n: F.concat(x, F.lit(" ["), n, F.lit("]")))
+    notes = numbered(lambda x, n: F.concat(F.lit("["), n, F.lit("] "), x))
+    rows = B.table(spark, d, "documents").select("doc_id", lines.alias("l")).select("doc_id", F.array_join(F.concat(pointed, F.array(F.lit("Left [0]")), notes), "\n").alias("text"))
+    return scripts.inline_footnotes(rows).select("doc_id", F.md5("spoken").alias("spoken"), F.size("missing_notes").alias("missing"))
+
+
+@query(f"SELECT page_id AS doc_id, 0 AS place, url AS href, 'A > B ' || page_id AS label, 'The A > B ' || page_id || ' came.' AS context FROM pages UNION ALL SELECT page_id, 1, url || '?2', 'two', 'And two!' FROM pages")
+def section_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a list of links before them, whose attributes and lists are nested."""
+    from ..sources.extract import extract_section_links
+
+    html = F.concat(F.lit("<h2>Other</h2><p><a href='/x'>x</a></p><h3 title='a>b'>THINGS <i>happen</i></h3><ul><li>First. The <a title='1 > 0' href='"), "url", F.lit("'>A &gt; <b>B</b> "), F.col("page_id").cast("string"), F.lit("</a> came. Then<ul><li>. And <a href='"), "url", F.lit("?2'>two</a>! <a href='/none'></a></li></ul></li></ul>"), "html")
+    return extract_section_links(B.pages(spark, d).select(F.col("page_id").alias("doc_id"), html.alias("html")), "things happen")
+
+
+@query(f"SELECT page_id, 'Été n°' || page_id || '!' AS subject, 'Ete-n' || page_id AS subject_slug, CASE WHEN page_id % 9 = 0 THEN '9999-12-31' ELSE strftime(DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER), '%Y-%m-%d') END AS date, '<https://x.example/p/' || page_id || '>' AS list_post, md5(html) AS html, md5(CASE WHEN page_id % 4 = 0 THEN url ELSE '' END) AS plain FROM pages")
+def mails_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as mail files, some with a plain part or without a date, read back."""
+    from ..sources.extract import read_emails
+
+    key, line = F.col("page_id").cast("string"), lambda *x: F.concat(*x, F.lit("\n"))
+    date = F.when(F.col("page_id") % 9 == 0, "some day").otherwise(TM.format_rfc822(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 30).cast("int")).cast("timestamp")))
+    part = lambda kind, c: F.concat(F.lit(f"Content-Type: text/{kind}; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode(c, "UTF-8")), F.lit("\n"))
+    subject = F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(F.concat(F.lit("Été n°"), key, F.lit("!")), "UTF-8")), F.lit("?="))
+    body = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("Content-Type: multipart/alternative; boundary=cut\n\n--cut\n"), part("plain", F.col("url")), F.lit("--cut\n"), part("html", F.col("html")), F.lit("--cut--"))).otherwise(part("html", F.col("html")))
+    mail = F.concat(line(F.lit("Subject: "), subject), line(F.lit("Date: "), date), line(F.lit("From: a@x.example")), line(F.lit("List-Post: <https://x.example/p/"), key, F.lit(">")), body)
+    folder = _folder(spark, "mail")
+    B.pages(spark, d).select("page_id", mail.alias("value")).write.mode("overwrite").partitionBy("page_id").text(folder)
+    rows = read_emails(spark, f"{folder}/*/part-*")
+    return rows.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "subject", "subject_slug", "date", "list_post", F.md5("html").alias("html"), F.md5("plain").alias("plain"))
+
+
 # ---- streams ------------------------------------------------------------------------------
 
 _WINDOWS = "SELECT event_type AS theme, strftime(w, '%Y-%m-%d') AS start, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts) - INTERVAL 2 DAY, date_trunc('day', ts) - INTERVAL 1 DAY, date_trunc('day', ts)]) AS w FROM events) WHERE w + INTERVAL 3 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
@@ -19,7 +20,6 @@ from ..functions.text import subject_slug
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th title tr ul".split())
 PAGE_DROPS = frozenset("script style nav header footer noscript".split())
-PAPER_DROPS = frozenset("script style nav header footer noscript math img svg".split())
 
 
 class _Text(HTMLParser):
@@ -29,6 +29,7 @@ class _Text(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.drops, self.prefer, self.drop_class, self.hidden = drops, prefer, re.compile(drop_class) if drop_class else None, hidden
         self.stack: list[tuple[str, bool, bool]] = []
+        self.open: Counter[str] = Counter()
         self.lines: dict[bool, list[list[str]]] = {False: [[]], True: [[]]}
         self.links: list[tuple[str, str, str]] = []
         self.href: str | None = None
@@ -55,16 +56,18 @@ class _Text(HTMLParser):
         names = f"{a.get('class') or ''} {a.get('id') or ''}"
         dropped = dropped or tag in self.drops or bool(self.drop_class and self.drop_class.search(names)) or (self.hidden and bool(re.search(r"display:\s*none|visibility:\s*hidden", a.get("style") or "")))
         self.stack.append((tag, dropped, inside or tag == self.prefer))
+        self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
         if tag == "a":
             self.close_link()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        if self.open[tag]:
+            last = None
+            while last != tag:
+                last = self.stack.pop()[0]
+                self.open[last] -= 1
 
     def handle_data(self, data: str) -> None:
         if self.href is not None:
@@ -110,12 +113,6 @@ def extract_article_text(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(_texts("html", "text", lambda x: _parsed(x, PAGE_DROPS, "article").text()), "page_id long, text string")
 
 
-def papers_to_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text): papers less bibliography, notes, formulas and images."""
-    rows = pages.select("page_id", "html")
-    return rows.mapInArrow(_texts("html", "text", lambda x: _parsed(x, PAPER_DROPS, "article", r"(?:^|[\s_-])(?:bib|bibliography|references|footnote|footnotes|notes|equation)(?:$|[\s_-])").text()), "page_id long, text string")
-
-
 # Headings whose sections aren't read, and those that are not text themselves.
 SKIPPED_SECTIONS, UNSPOKEN_HEADINGS = ("sponsor", "sponsors", "timestamps"), ("transcript",)
 _STAMP = r"\(?\d{1,2}:\d{2}(?::\d{2})?\)?"
@@ -168,21 +165,12 @@ def extract_region_links(pages: DataFrame) -> DataFrame:
 
 
 def extract_section_links(docs: DataFrame, heading: str) -> DataFrame:
-    """(doc_id, place, href, label, context) of (doc_id, html): links of the list after a heading, each with the sentence around it."""
-
-    def of(html: str) -> list[tuple[int, str, str, str]]:
-        m = re.search(rf"(?is)<h[1-6][^>]*>\s*{re.escape(heading)}\s*</h[1-6]>(.*?)(?=<h[1-6][^>]*>|\Z)", html)
-        out = []
-        for item in re.findall(r"(?is)<(?:li|p)[^>]*>(.*?)(?=</(?:li|p)>|<(?:li|p)[ >]|\Z)", m[1]) if m else []:
-            text = _parsed(item, PAGE_DROPS).text().replace("\n", " ")
-            for _, href, label in _parsed(item, PAGE_DROPS).links:
-                sentence = next((s for s in re.split(r"(?<=[.!?])\s+", text) if label in s), text)
-                out.append((len(out), href, label, sentence))
-        return out
+    """(doc_id, place, href, label, context) of (doc_id, html): links of what follows a heading, as readers.SectionLinks finds them."""
+    from .readers import SectionLinks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, *x) for d, html in zip(batch.column("doc_id").to_pylist(), batch.column("html").to_pylist()) for x in of(html or "")]
+            rows = [(d, *x) for d, html in zip(batch.column("doc_id").to_pylist(), batch.column("html").to_pylist()) for x in SectionLinks(heading).read(html).rows()]
             cols = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "place", "href", "label", "context"])
@@ -202,25 +190,34 @@ def extract_urls(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.array_distinct(urls)).alias("place", "url")).withColumn("place", F.col("place") + 1)
 
 
+def _decoded(part) -> str:
+    """A part's text; an unknown character set is read as UTF-8, and what can't be read is replaced."""
+    payload = part.get_payload(decode=True) or b""
+    try:
+        return payload.decode(part.get_content_charset() or "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
 def read_emails(spark: SparkSession, path: str) -> DataFrame:
-    """Mail files: path, subject, subject_slug, date (9999-12-31 where there is none), sender, list_post and the first HTML part."""
+    """Mail files: path, subject, subject_slug, date (9999-12-31 where there is none), sender, list_post, the first HTML part and the first plain one."""
 
-    def of(raw: bytes) -> tuple[str, str, str, str, str]:
+    def of(raw: bytes) -> tuple[str, str, str, str, str, str]:
         m = email.message_from_bytes(raw, policy=email.policy.default)
         try:
             date = parsedate_to_datetime(str(m["Date"])).strftime("%Y-%m-%d")
         except (TypeError, ValueError):
             date = "9999-12-31"
-        html = next((p.get_payload(decode=True).decode(p.get_content_charset() or "utf-8", "replace") for p in m.walk() if p.get_content_type() == "text/html"), "")
-        return str(m["Subject"] or ""), date, str(m["From"] or ""), str(m["List-Post"] or ""), html
+        first = lambda kind: next((_decoded(p) for p in m.walk() if p.get_content_type() == kind), "")
+        return str(m["Subject"] or ""), date, str(m["From"] or ""), str(m["List-Post"] or ""), first("text/html"), first("text/plain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = list(zip(*[of(x) for x in batch.column("content").to_pylist()])) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array(c, pa.string()) for c in cols]], names=["path", "subject", "date", "sender", "list_post", "html"])
+            cols = list(zip(*[of(x) for x in batch.column("content").to_pylist()])) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array(c, pa.string()) for c in cols]], names=["path", "subject", "date", "sender", "list_post", "html", "plain"])
 
     rows = spark.read.format("binaryFile").load(path).select("path", "content")
-    return rows.mapInArrow(run, "path string, subject string, date string, sender string, list_post string, html string").withColumn("subject_slug", subject_slug(F.col("subject")))
+    return rows.mapInArrow(run, "path string, subject string, date string, sender string, list_post string, html string, plain string").withColumn("subject_slug", subject_slug(F.col("subject")))
 
 
 def infer_source_url(mails: DataFrame, redirects: DataFrame, post_pattern: str = r"https?://[^\s<>\"']+/p/[a-z0-9-]+") -> DataFrame:

@@ -95,7 +95,8 @@ def append_articles(new: DataFrame, path: str, key: list[str], order: list[Colum
     new_articles(new, store, key, order).write.mode("append").parquet(path)
 
 
-def _xml(c: Column) -> Column:
+def xml_text(c: Column) -> Column:
+    """A text as XML or HTML writes it."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
@@ -103,7 +104,7 @@ def _xml(c: Column) -> Column:
 
 def feed_items(episodes: DataFrame) -> DataFrame:
     """(feed_slug, pub_ts, episode_id, item): each episode as an RSS item, its fields in a fixed order; link only where episodes have that column."""
-    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), _xml(c), F.lit(f"</{name}>"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), xml_text(c), F.lit(f"</{name}>"))
     item = F.concat_ws("", F.lit("<item>"), tag("title", F.coalesce("title", F.col("episode_id").cast("string"))), *([tag("link", F.col("link"))] if "link" in episodes.columns else []), tag("guid", F.col("episode_id").cast("string")), tag("pubDate", format_rfc822(F.col("pub_ts"))), tag("description", F.coalesce("summary", F.lit(""))), F.lit("</item>"))
     return episodes.select("feed_slug", "pub_ts", "episode_id", item.alias("item"))
 
@@ -116,7 +117,7 @@ def write_feeds(episodes: DataFrame, path: str) -> None:
     rows = feed_items(episodes)
     every = rows.withColumn("feed_slug", F.lit("all")).unionByName(rows.where("feed_slug <> 'general'"))
     heads = every.select("feed_slug").distinct()
-    head = heads.select("feed_slug", F.lit(0).alias("part"), F.lit(None).cast("timestamp").alias("pub_ts"), F.lit(None).cast("long").alias("episode_id"), F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>'), _xml(F.col("feed_slug")), F.lit("</title>")).alias("value"))
+    head = heads.select("feed_slug", F.lit(0).alias("part"), F.lit(None).cast("timestamp").alias("pub_ts"), F.lit(None).cast("long").alias("episode_id"), F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>'), xml_text(F.col("feed_slug")), F.lit("</title>")).alias("value"))
     tail = heads.select("feed_slug", F.lit(2).alias("part"), F.lit(None).cast("timestamp").alias("pub_ts"), F.lit(None).cast("long").alias("episode_id"), F.lit("</channel></rss>").alias("value"))
     body = every.select("feed_slug", F.lit(1).alias("part"), "pub_ts", "episode_id", F.col("item").alias("value"))
     lines = head.unionByName(body).unionByName(tail).repartitionByRange("feed_slug", "part", F.desc("pub_ts"), "episode_id").sortWithinPartitions("feed_slug", "part", F.desc("pub_ts"), "episode_id")
