@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -21,6 +22,37 @@ def union_sources(**tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
 
 
+def sync_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], folder: str, corrupt: str = "_corrupt_record") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of all sources with their name in source_label, the failures, and the rows that couldn't be read; a source that fails takes none of the others with it.
+
+    Each source is a function that gives its table, and is read into a table of its own in folder: what fails when it is opened or halfway
+    through gives one row (source_label, error, message of 500 characters) of failures and none of the result.  A row whose column
+    named by corrupt holds text goes to (source_label, record) instead.  Missing columns are null, and columns that one source has with another type are as text.
+    """
+    tables, failed, spoilt = {}, [], []
+    for name, source in sources.items():
+        try:
+            rows = source()
+            if corrupt in rows.columns:
+                # Spark doesn't read that column alone, so the rows are written whole first.
+                rows.write.mode("overwrite").parquet(f"{folder}/{name}/read")
+                whole = spark.read.schema(rows.schema).parquet(f"{folder}/{name}/read")
+                spoilt.append(whole.where(F.col(corrupt).isNotNull()).select(F.lit(name).alias("source_label"), F.col(corrupt).alias("record")))
+                rows = whole.where(F.col(corrupt).isNull()).drop(corrupt)
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/rows")
+            tables[name] = spark.read.schema(rows.schema).parquet(f"{folder}/{name}/rows")
+        except Exception as e:  # noqa: BLE001 - whatever a source fails by is told, not raised
+            failed.append((name, type(e).__name__, str(e)[:500]))
+    kinds: dict[str, set[str]] = {}
+    for df in tables.values():
+        for c, kind in df.dtypes:
+            kinds.setdefault(c, set()).add(kind)
+    alike = {name: df.select(*[F.col(f"`{c}`").cast("string").alias(c) if len(kinds[c]) > 1 else F.col(f"`{c}`") for c in df.columns]) for name, df in tables.items()}
+    rows = union_sources(**alike) if alike else spark.createDataFrame([], "source_label string")
+    records = reduce(DataFrame.unionByName, spoilt) if spoilt else spark.createDataFrame([], "source_label string, record string")
+    return rows, spark.createDataFrame(failed, "source_label string, error string, message string"), records
+
+
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order; with more rows than keys, partial minima go before the shuffle.
 

@@ -771,6 +771,113 @@ def feed_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return read_feed(spark, f"{folder}/feed_slug={FEED}").select(F.col("guid").cast("long").alias("guid"), "title", B.stamp("published").alias("published"), "content")
 
 
+@query(with_sql("ep", f"SELECT feed, episode_id AS guid, 'Episode ' || episode_id AS title, {ts_sql('pub_ts')} AS published, 'https://pod.example.com/e?id=' || episode_id || '&x=<1>' AS content, CASE WHEN episode_id % 5000 >= 3600 THEN '01:' ELSE '' END || lpad(CAST(episode_id % 5000 % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(episode_id % 5000 % 60 AS VARCHAR), 2, '0') AS duration FROM (SELECT *, unnest(['all', feed_slug]) AS feed FROM ep) WHERE feed IN ('all', '{FEED}')"))
+def feed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes as one document of all and one for each feed, and the entries of two documents read back."""
+    from ..sources.feeds import write_feed_documents
+
+    folder, key = _folder(spark, "documents"), F.col("episode_id").cast("string")
+    url = F.concat(F.lit("https://pod.example.com/e?id="), key, F.lit("&x=<1>"))
+    rows = B.episodes(spark, d).select("feed_slug", "episode_id", "pub_ts", "preset_name", "summary", F.concat(F.lit("Episode "), key).alias("title"), F.lit("News").alias("category"), url.alias("source_url"), F.lit("").alias("notes_html"), F.concat(F.lit("e/"), key).alias("file_key"), F.lit(1).alias("size_bytes"), (F.col("episode_id") % 5000).alias("duration_seconds"))
+    write_feed_documents(rows, folder)
+    schema = "title STRING, link STRING, guid STRUCT<_VALUE: STRING>, pubDate STRING, description STRING, `itunes:duration` STRING"
+    items = spark.read.format("xml").option("rowTag", "item").schema(schema).load([f"{folder}/all.xml", f"{folder}/{FEED}.xml"])
+    feed = F.regexp_extract(F.col("_metadata.file_name"), "^(.*)[.]xml$", 1)
+    return items.select(feed.alias("feed"), F.col("guid._VALUE").cast("long").alias("guid"), "title", F.date_format(TM.parse_rfc822(F.col("pubDate")), "yyyy-MM-dd HH:mm:ss").alias("published"), F.col("description").alias("content"), F.col("`itunes:duration`").alias("duration"))
+
+
+@query("SELECT 'events' AS source_label, CAST(event_id AS VARCHAR) AS id, NULL AS url FROM events UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), url FROM pages WHERE page_id % 10 <> 3 UNION ALL SELECT label, label, NULL FROM (VALUES ('failed: missing'), ('failed: halfway')) f(label) UNION ALL SELECT 'spoilt: pages', CAST(page_id AS VARCHAR), NULL FROM pages WHERE page_id % 10 = 3")
+def synced_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Four sources, of which one is missing, one fails halfway and one has spoilt rows."""
+    folder, key = _folder(spark, "sources"), F.col("page_id").cast("string")
+    good = F.to_json(F.struct(key.alias("id"), "url"))
+    B.pages(spark, d).select(F.when(F.col("page_id") % 10 == 3, F.concat(F.lit('{"id": '), key, F.lit(', "url'))).otherwise(good).alias("value")).write.mode("overwrite").text(f"{folder}/raw")
+    sources = {
+        "missing": lambda: spark.read.parquet(f"{folder}/nowhere"),
+        "pages": lambda: spark.read.schema("id STRING, url STRING, _corrupt_record STRING").json(f"{folder}/raw"),
+        "halfway": lambda: B.table(spark, d, "events").select(F.when(F.col("event_id") < 40, F.col("event_id")).otherwise(F.raise_error(F.lit("the source broke off"))).alias("id")),
+        "events": lambda: B.table(spark, d, "events").select(F.col("event_id").alias("id")),
+    }
+    rows, failures, spoilt = ingest.sync_sources(spark, sources, folder)
+    failed = failures.select(F.concat(F.lit("failed: "), "source_label").alias("source_label"))
+    told = failed.select("source_label", F.col("source_label").alias("id"), F.lit(None).cast("string").alias("url"))
+    records = spoilt.select(F.concat(F.lit("spoilt: "), "source_label").alias("source_label"), F.regexp_extract("record", r"(\d+)", 1).alias("id"), F.lit(None).cast("string").alias("url"))
+    return rows.select("source_label", "id", "url").unionByName(told).unionByName(records)
+
+
+# Run artefacts: plan.json, covered.json and tiers.json of each run, of which some are spoilt or of another shape.
+_ARTEFACTS = "SELECT run_id AS job_id, 'plan' AS kind, 'Theme 2|Theme 0|Theme 2|Theme 9' AS said FROM ar WHERE run_id % 5 <> 0 GROUP BY run_id UNION ALL SELECT run_id, 'covered', arg_min(md5(title), pos) FROM ar WHERE run_id % 3 <> 0 GROUP BY run_id UNION ALL SELECT run_id, 'tiers', 'live:' || max(len(body)) FROM ar GROUP BY run_id"
+
+
+@query(with_sql("ar", _ARTEFACTS))
+def run_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Runs written as folders of JSON files, and read back."""
+    from ..sources.tables import read_run_artifacts
+
+    folder = _folder(spark, "runs")
+    of_run = B.articles(spark, d).groupBy("run_id").agg(F.min_by("title", "pos").alias("title"), F.max(F.length("body")).alias("chars"))
+    run = F.col("run_id")
+    plan = F.when(run % 10 == 5, "not json").when(run % 5 == 0, F.lit('["an array"]')).otherwise(F.lit('{"themes": ["Theme 2", "Theme 0", "Theme 2", "Theme 9"], "more": 1}'))
+    covered = F.when(run % 3 == 0, F.lit('{"an": "object"}')).otherwise(F.to_json(F.array("title")))
+    tiers = F.concat(F.lit('{"a.md": {"tier": "live", "url": null, "extracted_chars": '), F.coalesce("chars", F.lit(0)).cast("string"), F.lit("}}"))
+    kinds = {"plan": plan, "covered": covered, "tiers": tiers}
+    for kind, value in kinds.items():
+        of_run.select(run.alias("job"), value.alias("value")).write.mode("overwrite").partitionBy("job").text(f"{folder}/{kind}")
+    found = {kind: read_run_artifacts(spark, f"{folder}/{kind}", file=f"{kind}.json")[kind] for kind in kinds}
+    said = {"plan": F.array_join("value.themes", "|"), "covered": F.md5(F.col("value")[0]), "tiers": F.concat_ws(":", F.element_at(F.map_values("value"), 1)["tier"], F.element_at(F.map_values("value"), 1)["extracted_chars"].cast("string"))}
+    rows = [found[kind].select(F.regexp_extract("job_id", r"(\d+)$", 1).cast("long").alias("job_id"), F.lit(kind).alias("kind"), c.alias("said")) for kind, c in said.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(with_sql("ar", "SELECT run_id AS job_id, CASE WHEN run_id % 4 = 0 THEN 'the-rundown' ELSE 'fp-digest' END AS feed, count(*) AS candidates, count(*) FILTER (pos < 3) AS routed, max(len(body)) AS script_words FROM ar GROUP BY run_id"))
+def run_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of runs appended in two writings, of which the older has no feed, and read back."""
+    from ..sources.tables import append_run_stats, read_run_stats
+
+    folder = _folder(spark, "statistics")
+    of_run = B.articles(spark, d).groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("pos") < 3).alias("routed"), F.max(F.length("body")).alias("script_words"))
+    rows = of_run.select(F.col("run_id").cast("string").alias("job_id"), F.create_map(F.lit("all"), "n").alias("candidates"), F.create_map(F.lit("fp"), "routed").alias("routed_away"), "script_words", "run_id")
+    append_run_stats(rows.where("run_id % 4 = 0").drop("run_id"), folder)
+    append_run_stats(rows.where("run_id % 4 <> 0").drop("run_id").withColumn("feed", F.lit("fp-digest")), folder)
+    return read_run_stats(spark, folder).select(F.col("job_id").cast("long").alias("job_id"), "feed", F.col("candidates")["all"].alias("candidates"), F.col("routed_away")["fp"].alias("routed"), "script_words")
+
+
+@query(with_sql("ar", f"SELECT article_id, CASE WHEN article_id % 3 <> 0 THEN {strip_sql('url')} END AS url, url AS anywhere, nullif({strip_sql(chr(39) + chr(39) + ' || source')}, '') AS source FROM ar"))
+def header_values(spark: SparkSession, d: str) -> DataFrame:
+    """Header lines of articles: among the first eight lines, and anywhere."""
+    from ..functions.text import header_value
+
+    late = F.when(F.col("article_id") % 3 == 0, "a\nb\nc\nd\ne\nf\ng\n").otherwise("")
+    url = F.when(F.col("url").isNotNull(), F.concat(F.lit("URL: "), "url", F.lit(" \n"))).otherwise("")
+    text = F.concat(F.lit("# Title\nSource:  "), "source", F.lit("\n"), late, url, F.lit("none"))
+    return B.articles(spark, d).select("article_id", header_value(text, "URL").alias("url"), header_value(text, "URL", None).alias("anywhere"), header_value(text, "Source").alias("source"))
+
+
+@query(f"SELECT doc_id AS post_id, md5(array_to_string(list_concat(['Talk ' || doc_id], [x for x in [{squash_sql('y')} for y in string_split(coalesce(text, ''), chr(10))] if x <> ''], ['End']), chr(10) || chr(10))) AS text FROM documents")
+def post_text(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as posts: their lines as paragraphs, with time stamps, sponsors and a list of times in between."""
+    from ..sources.extract import posts_to_text
+    from ..sources.tables import xml_text
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p><em>(1:02:03)</em>"), xml_text(x), F.lit("</p>")))
+    html = F.concat(F.lit("<h2>0:00 – Talk "), F.col("doc_id").cast("string"), F.lit("</h2><h3>Sponsors</h3><p>buy</p><h4>more</h4><p>buy</p><h3>Transcript</h3>"), F.array_join(lines, ""), F.lit("<h2>Timestamps</h2><ul><li>0:00 a</li></ul><h2>End</h2>"))
+    return posts_to_text(B.table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), html.alias("html"))).withColumn("text", F.md5("text"))
+
+
+@query(f"SELECT user_id AS key, false AS undated, {ts_sql('min(ts)')} AS ts, NULL AS n FROM events WHERE event_id % 7 <> 0 GROUP BY user_id UNION ALL SELECT user_id, true, NULL, count(*) FROM events WHERE event_id % 7 = 0 GROUP BY user_id")
+def stream_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of articles by user: the first of each user in the store, and undated ones in a table of their own."""
+    from ..streaming.streams import event_stream, stream_articles as job
+
+    folder = _folder(spark, "stream")
+    dated = F.when(F.col("event_id") % 7 != 0, F.col("ts"))
+    job(event_stream(spark, d).select("event_id", F.col("user_id").alias("key"), dated.alias("published")), f"{folder}/store", ["key"], [F.col("published"), F.col("event_id")], undated=f"{folder}/undated", folder=f"{folder}/work")
+    schema = "event_id long, key long, published timestamp"
+    store = spark.read.schema(schema).parquet(f"{folder}/store").select("key", F.lit(False).alias("undated"), B.stamp("published").alias("ts"), F.lit(None).cast("long").alias("n"))
+    late = spark.read.schema(schema).parquet(f"{folder}/undated").groupBy("key").agg(F.count("*").alias("n"))
+    return store.unionByName(late.select("key", F.lit(True).alias("undated"), F.lit(None).cast("string").alias("ts"), "n"))
+
+
 @query(with_sql("ar", "SELECT CAST(published AS VARCHAR) AS date, count(*) AS n, count(url) AS urls FROM ar GROUP BY published"))
 def link_store(spark: SparkSession, d: str) -> DataFrame:
     """Links by date, of which some dates are written a second time."""

@@ -54,10 +54,13 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "a.*").where("title <> '' and url is not null")
 
 
-def read_run_artifacts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Each kind of artefact of all runs below root at once: (job_id, value); unreadable or misshapen files give no row."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
-    rows = rows.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("job_id"), F.col("_metadata.file_name").alias("file"), F.ltrim("value").alias("value"))
+def read_run_artifacts(spark: SparkSession, root: str, file: str | None = None) -> dict[str, DataFrame]:
+    """Each kind of artefact of all runs below root at once: (job_id, value); unreadable or misshapen files give no row.
+
+    The folder of a file is its job.  With file, all files below root are taken to be of that name, as a writer of Spark leaves them.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*" if file else "*.json").text(root, wholetext=True)
+    rows = rows.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("job_id"), (F.lit(file) if file else F.col("_metadata.file_name")).alias("file"), F.ltrim("value").alias("value"))
     out = {}
     for name, schema in ARTIFACTS.items():
         first = "[" if schema.startswith("ARRAY") else "{"

@@ -381,3 +381,20 @@ def test_markdown_by_lines(spark):
 
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.strip_markdown(F.col("t")).alias("t")).collect()
     assert {r["i"]: r["t"] for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_a_failing_source_takes_no_other_with_it(spark, tmp_path):
+    good = spark.createDataFrame([(1, "a"), (2, None)], "id long, url string")
+    odd = spark.createDataFrame([("x", 5)], "id string, n int")
+    late = spark.range(10).select(F.when(F.col("id") < 9, F.col("id")).otherwise(F.raise_error(F.lit("broke off"))).alias("id"))
+
+    def absent():
+        raise OSError("no such source")
+
+    rows, failures, spoilt = ingest.sync_sources(spark, {"good": lambda: good, "late": lambda: late, "odd": lambda: odd, "absent": absent, "none": lambda: good.limit(0)}, f"file://{tmp_path}")
+    assert sorted(map(tuple, rows.select("source_label", "id", "url", "n").collect()), key=str) == [("good", "1", "a", None), ("good", "2", None, None), ("odd", "x", None, 5)]
+    assert sorted(r["source_label"] for r in failures.collect()) == ["absent", "late"] and spoilt.count() == 0
+    told = {r["source_label"]: (r["error"], r["message"]) for r in failures.collect()}
+    assert told["absent"] == ("OSError", "no such source") and "broke off" in told["late"][1]
+    rows, failures, spoilt = ingest.sync_sources(spark, {"absent": absent}, f"file://{tmp_path}/b")
+    assert (rows.count(), failures.count(), spoilt.count()) == (0, 1, 0)
