@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -229,6 +230,27 @@ def test_article_elements_are_a_prior_only():
     assert main_text(teaser) == main_text(inside) == "\n".join(body)
 
 
+def test_ratios_decide_where_names_do_not():
+    """The same elements and names, told apart by their text alone; tables, short lists and honest text under a likely name stay in an article."""
+    story = "".join(f"<div><p>{'A sentence of the story goes on. ' * 6}{i}</p></div>" for i in range(5))
+    links = "<div>" + "".join(f"<p><a href='/{i}'>Go</a> <b>to</b> <a href='/x'>it</a></p>" for i in range(6)) + "</div>"
+    expected = "\n".join(f"{'A sentence of the story goes on. ' * 6}{i}" for i in range(5))
+    for page in (links + story + links, f"<div>{links}</div><div>{story}</div>", f"<table><tr><td>{links}</td><td>{story}</td></tr></table>"):
+        assert main_text(page) == expected
+    table = "<section><table><tr><td>a<td>1<tr><td>b<td>2</table></section><ul><li>x<li>y</ul>"
+    honest = "<div class='social search'><p>" + "Honest paragraph here, too. " * 5 + "</p></div>"
+    share = "<div class='share'><a href='/t'>Tweet</a> <a href='/p'>Post</a></div>"
+    page = f"<article>{story}{table}{honest}{share}<div class='ad'>Buy this now and save a lot of money.</div></article><section class='comments'><article class='comment'><p>{'I say so too. ' * 30}</p></article></section><footer>{'long footer text ' * 40}</footer>"
+    assert main_text(page) == f"{expected}\na\n1\nb\n2\nx\ny\n{('Honest paragraph here, too. ' * 5).strip()}"
+    assert main_text("<p>same</p>" * 4) == "same\nsame\nsame\nsame"
+
+
+def test_bad_nesting_is_read_in_linear_time():
+    begun = time.process_time()
+    assert main_text("<div>" * 20_000 + "</b>" * 20_000 + "end") == "end"
+    assert time.process_time() - begun < 5
+
+
 def mixing_tables(spark):
     rng = random.Random(2)
     words = {"clean": "river stone cloud meadow lantern harbour".split(), "toxic": "idiot scum moron stone river cloud".split(), "junk": "aaa bbb ccc ddd eee fff".split()}
