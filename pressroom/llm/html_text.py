@@ -38,7 +38,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SIGMA = 1.0
 #: Evidence in favour of a region. What the text-to-tag ratios say is at most RATIO either way, and alone decides where nothing
 #: else speaks; standing in an article or main element, or beside one, links as half of the text in one, a likely name (half of it in one), and a margin element or a plain name add to it.
-RATIO, INSIDE, BESIDE, LINKED, LIKELY, NAMED = 1.6, 1.5, -0.7, -0.8, -1.6, -3.2
+RATIO, INSIDE, BESIDE, LINKED, LIKELY, NAMED = 1.6, 1.5, -0.7, -1.2, -1.6, -3.2
 
 
 @dataclass
