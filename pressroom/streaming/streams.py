@@ -9,9 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .jobs import stream_jobs as stream_jobs
+from .ledger import KeyLedger, taken_once
 
 EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -50,43 +50,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _run(stream: DataFrame, folder: str | None, mode: str, shape) -> DataFrame:
-    """Run a stream over what there is; each batch goes, by shape(batch, rows of earlier batches), to its own part of folder/out, and all of that is returned.
+def _run(stream: DataFrame, folder: str | None, mode: str, write_batch) -> DataFrame:
+    """Run a stream over what there is; write_batch(batch, id, path, folder) writes each batch to its own part of folder/out, and all of that is returned.
 
     A batch that is run again overwrites its part.  With a folder given, the next run goes on where this one ended.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark)
 
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
-
-    def held() -> DataFrame:
-        out = f"{folder}/out"
-        return spark.read.schema(schema).parquet(out) if _exists(spark, out) else spark.createDataFrame([], schema)
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        shape(batch, held().where(F.col("batch") < batch_id).drop("batch")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        write_batch(batch, batch_id, f"{folder}/out/batch={batch_id}", folder)
 
     with rocksdb_state(spark):
         query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return held().drop("batch")
+    out = f"{folder}/out"
+    return spark.read.schema(stream.schema).parquet(out) if _exists(spark, out) else spark.createDataFrame([], stream.schema)
 
 
 def run_to_table(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
     """Run a stream over what there is, into Parquet, and read that; a folder lets a later run go on from its checkpoint."""
-    return _run(stream, folder, mode, lambda batch, _: batch)
+    return _run(stream, folder, mode, lambda batch, _, path, __: batch.write.mode("overwrite").parquet(path))
 
 
 def stream_ingest(stream: DataFrame, event_key: str, ledger: DataFrame, delay: str = "7 days", folder: str | None = None) -> DataFrame:
     """Take in an at-least-once stream of messages (key, ts) once each, and return all that was taken in so far.
 
-    Repeats within delay are dropped by the stream's state, later ones by an anti-join with what earlier batches took
-    in, and keys of the ledger by another.  A batch that is run again overwrites its own part, and with a
+    Repeats within delay are dropped by the stream's state, later ones by a ledger of what earlier batches took in, of which a batch reads
+    only the parts that may hold its own (KeyLedger), and keys of the ledger given by an anti-join.  A batch that is run again overwrites its own part, and with a
     folder given a later run goes on where this one ended, so nothing is doubled.
     """
     once = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([event_key])
-    return _run(once, folder, "append", lambda batch, taken: batch.join(ledger, "key", "left_anti").join(taken.select(event_key), event_key, "left_anti"))
+
+    def write(batch: DataFrame, batch_id: int, path: str, folder: str) -> None:
+        taken_once(KeyLedger(batch.sparkSession, f"{folder}/ledger"), batch.join(ledger, "key", "left_anti").select(*batch.columns), event_key, batch_id, path)
+
+    return _run(once, folder, "append", write)
 
 
 def stream_articles(stream: DataFrame, store: str, key: list[str], order: list, date: str = "published", undated: str | None = None, folder: str | None = None) -> None:
@@ -128,6 +127,11 @@ def stream_job_events(spark: SparkSession, d: str) -> DataFrame:
 def stream_alerts(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """(run_id, ts): the first alert of each run, as rows of a table; sending them is left to its reader.
 
-    Runs that earlier batches alerted are told by the table itself, so the stream keeps no state.
+    Runs that earlier batches alerted are told by a ledger that is read in part, so the stream keeps no state.
     """
-    return _run(stream.select("run_id", "ts"), folder, "append", lambda batch, sent: batch.groupBy("run_id").agg(F.min("ts").alias("ts")).join(sent.select("run_id"), "run_id", "left_anti"))
+
+    def write(batch: DataFrame, batch_id: int, path: str, folder: str) -> None:
+        first = batch.groupBy("run_id").agg(F.min("ts").alias("ts"))
+        taken_once(KeyLedger(batch.sparkSession, f"{folder}/ledger"), first, "run_id", batch_id, path)
+
+    return _run(stream.select("run_id", "ts"), folder, "append", write)
