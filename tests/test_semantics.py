@@ -398,3 +398,20 @@ def test_a_failing_source_takes_no_other_with_it(spark, tmp_path):
     assert told["absent"] == ("OSError", "no such source") and "broke off" in told["late"][1]
     rows, failures, spoilt = ingest.sync_sources(spark, {"absent": absent}, f"file://{tmp_path}/b")
     assert (rows.count(), failures.count(), spoilt.count()) == (0, 1, 0)
+
+
+def test_parts_of_names_against_every_pair(spark):
+    import random
+
+    r = random.Random(6)
+    word = lambda most: "".join(r.choice("ab-") for _ in range(r.randrange(1, most)))
+    names = [(s, k, word(30), f"p{r.randrange(90)}") for s, k in (("x", 1), ("y", 2)) for _ in range(60)]
+    slugs = sorted({word(n) for n in (3, 5, 7, 12) for _ in range(60)})
+    want = set()
+    for slug in slugs:
+        for s, k in (("x", 1), ("y", 2)):
+            paths = {p for t, _, n, p in names if t == s and slug in n}
+            if len(paths) == 1:
+                want.add((slug, s, k, paths.pop()))
+    found = resolve._within_names(spark.createDataFrame([(s,) for s in slugs], "slug string"), spark.createDataFrame(names, "store string, rank int, slug string, path string"))
+    assert {tuple(x) for x in found.select("slug", "store", "rank", "path").collect()} == want and found.count() == len(want)
