@@ -55,7 +55,7 @@ def episodes_as_of(spark: SparkSession, d: str) -> Column:
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("doc_id")
-    title = F.substring(squash_ws(F.split("text", "\n", 2)[0]), 1, 120)
+    title = squash_ws(F.split("text", "\n", 2)[0])
     rows = table(spark, d, "documents").withColumn("title", title)
     return rows.select(
         key.alias("article_id"), "title", F.col("text").alias("body"),
@@ -229,7 +229,7 @@ def space_tokens_sql(x: str, least: int = 1) -> str:
     return f"[w for w in string_split_regex(lower({x}), '{WS}') if length(w) >= {least}]"
 
 
-_TITLE = f"substr({squash_sql('split_part(text, chr(10), 1)')}, 1, 120)"
+_TITLE = squash_sql("split_part(text, chr(10), 1)")
 _CAT = "['" + "', '".join(CATEGORIES) + "']"
 _OUT = "['" + "', '".join(OUTCOMES) + "']"
 
