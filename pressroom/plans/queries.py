@@ -937,21 +937,28 @@ def urls_in_sql(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT page_id, place, url FROM first_urls(TABLE({parts}), 'page_id', 'part', 'body')", parts=parts)
 
 
-@query()
+# The pages of these tables have one article of headings and paragraphs each, and links in their menus only.
+_ARTICLE = "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
+_UNESCAPED = "replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_LINES = f"[{squash_sql(_UNESCAPED.format(x='x'))} for x in string_split(regexp_replace(regexp_replace(regexp_replace({_ARTICLE}, '{B.WS}', ' ', 'g'), '</?(?:h1|p|br)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'), chr(10))]"
+_PIECES = f"[{strip_sql(_UNESCAPED.format(x='x'))} for x in string_split(regexp_replace({_ARTICLE}, '<[^>]+>', chr(1), 'g'), chr(1))]"
+
+
+@query(f"SELECT page_id, array_to_string([x for x in {_LINES} if x <> ''], chr(10)) AS text FROM pages")
 def article_text(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.extract import extract_article_text
 
     return extract_article_text(B.pages(spark, d))
 
 
-@query()
+@query("SELECT page_id, CAST(i - 1 AS INTEGER) AS place, 'nav' AS region, regexp_extract(l[i], 'href=\"([^\"]*)\"', 1) AS href, regexp_extract(l[i], '>([^<]*)<', 1) AS label FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*>[^<]*</a>') AS l FROM pages))")
 def region_links(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.extract import extract_region_links
 
     return extract_region_links(B.pages(spark, d))
 
 
-@query()
+@query(f"SELECT page_id, regexp_replace(regexp_replace(array_to_string([x for x in {_PIECES} if x <> ''], chr(10) || chr(10)), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM pages")
 def paper_text(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.readers import papers_to_text
 
