@@ -73,7 +73,16 @@ b AS (SELECT page_id, html, CAST(CAST(from_hex(sha1(html)) AS BIT) AS VARCHAR) A
 SELECT page_id, octet_length(encode(html)) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BITS}, 1) for i in range(0, 32)], '') AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM b JOIN g USING (html)
 """
 
+# The pages of the tables have one article of headings and paragraphs each, and nothing beside it that is to be kept.
+HTML_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '[\s\p{Z}]+', ' ', 'g') AS x FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(x, '</?(?:h1|p)>', chr(10), 'g'), '<br>', ' ', 'g'), '<[^>]+>', '', 'g'), chr(10)) AS l FROM a),
+t AS (SELECT page_id, url, array_to_string([y for y in [trim(regexp_replace(replace(replace(replace(replace(z, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), ' +', ' ', 'g')) for z in l] if y <> ''], chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
 ORACLE_SQL = {
+    "op10_html_text": HTML_TEXT,
     "op1_near_dedup": NEAR_DEDUP,
     "op2_quality": QUALITY,
     "op3_decontaminate": DECONTAMINATE,
