@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import ALNUM, U64, Block, blocks
+from .textops import ALNUM, U64, Block, blocks, mix
 
 #: Bytes of item text that one broadcast index covers; packed, it takes some 3.5 times as many. More items are joined in further blocks.
 INDEX_BYTES = 16 << 20
 #: Words are counted by the first bits of their hashes.
 COUNT_BITS = 20
+_STEP = U64(0x9E3779B97F4A7C15)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -28,8 +29,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 class Index:
     """Items as packed words, and their windows by the rarest word of each (the prefix that an exact match must hold).
 
-    Successive windows of an item with the same rarest word are one entry: that word, the first and the last
-    window's words before it, and the windows' length.
+    Equal windows of an item are one, so that a repeated word is as many entries as it has different windows.  Successive windows with the same
+    rarest word are one entry: that word, the first and the last window's words before it, and the windows' length.
     """
 
     text: bytes  # all words, one space after each
@@ -70,6 +71,14 @@ def build_index(ids: np.ndarray, texts: pa.Array, counts: np.ndarray, window: in
         inside = np.flatnonzero(j < length)
         rarer = inside[rarity[first[inside] + j] < rarity[at[inside]]]
         at[rarer] = first[rarer] + j
+    # Windows of the same words, by their hashes, are one window of an item: their first stands for all.
+    alike = np.zeros(len(first), dtype=U64)
+    for j in range(window):
+        inside = j < length
+        alike[inside] = mix(alike[inside] * _STEP + h[first[inside] + j])
+    order = np.lexsort((alike, item))
+    once = np.sort(order[np.concatenate(([True], (alike[order[1:]] != alike[order[:-1]]) | (item[order[1:]] != item[order[:-1]])))]) if len(order) else order
+    item, first, length, at = item[once], first[once], length[once], at[once]
     start = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (item[1:] != item[:-1])))) if len(at) else np.zeros(0, dtype=np.int64)
     end = np.append(start[1:], len(at)) - 1
     order = np.argsort(h[at[start]], kind="stable")

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -291,3 +292,20 @@ def test_registered_queries_at_small_scale(spark, sf_dir):
     rows = QUERIES["op1_near_dedup"](spark, sf_dir).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == brute_components(docs)
     assert QUERIES["op1_near_dedup"](spark, sf_dir).where(F.col("kept")).count() == len(set(brute_components(docs).values()))
+
+
+def test_repeated_words_meet_once():
+    """An item of one word many times has one window, and a text of that word takes time in proportion to its length."""
+    import pyarrow as pa
+
+    from pressroom.llm.decontaminate import COUNT_BITS, _find, build_index
+    from pressroom.llm.textops import ALNUM, blocks
+
+    counts = np.ones(1 << COUNT_BITS, dtype=np.int64)
+    index = build_index(np.array([1, 2]), pa.array(["same " * 5000, "up down " * 40 + "up up " + "up down " * 40]), counts, 10)
+    assert len(index.at) < 40
+    begun = time.process_time()
+    ((_, _, block),) = blocks(pa.array(["same " * 5000 + "gap " + "down up " * 5 + "other"]), ALNUM, lower=True)
+    hits = _find(block, block.hashes(), index)
+    assert time.process_time() - begun < 5
+    assert {x for d, a, b, item in hits if item == 1 for x in (a, b)} == {*range(4991), *range(10, 5001)} and {(a, b) for _, a, b, item in hits if item == 2} == {(5001, 5011)}
