@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import article_slug, squash_ws, strip
 from ..functions.time import format_rfc822
+from ..storage import exists
 
 _ARTICLES = "ARRAY<STRUCT<title: STRING, url: STRING, theme: STRING>>"
 #: Statistics of a run, in the order of the file; maps hold counts by name.
@@ -88,13 +89,11 @@ def append_articles(new: DataFrame, path: str, key: list[str], order: list[Colum
     from ..operators.ingest import first_of, new_articles
 
     spark = new.sparkSession
-    try:
-        store = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    if not exists(spark, path):
         first_of(new, key, order).write.mode("append").parquet(path)
         return
+    # A store may hold a folder and no rows yet.
+    store = spark.read.schema(new.schema).parquet(path)
     new_articles(new, store, key, order).write.mode("append").parquet(path)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists, is_folder, shared_base
 from .jobs import stream_jobs as stream_jobs
 from .ledger import KeyLedger, taken_once
 
@@ -29,27 +29,16 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints and sinks of streams: in spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    """A new folder for checkpoints and sinks of streams, where all machines share them."""
+    return f"{shared_base(spark)}/streams-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream of files, its time as an event time."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events*.parquet")
+    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if is_folder(spark, f"{d}/events.parquet") else f"{d}/events*.parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def _run(stream: DataFrame, folder: str | None, mode: str, write_batch) -> DataFrame:
     """Run a stream over what there is; write_batch(batch, id, path, folder) writes each batch to its own part of folder/out, and all of that is returned.
 
@@ -65,7 +54,7 @@ def _run(stream: DataFrame, folder: str | None, mode: str, write_batch) -> DataF
         query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     out = f"{folder}/out"
-    return spark.read.schema(stream.schema).parquet(out) if _exists(spark, out) else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out) if exists(spark, out) else spark.createDataFrame([], stream.schema)
 
 
 def run_to_table(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
