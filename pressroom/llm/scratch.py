@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a new temporary one only where that is unset, as in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+from ..storage import shared_base
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/pressroom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/pressroom/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
