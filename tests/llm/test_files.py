@@ -198,5 +198,5 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {"pipeline"} | {n for n in names if re.match(r"op\d+_", n)} == {"pipeline", "op1_near_dedup", "op2_quality", "op3_decontaminate", "op4_mixing", "op5_pii", "op6_substring_dedup", "op7_token_ids", "op8_licenses", "op9_warc", "op10_html_text"}
+    assert {"pipeline"} | {n for n in names if re.match(r"op\d+_", n)} == {"pipeline", "op1_near_dedup", "op2_quality", "op3_decontaminate", "op4_mixing", "op5_pii", "op6_substring_dedup", "op7_token_ids", "op8_licenses", "op9_warc", "op10_html_text", "op11_align", "op12_periodic_runs", "op13_bpe"}
     assert set(entry.oracle_sql()) <= names
