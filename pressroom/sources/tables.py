@@ -127,9 +127,12 @@ def write_feeds(episodes: DataFrame, path: str) -> None:
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """RSS entries: title, url, guid, published and content; those without one of title, link, date or content are left out, a missing guid is the link."""
+    """RSS entries: title, url, guid, published and content; those without one of title, link, date or content are left out, a missing guid is the link.
+
+    Files are read item by item, in splits: one that write_feeds leaves holds a stretch of a document, and need not be a document of its own.
+    """
     schema = "title STRING, link STRING, guid STRING, pubDate STRING, description STRING, `content:encoded` STRING"
-    rows = spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", "false").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", "item").option("multiLine", "false").option("ignoreNamespace", "false").schema(schema).load(path)
     from ..functions.time import parse_rfc822
 
     content = F.coalesce("content:encoded", "description")

@@ -131,3 +131,14 @@ def test_table_functions(spark):
     for wrong in ("SELECT * FROM split_sections('a', '')", "SELECT s.* FROM table_function_rows, LATERAL split_sections(html, k) s", "SELECT * FROM first_urls(TABLE(table_function_mails), 'mail', 'nothing', 'body')"):
         with pytest.raises(Exception, match="must|no column"):
             spark.sql(wrong).collect()
+
+
+def test_feed_files_that_hold_a_stretch_of_a_document(spark, tmp_path):
+    from pressroom.sources.tables import read_feed
+
+    item = "<item><title>{0}</title><link>l{0}</link><guid>{0}</guid><pubDate>Mon, 01 Jan 2024 00:00:00 +0000</pubDate><description>d &amp; e</description></item>\n"
+    (tmp_path / "part-0.txt").write_text("<rss><channel><title>x</title>\n" + "".join(item.format(i) for i in range(50)))
+    (tmp_path / "part-1.txt").write_text("".join(item.format(i) for i in range(50, 100)))
+    (tmp_path / "part-2.txt").write_text("".join(item.format(i) for i in range(100, 150)) + "</channel></rss>\n")
+    rows = read_feed(spark, str(tmp_path)).collect()
+    assert sorted(int(r.guid) for r in rows) == list(range(150)) and {r.content for r in rows} == {"d & e"}
