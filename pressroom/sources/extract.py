@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,6 +23,14 @@ BLOCK = frozenset("address article aside blockquote body br dd div dl dt figcapt
 PAGE_DROPS = frozenset("script style nav header footer noscript".split())
 
 
+_REFERENCE = re.compile(r"&(?:(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)?")
+
+
+def ended_references(html: str | None) -> str:
+    """html whose parser will read only references that end with a semicolon, as those of XML do; HTML also reads &amp, &lt and others without it."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or f"{m[1]};" in html5) else "&amp;" + m[0][1:], html or "")
+
+
 class _Text(HTMLParser):
     """Lines of text outside dropped elements; with a preferred element in the page, of that alone."""
 
@@ -107,10 +116,13 @@ def _texts(column: str, name: str, of: Callable[[str | None], str]):
     return run
 
 
-def extract_article_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text): a page's article element, else its body, less scripts, styles, navigation, header and footer; one line for each block."""
+def extract_article_text(pages: DataFrame, ended: bool = False) -> DataFrame:
+    """(page_id, text): a page's article element, else its body, less scripts, styles, navigation, header and footer; one line for each block.
+
+    With ended, character references without a semicolon are left as they are.
+    """
     rows = pages.select("page_id", "html")
-    return rows.mapInArrow(_texts("html", "text", lambda x: _parsed(x, PAGE_DROPS, "article").text()), "page_id long, text string")
+    return rows.mapInArrow(_texts("html", "text", lambda x: _parsed(ended_references(x) if ended else x, PAGE_DROPS, "article").text()), "page_id long, text string")
 
 
 # Headings whose sections aren't read, and those that are not text themselves.
