@@ -142,3 +142,15 @@ def test_feed_files_that_hold_a_stretch_of_a_document(spark, tmp_path):
     (tmp_path / "part-2.txt").write_text("".join(item.format(i) for i in range(100, 150)) + "</channel></rss>\n")
     rows = read_feed(spark, str(tmp_path)).collect()
     assert sorted(int(r.guid) for r in rows) == list(range(150)) and {r.content for r in rows} == {"d & e"}
+
+
+def test_references_without_a_semicolon(spark):
+    from pressroom.sources.extract import ended_references, extract_article_text
+
+    page = "<article><h1>a&amp</h1><p>b &lt;&amp;amp &quot &#65; &#65 &ampx; <a href='?a&copy=1'>c</a> &</p></article>"
+    frame = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    text = lambda df: [r["text"] for r in df.orderBy("page_id").collect()]
+    assert text(extract_article_text(frame)) == ["a&\nb <&amp \" A A &x; c &", ""]
+    assert text(extract_article_text(frame, ended=True)) == ["a&amp\nb <&amp &quot A &#65 &ampx; c &", ""]
+    assert text(papers_to_text(frame, ended=True))[0].split("\n\n")[:2] == ["a&amp", "b <&amp &quot A &#65 &ampx;"]
+    assert ended_references("x &nosuch; &eacute; &#xE9; &&amp;") == "x &amp;nosuch; &eacute; &#xE9; &amp;&amp;"
