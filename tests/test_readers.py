@@ -154,3 +154,20 @@ def test_references_without_a_semicolon(spark):
     assert text(extract_article_text(frame, ended=True)) == ["a&amp\nb <&amp &quot A &#65 &ampx; c &", ""]
     assert text(papers_to_text(frame, ended=True))[0].split("\n\n")[:2] == ["a&amp", "b <&amp &quot A &#65 &ampx;"]
     assert ended_references("x &nosuch; &eacute; &#xE9; &&amp;") == "x &amp;nosuch; &eacute; &#xE9; &amp;&amp;"
+
+
+def test_files_by_tasks(spark, tmp_path):
+    from pressroom.sources.extract import read_emails
+    from pressroom.sources.files import write_files
+    from pressroom.sources.tables import read_run_artifacts
+
+    rows = [("1/plan.json", '{"themes": ["é"]}'), ("2/plan.json", "not json"), ("2/covered.json", '["a"]'), ("3/covered.json", None)]
+    assert write_files(spark.createDataFrame(rows, "path string, content string").repartition(3), f"file://{tmp_path}/runs") == 3
+    assert write_files(spark.createDataFrame(rows[:1], "path string, content string"), f"{tmp_path}/runs") == 1
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["runs/1/plan.json", "runs/2/covered.json", "runs/2/plan.json"]
+    found = read_run_artifacts(spark, f"{tmp_path}/runs")
+    assert [(r.job_id, r.value.themes) for r in found["plan"].collect()] == [("1", ["é"])] and [(r.job_id, r.value) for r in found["covered"].collect()] == [("2", ["a"])]
+    mails = spark.createDataFrame([(f"{i // 2}/{i}.eml", f"Subject: s{i}\n\n\n".encode()) for i in range(5)], "path string, content binary")
+    assert write_files(mails, f"{tmp_path}/mail") == 5
+    assert sorted(r.subject for r in read_emails(spark, f"{tmp_path}/mail").collect()) == [f"s{i}" for i in range(5)]
+    assert write_files(mails.limit(0), f"{tmp_path}/none") == 0
