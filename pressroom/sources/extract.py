@@ -212,7 +212,7 @@ def _decoded(part) -> str:
 
 
 def read_emails(spark: SparkSession, path: str) -> DataFrame:
-    """Mail files: path, subject, subject_slug, date (9999-12-31 where there is none), sender, list_post, the first HTML part and the first plain one."""
+    """Mail files at path or below it: path, subject, subject_slug, date (9999-12-31 where there is none), sender, list_post, the first HTML part and the first plain one."""
 
     def of(raw: bytes) -> tuple[str, str, str, str, str, str]:
         m = email.message_from_bytes(raw, policy=email.policy.default)
@@ -228,7 +228,7 @@ def read_emails(spark: SparkSession, path: str) -> DataFrame:
             cols = list(zip(*[of(x) for x in batch.column("content").to_pylist()])) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array(c, pa.string()) for c in cols]], names=["path", "subject", "date", "sender", "list_post", "html", "plain"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return rows.mapInArrow(run, "path string, subject string, date string, sender string, list_post string, html string, plain string").withColumn("subject_slug", subject_slug(F.col("subject")))
 
 
