@@ -11,7 +11,9 @@ from email.utils import parsedate_to_datetime
 from html.entities import html5
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,9 +108,20 @@ def _parsed(html: str | None, *args, **more) -> _Text:
     return p
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut after about target bytes of a column, so what a task makes of a batch doesn't grow with its rows; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + target, side="right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _texts(column: str, name: str, of: Callable[[str | None], str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column):
             out = pa.array([of(x) for x in batch.column(column).to_pylist()], pa.string())
             rest = [c for c in batch.schema.names if c != column]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], out], names=[*rest, name])
@@ -167,7 +180,7 @@ def extract_region_links(pages: DataFrame) -> DataFrame:
     """(page_id, place, region, href, label): links of a page by the region that they stand in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
             rows = [(p, i, *link) for p, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()) for i, link in enumerate(_parsed(html, PAGE_DROPS).links)]
             cols = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
@@ -181,7 +194,7 @@ def extract_section_links(docs: DataFrame, heading: str) -> DataFrame:
     from .readers import SectionLinks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
             rows = [(d, *x) for d, html in zip(batch.column("doc_id").to_pylist(), batch.column("html").to_pylist()) for x in SectionLinks(heading).read(html).rows()]
             cols = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
@@ -224,7 +237,7 @@ def read_emails(spark: SparkSession, path: str) -> DataFrame:
         return str(m["Subject"] or ""), date, str(m["From"] or ""), str(m["List-Post"] or ""), first("text/html"), first("text/plain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "content"):
             cols = list(zip(*[of(x) for x in batch.column("content").to_pylist()])) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array(c, pa.string()) for c in cols]], names=["path", "subject", "date", "sender", "list_post", "html", "plain"])
 

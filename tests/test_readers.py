@@ -171,3 +171,17 @@ def test_files_by_tasks(spark, tmp_path):
     assert write_files(mails, f"{tmp_path}/mail") == 5
     assert sorted(r.subject for r in read_emails(spark, f"{tmp_path}/mail").collect()) == [f"s{i}" for i in range(5)]
     assert write_files(mails.limit(0), f"{tmp_path}/none") == 0
+
+
+def test_texts_are_made_a_slice_at_a_time():
+    import pyarrow as pa
+
+    from pressroom.sources import extract, readers
+
+    html = [None, "", "<p>" + "long " * 300_000 + "</p>", *[f"<p>{i} – " + "x " * 500 + "</p>" for i in range(3000)], None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(html)), pa.int64()), pa.array(html, pa.string())], names=["page_id", "html"])
+    for run in (extract._texts("html", "text", lambda x: x or ""), readers._texts(PaperText, "page_id")):
+        out = list(run(iter([batch.slice(1, 2), batch, batch.slice(0, 0)])))
+        assert len(out) > 4 and max(b.num_rows for b in out) < 1500
+        assert [x for b in out for x in b.column("page_id").to_pylist()] == [1, 2, *range(len(html))]
+    assert [x for b in extract._texts("html", "text", lambda x: x or "")(iter([batch])) for x in b.column("text").to_pylist()] == [x or "" for x in html]
