@@ -88,6 +88,7 @@ def follow_redirects(redirects: DataFrame, folder: str) -> DataFrame:
     Each round doubles the steps that every open chain has taken, so the rounds are few for long chains; ends leave the work
     as they are found, and what is open when no chain can be longer runs in a circle.  An address with several targets follows the smallest;
     rows without url or target are left out.  Rounds are tables in folder.
+    Files of addresses are many times smaller than their rows, so tables are merged rather than broadcast by the size of their files.
     """
     spark = redirects.sparkSession
     schema = "url string, target string, hops long"
@@ -97,15 +98,15 @@ def follow_redirects(redirects: DataFrame, folder: str) -> DataFrame:
         return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
     links = kept(redirects.where("url is not null and target is not null").groupBy("url").agg(F.min("target").alias("target")).withColumn("hops", F.lit(1).cast("long")), "links")
-    n, known = links.count(), links.select(F.col("url").alias("target"))
+    n, known = links.count(), links.select(F.col("url").alias("target")).hint("merge")
     done = [kept(links.join(known, "target", "left_anti").select("url", "target", "hops"), "ends-0")]
     open_, k = kept(links.join(known, "target", "left_semi").select("url", "target", "hops"), "open-0"), 0
     # Open chains have taken 2**k steps each.
     while open_.limit(1).count() and 1 << k <= n:
         k += 1
         # The target of an open chain has ended in some round before, or is open itself.
-        ended = _union(done).select(F.col("url").alias("target"), F.col("target").alias("_end"), F.col("hops").alias("_more"))
-        ahead = open_.select(F.col("url").alias("target"), F.col("target").alias("_next"), F.col("hops").alias("_further"))
+        ended = _union(done).select(F.col("url").alias("target"), F.col("target").alias("_end"), F.col("hops").alias("_more")).hint("merge")
+        ahead = open_.select(F.col("url").alias("target"), F.col("target").alias("_next"), F.col("hops").alias("_further")).hint("merge")
         met = open_.join(ended, "target", "left").join(ahead, "target", "left")
         done.append(kept(met.where("_end is not null").select("url", F.col("_end").alias("target"), (F.col("hops") + F.col("_more")).alias("hops")), f"ends-{k}"))
         open_ = kept(met.where("_end is null").select("url", F.col("_next").alias("target"), (F.col("hops") + F.col("_further")).alias("hops")), f"open-{k}")
@@ -137,15 +138,15 @@ def infer_source_urls(mails: DataFrame, rules: DataFrame, redirects: DataFrame,
     from ..streaming.streams import shared_folder
 
     spark = mails.sparkSession
-    links = extract_urls(mails.select("mail_id", F.col("body").alias("text")), "mail_id").join(mails.select("mail_id", "feed_slug"), "mail_id")
+    links = extract_urls(mails.select("mail_id", F.col("body").alias("text")), "mail_id").join(mails.select("mail_id", "feed_slug").hint("merge"), "mail_id")
     asked = lambda step: rules.where(F.col("step") == step)
     led = follow_redirects(redirects, folder or f"{shared_folder(spark)}/redirects-{uuid.uuid4().hex}")
     found = F.col("found")
     header = mails.join(asked("header"), "feed_slug").withColumn("found", F.expr("regexp_extract(list_post, pattern, 0)")).withColumn("place", F.lit(0))
     direct = links.join(asked("link"), "feed_slug").withColumn("found", F.expr("regexp_extract(url, concat('^(?:', pattern, ')'), 0)"))
-    redirect = links.join(asked("redirect"), "feed_slug").where("url rlike concat('^(?:', pattern, ')')").join(led.select("url", "target"), "url").withColumn("found", F.expr("regexp_extract(target, concat('^(?:', accept, ')'), 0)"))
+    redirect = links.join(asked("redirect"), "feed_slug").where("url rlike concat('^(?:', pattern, ')')").join(led.select("url", "target").hint("merge"), "url").withColumn("found", F.expr("regexp_extract(target, concat('^(?:', accept, ')'), 0)"))
     slug = url_slug(strip(F.expr("regexp_extract(subject, pattern, 1)")))
     subject = mails.join(asked("subject"), "feed_slug").withColumn("slug", slug).withColumn("found", F.when(F.col("slug") != "", F.replace(F.replace("accept", F.lit("{date}"), F.coalesce("date", F.lit("9999-12-31"))), F.lit("{slug}"), F.col("slug")))).withColumn("place", F.lit(0))
     some = _union([t.where(found != "").select("mail_id", "rank", "place", canonical_form(found).alias("source_url"), "step") for t in (header, direct, redirect, subject)])
     best = some.groupBy("mail_id").agg(F.min_by(F.struct("source_url", "step"), F.struct("rank", "place", "source_url")).alias("b"))
-    return mails.select("mail_id").join(best, "mail_id", "left").select("mail_id", "b.source_url", F.col("b.step").alias("source_from"))
+    return mails.select("mail_id").join(best.hint("merge"), "mail_id", "left").select("mail_id", "b.source_url", F.col("b.step").alias("source_from"))
