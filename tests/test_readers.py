@@ -185,3 +185,14 @@ def test_texts_are_made_a_slice_at_a_time():
         assert len(out) > 4 and max(b.num_rows for b in out) < 1500
         assert [x for b in out for x in b.column("page_id").to_pylist()] == [1, 2, *range(len(html))]
     assert [x for b in extract._texts("html", "text", lambda x: x or "")(iter([batch])) for x in b.column("text").to_pylist()] == [x or "" for x in html]
+
+
+def test_redirects_and_mails_are_not_broadcast(spark, tmp_path):
+    rules = adapters.url_rules(spark)
+    redirects = spark.range(40).selectExpr("concat('https://bloom.bg/', id) as url", "concat('https://bloom.bg/', id + 1) as target")
+    ends = adapters.follow_redirects(redirects, f"{tmp_path}/ends")
+    assert {(r.url.rpartition("/")[2], r.target.rpartition("/")[2], r.hops) for r in ends.collect()} == {(str(i), "40", 40 - i) for i in range(40)}
+    mails = spark.createDataFrame([(1, "levine", "2024-01-01", "Money Stuff: A b", None, "x https://bloom.bg/1 y")], "mail_id long, feed_slug string, date string, subject string, list_post string, body string").localCheckpoint()
+    plan = adapters.infer_source_urls(mails, rules, redirects, f"{tmp_path}/mails")._jdf.queryExecution().executedPlan().toString()
+    # Rules are few, and are all that may go to every task.
+    assert not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "[feed_slug" not in x]
