@@ -104,11 +104,16 @@ def xml_text(c: Column) -> Column:
     return c
 
 
+def one_line(c: Column) -> Column:
+    """A piece of XML in one line; the ends of lines within its texts are written as references."""
+    return F.replace(F.replace(c, F.lit("\r"), F.lit("&#13;")), F.lit("\n"), F.lit("&#10;"))
+
+
 def feed_items(episodes: DataFrame) -> DataFrame:
     """(feed_slug, pub_ts, episode_id, item): each episode as an RSS item, its fields in a fixed order; link only where episodes have that column."""
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), xml_text(c), F.lit(f"</{name}>"))
     item = F.concat_ws("", F.lit("<item>"), tag("title", F.coalesce("title", F.col("episode_id").cast("string"))), *([tag("link", F.col("link"))] if "link" in episodes.columns else []), tag("guid", F.col("episode_id").cast("string")), tag("pubDate", format_rfc822(F.col("pub_ts"))), tag("description", F.coalesce("summary", F.lit(""))), F.lit("</item>"))
-    return episodes.select("feed_slug", "pub_ts", "episode_id", item.alias("item"))
+    return episodes.select("feed_slug", "pub_ts", "episode_id", one_line(item).alias("item"))
 
 
 def write_feeds(episodes: DataFrame, path: str) -> None:
@@ -126,13 +131,13 @@ def write_feeds(episodes: DataFrame, path: str) -> None:
     lines.select("feed_slug", "value").write.mode("overwrite").partitionBy("feed_slug").text(path)
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """RSS entries: title, url, guid, published and content; those without one of title, link, date or content are left out, a missing guid is the link.
 
-    Files are read item by item, in splits: one that write_feeds leaves holds a stretch of a document, and need not be a document of its own.
+    With lines, each item is a line, as write_feeds leaves them: files are then read in splits, and need not be documents of their own.
     """
     schema = "title STRING, link STRING, guid STRING, pubDate STRING, description STRING, `content:encoded` STRING"
-    rows = spark.read.format("xml").option("rowTag", "item").option("multiLine", "false").option("ignoreNamespace", "false").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", "item").option("multiLine", str(not lines).lower()).option("ignoreNamespace", "false").schema(schema).load(path)
     from ..functions.time import parse_rfc822
 
     content = F.coalesce("content:encoded", "description")

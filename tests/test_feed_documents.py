@@ -65,3 +65,20 @@ def test_a_failed_write_leaves_no_parts(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         bad.write.format("feed_parts").mode("append").option("path", f"{tmp_path}/parts").save()
     assert not (tmp_path / "parts" / "manifest.json").exists()
+
+
+def test_pieces_of_a_document_are_copied_by_many_tasks(spark, tmp_path, monkeypatch):
+    from pressroom.sources import feeds
+
+    rows = spark.range(500).select(F.lit("big").alias("feed_slug"), F.col("id").cast("string").alias("episode_id"), F.lit("é & ü").alias("title"), F.timestamp_seconds(F.col("id")).alias("pub_ts"), *[F.lit(None).cast(k).alias(c) for c, k in (("category", "string"), ("source_url", "string"), ("summary", "string"), ("notes_html", "string"), ("file_key", "string"), ("size_bytes", "long"), ("duration_seconds", "long"), ("preset_name", "string"))])
+    monkeypatch.setattr(feeds, "PIECE", 1000)
+    done = {r["feed_slug"]: r for r in write_feed_documents(rows, f"{tmp_path}/feeds").collect()}
+    assert sorted(p.name for p in (tmp_path / "feeds").iterdir()) == ["all.xml", "big.xml"]
+    for feed, r in done.items():
+        assert (r["items"], r["bytes"]) == (500, (tmp_path / "feeds" / f"{feed}.xml").stat().st_size)
+        items = list(ET.parse(tmp_path / "feeds" / f"{feed}.xml").getroot().iter("item"))
+        assert [int(i.findtext("guid")) for i in items] == list(range(499, -1, -1)) and {i.findtext("title") for i in items} == {"é & ü"}
+    # Elsewhere than in a folder of files a task for each feed does the same.
+    monkeypatch.setattr(feeds, "_in_pieces", feeds._by_feed)
+    assert {r["feed_slug"]: r for r in write_feed_documents(rows, f"{tmp_path}/again").collect()} == done
+    assert all((tmp_path / "again" / f"{f}.xml").read_bytes() == (tmp_path / "feeds" / f"{f}.xml").read_bytes() for f in done)

@@ -140,8 +140,16 @@ def test_feed_files_that_hold_a_stretch_of_a_document(spark, tmp_path):
     (tmp_path / "part-0.txt").write_text("<rss><channel><title>x</title>\n" + "".join(item.format(i) for i in range(50)))
     (tmp_path / "part-1.txt").write_text("".join(item.format(i) for i in range(50, 100)))
     (tmp_path / "part-2.txt").write_text("".join(item.format(i) for i in range(100, 150)) + "</channel></rss>\n")
-    rows = read_feed(spark, str(tmp_path)).collect()
+    rows = read_feed(spark, str(tmp_path), lines=True).collect()
     assert sorted(int(r.guid) for r in rows) == list(range(150)) and {r.content for r in rows} == {"d & e"}
+    # Documents of any layout are read as before, and texts of several lines are written in one.
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "f.xml").write_text("<rss><channel>" + "".join(item.format(i).replace("><", ">\n<").replace("&amp;", "\n") for i in range(3)) + "</channel></rss>")
+    assert sorted((r.guid, r.content) for r in read_feed(spark, f"{tmp_path}/whole").collect()) == [(str(i), "d \n e") for i in range(3)]
+    from pressroom.sources.tables import write_feeds
+
+    write_feeds(spark.sql("select 'f' as feed_slug, 1L as episode_id, timestamp'2024-01-01' as pub_ts, 'a\\nb' as title, 'c\\r\\nd' as summary, 'l' as link"), f"{tmp_path}/out")
+    assert [(r.title, r.content) for r in read_feed(spark, f"{tmp_path}/out/feed_slug=f", lines=True).collect()] == [("a\nb", "c\r\nd")]
 
 
 def test_references_without_a_semicolon(spark):
