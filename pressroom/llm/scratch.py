@@ -1,20 +1,4 @@
 """Tables that cut lineage, in the folder that all machines share."""
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from ..storage import shared_base
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_base(spark)}/pressroom/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet in the shared folder, with options of the writer, and read it back."""
-    path = new_folder(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..storage import keep as keep
+from ..storage import new_folder as new_folder

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import re
 from email.message import EmailMessage
 
@@ -143,6 +144,33 @@ def test_cascade_takes_numbered_names_and_parts_that_one_name_has(spark):
     }
 
 
+def most_rows(plan) -> int:
+    """The most rows that a join of an executed plan made."""
+    kind = plan.getClass().getSimpleName()
+    inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    below = [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if kind.endswith("JoinExec") else 0
+    return max([own, *map(most_rows, below)])
+
+
+def test_cascade_meets_places_of_names_rather_than_pairs(spark):
+    r = random.Random(3)
+    line = lambda n: "-".join(r.choice(["the", "then", "other", "he", "é"]) for _ in range(n))
+    names = [(f"2024-01-{i % 30 + 1:02}-{line(14)}", f"p/{i}") for i in range(400)]
+    names += [(names[0][0], "p/twin"), (names[1][0] + "-more", "p/1"), ("", "p/none")]
+    asked = sorted({"", *(piece.strip("-") for name, _ in names for n in (3, 7, 12, 15, 16, 17, 31, 45, 50) for a in [r.randrange(60)] for piece in [name[a : a + n]])})
+    want = {}
+    for slug in filter(None, asked):
+        paths = {path for name, path in names if slug in name}
+        want[slug] = paths.pop() if len(paths) == 1 else None
+    stores = spark.createDataFrame([("posts", 2, name, path, "part") for name, path in names], "store string, rank int, slug string, path string, match string")
+    rows = resolve.lookup_cascade(spark.createDataFrame([(i, x) for i, x in enumerate(asked)], "pos int, headline string"), stores, "pos")
+    got = {x["headline"]: x["path"] for x in rows.collect()}
+    assert got == {"": None, **want} and len([x for x in want.values() if x]) > 500
+    # The slugs with the names that have their rarest five characters were 253,829 rows.
+    assert most_rows(rows._jdf.queryExecution().executedPlan()) < 3 * sum(len(name) for name, _ in names)
+
+
 def test_no_cartesian_products(spark, sf_dir):
     from pressroom.plans.queries import QUERIES
 
