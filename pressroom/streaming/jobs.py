@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "job_id LONG, event STRING, status STRING, failure_count LONG, last_error STRING, last_ts TIMESTAMP, last_seq LONG, process_after TIMESTAMP"
-_JOB = T.StructType([T.StructField("kind", T.StringType()), T.StructField("failures", T.LongType()), T.StructField("error", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("seq", T.LongType())])
-_WAIT = T.StructType([T.StructField("due", T.LongType())])
-_KINDS = ["fail", "complete", "reset"]
+OUT = "job_id LONG, event STRING, status STRING, failure_count LONG, last_error STRING, last_ts LONG, last_seq LONG, process_after LONG"
+_OUT = Row(*[c.split()[0] for c in OUT.split(", ")])
+_JOB = "kind STRING, failures LONG, error STRING, ts LONG, seq LONG, due LONG"
 _STATUS = {"complete": "completed", "reset": "pending"}
 
 
@@ -26,9 +24,10 @@ def waits(failures: np.ndarray, most: int = 15) -> np.ndarray:
 class JobMachine(StatefulProcessor):
     """Folds a job's events and keeps a timer for the end of its wait.
 
-    State: `job` is the last event with the failures in a row up to it, `wait` the time at which the job wakes.  A later
+    State: `job` is the last event with the failures in a row up to it, and the time at which the job wakes, if it waits.  A later
     event moves or ends the wait; a wait that ends before that event, or with no event at all, gives one `wake` row.
-    Whether the timer or the next event tells of it depends on the batches, the row doesn't.
+    Whether the timer or the next event tells of it depends on the batches, the row doesn't.  Most jobs have few events in a batch, so what counts is what is
+    done for each job: rows go in and out as they are, without a frame for each job, and state is read and written once.
     """
 
     def __init__(self, limit: int) -> None:
@@ -37,71 +36,63 @@ class JobMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", _JOB)
-        self.wait = handle.getValueState("wait", _WAIT)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         held = self.job.get()
-        kind, failures, error, last_ts, last_seq = held if held is not None else ("reset", 0, None, None, -1)
-        parts, errors = [], {}
-        for frame in rows:
-            frame = frame[frame["kind"].isin(_KINDS) & frame["ts"].notna()]
-            ts = frame["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64)
-            seq = frame["seq"].to_numpy().astype(np.int64)
-            fail = (frame["kind"] == "fail").to_numpy()
-            new = np.ones(len(frame), dtype=bool) if last_ts is None else (ts > last_ts) | ((ts == last_ts) & (seq > last_seq))
-            if new.any():
-                # Of the texts only those of the frame's last event are kept; of the others their time, order and kind.
-                ts, seq, fail, frame = ts[new], seq[new], fail[new], frame[new]
-                top = int(np.lexsort((seq, ts))[-1])
-                errors[int(ts[top]), int(seq[top])] = frame.iloc[top]["kind"], frame.iloc[top]["error"]
-                parts.append((ts, seq, fail))
-        if not parts:
+        kind, failures, error, last_ts, last_seq, waiting = held if held is not None else ("reset", 0, None, None, -1, None)
+        held_kind = kind
+        times, seqs, fails, top = array("q"), array("q"), bytearray(), None
+        for _, _, packed in rows:
+            at, seq, event, *text = packed.split("\t", 3)
+            at, seq = int(at), int(seq)
+            if last_ts is None or (at, seq) > (last_ts, last_seq):
+                # Of the texts only that of the last event is kept; of the others their time, order and kind.
+                times.append(at)
+                seqs.append(seq)
+                fails.append(event == "fail")
+                if top is None or (at, seq) >= top:
+                    top, kind, error = (at, seq), event, text[0] if text else None
+        if top is None:
             return
-        ts, seq, fail = (np.concatenate(c) for c in zip(*parts))
+        ts, seq, fail = np.frombuffer(times, dtype=np.int64), np.frombuffer(seqs, dtype=np.int64), np.frombuffer(fails, dtype=bool)
         order = np.lexsort((seq, ts))
         ts, seq, fail = ts[order], seq[order], fail[order]
         place = np.arange(len(ts))
         # Failures in a row: since the last other event, or with those that the state holds.
         other = np.maximum.accumulate(np.where(fail, -1, place))
-        run = np.where(fail, np.where(other < 0, place + 1 + (failures if kind == "fail" else 0), place - other), 0)
+        run = np.where(fail, np.where(other < 0, place + 1 + (failures if held_kind == "fail" else 0), place - other), 0)
         due = np.where(fail & (run < self.limit), ts + waits(run), np.iinfo(np.int64).max)
-        woken = [(d, n) for d, n, t in zip(due[:-1], run[:-1], ts[1:]) if d < t]
-        waiting = self.wait.get()
+        ended = np.flatnonzero(due[:-1] < ts[1:])
+        woken = list(zip(due[ended].tolist(), run[ended].tolist()))
         if waiting is not None:
-            self.handle.deleteTimer(waiting[0])
-            self.wait.clear()
-            if waiting[0] < ts[0]:
-                woken.insert(0, (waiting[0], failures))
-        kind, error = errors[int(ts[-1]), int(seq[-1])]
-        failures, error = int(run[-1]), error[:500] if kind == "fail" and error is not None else None
-        self.job.update((kind, failures, error, int(ts[-1]), int(seq[-1])))
-        out = [(key[0], "wake", "pending", int(n), None, None, None, pd.Timestamp(int(d), unit="ms")) for d, n in woken]
-        last = pd.Timestamp(int(ts[-1]), unit="ms")
+            self.handle.deleteTimer(waiting)
+            if waiting < ts[0]:
+                woken.insert(0, (waiting, failures))
+        failures, last_ts, last_seq = int(run[-1]), *top
+        pending = kind == "fail" and failures < self.limit
+        wake = int(due[-1]) if pending else None
+        error = error if kind == "fail" else None
+        self.job.update((kind, failures, error, last_ts, last_seq, wake))
+        for end, n in woken:
+            yield self._wake(key, n, end)
         if kind == "fail":
-            pending = failures < self.limit
             if pending:
-                self.wait.update((int(due[-1]),))
-                self.handle.registerTimer(int(due[-1]))
-            out.append((key[0], "state", "pending" if pending else "errored", failures, error, last, int(seq[-1]), pd.Timestamp(int(due[-1]), unit="ms") if pending else None))
+                self.handle.registerTimer(wake)
+            yield _OUT(key[0], "state", "pending" if pending else "errored", failures, error, last_ts, last_seq, wake)
         else:
-            out.append((key[0], "state", _STATUS[kind], 0, None, last, int(seq[-1]), last if kind == "reset" else None))
-        yield self._frame(out)
+            yield _OUT(key[0], "state", _STATUS[kind], 0, None, last_ts, last_seq, last_ts if kind == "reset" else None)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         held = self.job.get()
-        self.wait.clear()
-        yield self._frame([(key[0], "wake", "pending", int(held[1]), None, None, None, pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"))])
+        self.job.update((*held[:-1], None))
+        yield self._wake(key, held[1], expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-        for c in ("last_ts", "process_after"):
-            frame[c] = pd.to_datetime(frame[c])
-        frame["last_seq"] = frame["last_seq"].astype("Int64")
-        return frame
+    def _wake(key: tuple, failures: int, end: int) -> Row:
+        return _OUT(key[0], "wake", "pending", failures, None, None, None, end)
 
 
 def stream_job_machine(events: DataFrame, limit: int = 51, delay: str = "1 hour") -> DataFrame:
@@ -112,8 +103,12 @@ def stream_job_machine(events: DataFrame, limit: int = 51, delay: str = "1 hour"
     job have passed it by delay.  Events that come more than delay late, and those no later than their job's state, are left out, as are other kinds and null times.
     State is kept by RocksDB (rocksdb_state); of a batch, a job's events are held as 17 bytes each, so the trigger's file limit bounds them.
     """
-    rows = events.select("job_id", "ts", "seq", "kind", "error").where("kind in ('fail', 'complete', 'reset')").withWatermark("ts", delay)
-    return rows.groupBy("job_id").transformWithStateInPandas(JobMachine(limit), OUT, "Update", "EventTime")
+    # Each cell of a row is taken over by itself, so an event is one text, its error cut to what is kept, beside the time that the watermark needs.
+    error = F.when(F.col("kind") == "fail", F.substring("error", 1, 500))
+    packed = F.concat_ws("\t", F.unix_millis("ts").cast("string"), F.col("seq").cast("string"), "kind", error)
+    rows = events.where("kind in ('fail', 'complete', 'reset') and ts is not null").select("job_id", "ts", packed.alias("packed")).withWatermark("ts", delay)
+    out = rows.groupBy("job_id").transformWithState(JobMachine(limit), OUT, "Update", "EventTime")
+    return out.withColumns({c: F.timestamp_millis(c) for c in ("last_ts", "process_after")})
 
 
 def stream_jobs(events: DataFrame, limit: int = 51, delay: str = "7 days") -> DataFrame:

@@ -70,3 +70,37 @@ def test_batches_and_one_table_give_the_same(spark, machine):
     assert wakes(rows) == sorted((w["job_id"], w["failure_count"], w["process_after"]) for w in due_wakes(table, delay="0 seconds").collect())
     last = {x[0]: x[2:] for x in rows if x[1] == "state"}
     assert last == {f["job_id"]: (f["status"], f["failure_count"], f["last_error"], f["process_after"]) for f in fold_jobs(table).collect()}
+
+
+def test_state_is_read_and_written_once_for_a_job():
+    from pressroom.streaming.jobs import JobMachine
+
+    calls, held = [], [None]
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def get(self):
+            calls.append("get")
+            return held[0]
+
+        def update(self, value):
+            calls.append("update")
+            held[0] = value
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(f"timer {at}")
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls.append(f"no timer {at}")
+
+    job = JobMachine(51)
+    job.init(Handle())
+    rows = lambda *x: iter([(1, None, p) for p in x])
+    out = list(job.handleInputRows((1,), rows("0\t1\tfail\ta\tb", "60001\t2\tfail"), None))
+    assert calls == ["get", "update", "timer 180001"]
+    assert [tuple(r) for r in out] == [(1, "wake", "pending", 1, None, None, None, 60000), (1, "state", "pending", 2, None, 60001, 2, 180001)]
+    calls.clear()
+    assert [r[1] for r in job.handleInputRows((1,), rows("60001\t2\tfail\tlate", "70000\t3\treset"), None)] == ["state"]
+    assert calls == ["get", "no timer 180001", "update"]
